@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.line_dedup import dedup_lines
+from panelwright.llm.quality import quality
 from panelwright.llm.sharding import shard
 
 
@@ -15,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left"
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), n_shards=8)
 
@@ -26,11 +33,52 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op5_sharding": op5_sharding,
         "op6_line_dedup": op6_line_dedup,
     }
 
 
+OP1_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, source, text, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words
+    FROM (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+),
+full_lines AS (
+    SELECT doc_id, coalesce(source, '') AS host, text, pos, line, len(words) AS n,
+           translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines WHERE len(words) > 0
+),
+hosts AS (SELECT coalesce(source, '') AS host, count(DISTINCT text) AS n_texts FROM documents GROUP BY 1),
+above AS (
+    SELECT host, key FROM full_lines JOIN hosts USING (host) GROUP BY host, key, n_texts
+    HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.02 * n_texts
+),
+gone AS (SELECT doc_id, sum(n) AS gone FROM full_lines JOIN above USING (host, key) GROUP BY doc_id),
+dups AS (SELECT doc_id, sum(c - 1) AS n_dup FROM (SELECT doc_id, line, count(*) AS c FROM full_lines GROUP BY ALL) GROUP BY doc_id),
+words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+wins AS (
+    SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM words)
+),
+twice AS (SELECT doc_id, win FROM wins GROUP BY ALL HAVING count(*) > 1),
+covered AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_repeat
+    FROM (SELECT doc_id, i, unnest(range(0, 8)) AS k FROM wins JOIN twice USING (doc_id, win)) GROUP BY doc_id
+),
+base AS (
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+           CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+           CAST(len(words) - coalesce(gone, 0) AS BIGINT) AS words_left
+    FROM words LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND words_left >= n_words / 3.0 AS kept
+FROM base
+"""
+
 OP6_SQL = r"""
 WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (
@@ -52,4 +100,4 @@ FROM flagged GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op6_line_dedup": OP6_SQL}
