@@ -11,6 +11,7 @@ from panelwright.llm.decontamination import decontaminate
 from panelwright.llm.line_dedup import dedup_lines
 from panelwright.llm.quality import quality
 from panelwright.llm.sharding import shard
+from panelwright.llm.url_filter import judge, labelled_urls, train
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +38,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_decontamination": op3_decontamination,
         "op5_sharding": op5_sharding,
         "op6_line_dedup": op6_line_dedup,
+        "op7_url_filter": op7_url_filter,
     }
 
 
