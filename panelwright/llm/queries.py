@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.decontamination import decontaminate
 from panelwright.llm.line_dedup import dedup_lines
 from panelwright.llm.quality import quality
+from panelwright.llm.secrets import scan_secrets
 from panelwright.llm.sharding import shard
 from panelwright.llm.url_filter import judge, labelled_urls, train
 
@@ -43,6 +44,16 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["layers"] == "")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.concat(s["layers"], s["kind"]), s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -50,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": op5_sharding,
         "op6_line_dedup": op6_line_dedup,
         "op7_url_filter": op7_url_filter,
+        "op8_secret_scan": op8_secret_scan,
     }
 
 
