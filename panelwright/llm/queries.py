@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.decontamination import decontaminate
 from panelwright.llm.line_dedup import dedup_lines
+from panelwright.llm.pii import KINDS, find_pii, span_text
 from panelwright.llm.quality import quality
 from panelwright.llm.secrets import scan_secrets
 from panelwright.llm.sharding import shard
@@ -30,6 +31,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ",").cast("binary"), 256)).drop("items")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(F.concat("base", "extra")).alias("spans")
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), n_shards=8)
 
@@ -58,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_decontamination": op3_decontamination,
+        "op4_pii": op4_pii,
         "op5_sharding": op5_sharding,
         "op6_line_dedup": op6_line_dedup,
         "op7_url_filter": op7_url_filter,
