@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.decontamination import decontaminate
 from panelwright.llm.line_dedup import dedup_lines
+from panelwright.llm.mixing import mix
 from panelwright.llm.pii import KINDS, find_pii, span_text
 from panelwright.llm.quality import quality
 from panelwright.llm.secrets import scan_secrets
@@ -64,6 +65,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_secret_scan": op8_secret_scan,
+        "op10_mixing": op10_mixing,
     }
 
 
