@@ -59,7 +59,7 @@ def _scan(gram: int, width: int, short: tuple[int, ...], bits: np.ndarray):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns
+            ids, texts_hash, texts = batch.columns
             for lo, hi, data, offsets in W.slices(texts):
                 data, start, end, first, hashes = _grams(data, offsets)
                 found: list[list] = [[] for _ in range(hi - lo)]
@@ -69,7 +69,8 @@ def _scan(gram: int, width: int, short: tuple[int, ...], bits: np.ndarray):
                         a, b = (at, at + n) if n else (max(first[r], at - (width - gram)), min(first[r + 1], at + width))
                         found[r].append({"print": value, "width": n or width, "start": int(a - first[r]), "words": _text(data, start, end, a, b)})
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), pa.array(found, HITS)], ["doc_id", "n_words", "hits"]
+                    [ids.slice(lo, hi - lo), texts_hash.slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), pa.array(found, HITS)],
+                    ["doc_id", "text_hash", "n_words", "hits"],
                 )
 
     return scan
@@ -145,10 +146,10 @@ def decontaminate(
     for r in filled:
         bits[r.word] = r.bits
     short = tuple(sorted(r.width for r in items.where(F.col("width") < width).select("width").distinct().collect()))
-    keys = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = keys.schema["doc_id"].dataType.simpleString()
     scanned = materialise(
-        keys.select("doc_id", "text").mapInArrow(_scan(gram, width, short, bits.view(np.uint64)), f"doc_id {kind}, n_words long, hits {HITS_DDL}")
+        keys.mapInArrow(_scan(gram, width, short, bits.view(np.uint64)), f"doc_id {kind}, text_hash long, n_words long, hits {HITS_DDL}")
         .withColumn("row", F.monotonically_increasing_id())
     )
     hits = scanned.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
@@ -175,6 +176,14 @@ def decontaminate(
     ).select("row", "items", merged["total"].cast("long").alias("n_hit"))
     n_hit, found_items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return scanned.drop("hits").join(per_doc, "row", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found_items).cast("long").alias("n_items"), found_items.alias("items"),
+        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(found_items).cast("long").alias("n_items"), found_items.alias("items"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns."""
+    found = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    return docs.join(found, same, "left_anti")

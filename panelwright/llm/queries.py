@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.decontamination import decontaminate
 from panelwright.llm.line_dedup import dedup_lines
 from panelwright.llm.mixing import mix
+from panelwright.llm.near_dedup import near_duplicates
 from panelwright.llm.pii import KINDS, find_pii, span_text
 from panelwright.llm.quality import quality
 from panelwright.llm.secrets import scan_secrets
@@ -27,9 +28,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ",").cast("binary"), 256)).drop("items")
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ",").cast("binary"), 256)).drop("items", "text_hash")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_near_dedup": op2_near_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_pii": op4_pii,
         "op5_sharding": op5_sharding,
