@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +50,26 @@ def grouped(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFra
         .agg(*(a.alias(name) for name, a in aggregates.items()))
         .select(*(F.col(f"_key.{k}").alias(k) for k in keys), *aggregates)
     )
+
+
+def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` bits with one set for the top bits of each hash in ``column``.
+
+    Its size does not depend on the data, so it may be sent to every task. A filter that fills up only
+    lets more rows through to the join it stands before.
+    """
+    slot = f"shiftrightunsigned({column}, {64 - bits})"
+    words = (
+        df.groupBy(F.expr(f"shiftright({slot}, 6)").alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")).alias("ones"))
+        .toPandas()
+    )
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["ones"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def passes(ones: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit ``hashes`` have their bit set in a ``bit_filter``."""
+    slot = hashes >> np.uint64(64 - (len(ones).bit_length() - 1) - 6)
+    return (ones[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import words as W
-from panelwright.llm.common import grouped, materialise
+from panelwright.llm.common import bit_filter, grouped, materialise, passes
 
 WIDTH, GRAM = 13, 6
 #: Bits of the filter that spares fingerprints the join; 2 ** 23 bits are 1 MB, whatever the benchmark's size.
@@ -51,12 +51,6 @@ def _text(data: np.ndarray, start: np.ndarray, end: np.ndarray, a: int, b: int)
 
 def _scan(gram: int, width: int, short: tuple[int, ...], bits: np.ndarray):
     """Words of each document, and of its fingerprints those that the benchmark may have."""
-    shift, ones = np.uint64(64 - FILTER_BITS), np.uint64(1)
-
-    def passes(h: np.ndarray) -> np.ndarray:
-        slot = h >> shift
-        return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & ones == ones
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts_hash, texts = batch.columns
@@ -64,7 +58,7 @@ def _scan(gram: int, width: int, short: tuple[int, ...], bits: np.ndarray):
                 data, start, end, first, hashes = _grams(data, offsets)
                 found: list[list] = [[] for _ in range(hi - lo)]
                 for where, h, row, n in [(*fingerprints(hashes, first, gram, width), 0), *((*_all(hashes, first, k), k) for k in short)]:
-                    hit = passes(h)
+                    hit = passes(bits, h)
                     for at, value, r in zip(where[hit].tolist(), h[hit].view(np.int64).tolist(), row[hit].tolist(), strict=True):
                         a, b = (at, at + n) if n else (max(first[r], at - (width - gram)), min(first[r + 1], at + width))
                         found[r].append({"print": value, "width": n or width, "start": int(a - first[r]), "words": _text(data, start, end, a, b)})
@@ -136,20 +130,12 @@ def decontaminate(
         )
     )
     prints = items.where(F.col("print").isNotNull()).select("print", "width").distinct()
-    slot = F.shiftrightunsigned("print", 64 - FILTER_BITS)
-    filled = (
-        prints.groupBy(F.shiftright(slot, 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - FILTER_BITS}) & 63 as int))")).alias("bits"))
-        .collect()
-    )
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in filled:
-        bits[r.word] = r.bits
+    bits = bit_filter(prints, "print", FILTER_BITS)
     short = tuple(sorted(r.width for r in items.where(F.col("width") < width).select("width").distinct().collect()))
     keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = keys.schema["doc_id"].dataType.simpleString()
     scanned = materialise(
-        keys.mapInArrow(_scan(gram, width, short, bits.view(np.uint64)), f"doc_id {kind}, text_hash long, n_words long, hits {HITS_DDL}")
+        keys.mapInArrow(_scan(gram, width, short, bits), f"doc_id {kind}, text_hash long, n_words long, hits {HITS_DDL}")
         .withColumn("row", F.monotonically_increasing_id())
     )
     hits = scanned.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*")

@@ -15,6 +15,7 @@ from panelwright.llm.pii import KINDS, find_pii, span_text
 from panelwright.llm.quality import quality
 from panelwright.llm.secrets import scan_secrets
 from panelwright.llm.sharding import shard
+from panelwright.llm.substring_dedup import dedup_substrings
 from panelwright.llm.url_filter import judge, labelled_urls, train
 
 
@@ -70,6 +71,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("text_hash", "kept")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_secret_scan": op8_secret_scan,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
     }
 
