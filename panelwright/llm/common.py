@@ -62,10 +62,10 @@ def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
     words = (
         df.groupBy(F.expr(f"shiftright({slot}, 6)").alias("word"))
         .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")).alias("ones"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["ones"].to_numpy(np.int64)
+    out[words["word"].to_numpy()] = words["ones"].to_numpy()
     return out.view(np.uint64)
 
 

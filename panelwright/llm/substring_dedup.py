@@ -25,12 +25,13 @@ from panelwright.llm.common import bit_filter, grouped, materialise, passes
 from panelwright.llm.suffix_sort import equal_neighbours, suffix_array
 
 LENGTH, GRAM = 200, 50
-FILTER_BITS = 24
+#: Bits of the filters before joins on anchors (8 MB) and on texts (2 MB).
+ANCHOR_BITS, TEXT_BITS = 26, 24
 #: Contexts of one anchor that a task sorts together, and bytes in one sort.
-PART, BATCH_BYTES = 8192, 2_000_000
+PART, BATCH_BYTES = 4096, 1_000_000
 _PLACE = np.uint64((1 << 24) - 1)
-RUNS = pa.list_(pa.struct([("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
-RUNS_DDL = "array<struct<anchor: long, context: long, start: int, n: int>>"
+RUNS = pa.list_(pa.struct([("anchor", pa.int64()), ("context", pa.int64()), ("place", pa.int64())]))
+RUNS_DDL = "array<struct<anchor: long, context: long, place: long>>"
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -76,10 +77,10 @@ def _scan(length: int, gram: int):
             for lo, hi, data, offsets in W.slices(texts):
                 parts = [(shift, _runs(d, o, length, gram)) for shift, d, o in _pieces(data, offsets, length)]
                 row = np.concatenate([r[0] for _, r in parts])
-                columns = [np.concatenate([r[k] + (shift if k == 3 else 0) for shift, r in parts]) for k in (1, 2, 3, 4)]
+                place = np.concatenate([((r[3] + shift) << 32) | r[4] for shift, r in parts])
+                columns = [*(np.concatenate([r[k] for _, r in parts]) for k in (1, 2)), place]
                 at = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.name for f in RUNS.value_type])
+                values = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.name for f in RUNS.value_type])
                 lists = pa.ListArray.from_arrays(at, values)
                 yield pa.RecordBatch.from_arrays([*(k.slice(lo, hi - lo) for k in keys), lists], [*batch.schema.names[:-1], "runs"])
 
@@ -226,21 +227,21 @@ def dedup_substrings(
 
     runs = table.select("row", F.explode("runs").alias("r")).select("row", "r.*")
     seen = materialise(runs.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor"))
-    again = runs.mapInArrow(_kept_by("anchor", bit_filter(seen, "anchor", FILTER_BITS)), runs.schema)
+    again = runs.mapInArrow(_kept_by("anchor", bit_filter(seen, "anchor", ANCHOR_BITS)), runs.schema)
     classes = materialise(
-        again.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "n")).alias("first"))
+        again.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min("row").alias("first"), F.min_by("place", "row").alias("place"))
     )
+    start, n = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     groups = grouped(classes, ["anchor"], contexts=F.count("*")).where(F.col("contexts") > 1)
     whole = classes.where(F.col("copies") > 1).select("anchor", "context")
-    whole = again.join(materialise(whole), ["anchor", "context"], "left_semi").select("row", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    whole = again.join(materialise(whole), ["anchor", "context"], "left_semi").select("row", start.alias("start"), (start + n - 1 + length).alias("end"))
 
     parts = F.ceil(F.col("contexts") / part).cast("int")
     unlike = classes.join(groups, "anchor").select(
-        F.col("first.row").alias("row"),
+        F.col("first").alias("row"),
         F.struct(
             "anchor", F.pmod("context", parts).cast("int").alias("part"), parts.alias("parts"),
-            F.when(F.col("copies") == 1, F.col("first.row")).alias("row"), F.col("first.start").alias("start"),
-            (F.col("first.n") - 1 + length).alias("bytes"),
+            F.when(F.col("copies") == 1, F.col("first")).alias("row"), start.alias("start"), (n - 1 + length).alias("bytes"),
         ).alias("run"),
     )
     wanted = materialise(
@@ -271,6 +272,6 @@ def dedup_substrings(
 def _with_text(keys: DataFrame, listed: DataFrame, column: str) -> DataFrame:
     """``listed`` (doc_id, text_hash, column) with the texts; a filter spares most other texts the exchange."""
     texts = keys.select("doc_id", "text_hash", "text")
-    texts = texts.mapInArrow(_kept_by("text_hash", bit_filter(listed, "text_hash", FILTER_BITS)), texts.schema)
+    texts = texts.mapInArrow(_kept_by("text_hash", bit_filter(listed, "text_hash", TEXT_BITS)), texts.schema)
     listed = listed.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), column)
     return texts.join(listed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
