@@ -61,7 +61,7 @@ def rake(cells: np.ndarray, weights: np.ndarray, targets: list[np.ndarray], roun
             have = np.bincount(cells[:, m], fitted, len(target))
             want = np.where(have > 0, target, 0)
             want = want * (total / want.sum()) if want.sum() > 0 else have
-            ratio = np.divide(want, have, out=np.zeros_like(have), where=have > 0)
+            ratio = np.divide(want, have, out=np.zeros(len(have)), where=have > 0)
             off = max(off, float(np.abs(want - have).max(initial=0)))
             fitted = fitted * ratio[cells[:, m]]
         if off <= close * total:
