@@ -39,17 +39,15 @@ def ic_summary(ics: DataFrame) -> DataFrame:
     )
 
 
-def global_rank(df: DataFrame, x: str, name: str, ranges: int = 200) -> DataFrame:
-    """Average rank of ``x`` over all rows.
+def global_rank(df: DataFrame, x: str, name: str, cuts: Sequence[float]) -> DataFrame:
+    """Average rank of ``x`` over all rows; ``cuts`` part its values into ranges of like size.
 
-    Counts by value are cut into ranges at approximate quantiles, which the driver fetches once (at most
-    ``ranges`` numbers). A range knows from the totals of the others how many rows lie below it, so no
-    task sees all rows, and the ranks are exact wherever the cuts fall.
+    A range knows from the totals of the others how many rows lie below it, so no task sees all rows,
+    and the ranks are exact wherever the cuts fall.
     """
-    cuts = df.agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], 10_000).alias("c")).first().c or []
     counts = df.groupBy(F.col(x).alias("_v")).agg(F.count("*").alias("_n"))
-    cut = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    ranged = counts.withColumn("_part", F.size(F.filter(cut, lambda c: c < F.col("_v"))))
+    below_cut = F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
+    ranged = counts.withColumn("_part", below_cut)
     within = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_t"))
     below = F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
@@ -59,10 +57,13 @@ def global_rank(df: DataFrame, x: str, name: str, ranges: int = 200) -> DataFram
     return df.join(ranks, df[x] == ranks["_v"]).drop("_v")
 
 
-def pooled_ic(predictions: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(ic): one Spearman correlation over all rows."""
+def pooled_ic(predictions: DataFrame, score: str = "score", label: str = "label", ranges: int = 64) -> DataFrame:
+    """(ic): one Spearman correlation over all rows. The driver fetches ``ranges`` approximate quantiles of each side once."""
     pairs = predictions.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(score, label)
-    return global_rank(global_rank(pairs, score, "_a"), label, "_b").agg(pearson("_a", "_b").alias("ic"))
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = pairs.agg(*(F.percentile_approx(c, shares, 1000).alias(a) for c, a in ((score, "a"), (label, "b")))).first()
+    ranked = global_rank(global_rank(pairs, score, "_a", cuts.a or []), label, "_b", cuts.b or [])
+    return ranked.agg(pearson("_a", "_b").alias("ic"))
 
 
 def quantile_layers(predictions: DataFrame, layers: int = 5, score: str = "score", label: str = "label") -> DataFrame:
