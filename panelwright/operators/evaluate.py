@@ -124,9 +124,9 @@ def align_returns(strategy: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drawdown(returns: DataFrame, column: str = "strategy") -> DataFrame:
-    """(date, curve, peak, drawdown); the curve starts after the first return. The series has one row a date."""
+    """The series with curve, peak and drawdown; the curve starts after the first return. The series has one row a date."""
     w = Window.orderBy("date")
-    curve = returns.select("date", cum_prod(1 + F.col(column), w).alias("curve")).withColumn("peak", cum_max(F.col("curve"), w))
+    curve = returns.withColumn("curve", cum_prod(1 + F.col(column), w)).withColumn("peak", cum_max(F.col("curve"), w))
     return curve.withColumn("drawdown", F.try_divide(F.col("peak") - F.col("curve"), F.col("peak")))
 
 
@@ -135,12 +135,10 @@ def performance(returns: DataFrame, min_days: int = 10) -> DataFrame:
     annual = lambda c: F.pow(F.product(1 + F.col(c)), YEAR / F.count("*")) - 1
     vol = F.stddev_samp("strategy") * YEAR**0.5
     beta = F.covar_samp("strategy", "benchmark") / (F.var_samp("benchmark") + 1e-9)
-    sums = returns.agg(
+    one = drawdown(returns).agg(
         F.count("*").alias("days"), annual("strategy").alias("annual"), annual("benchmark").alias("benchmark_annual"), vol.alias("volatility"),
-        beta.alias("beta"), F.avg(F.when(F.col("strategy") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
+        beta.alias("beta"), F.avg(F.when(F.col("strategy") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.max("drawdown").alias("max_drawdown"),
     )
-    worst = drawdown(returns).agg(F.max("drawdown").alias("max_drawdown"))
-    one = sums.crossJoin(worst)  # one row each
     figures = {
         "annual": F.col("annual"),
         "excess": F.col("annual") - F.col("benchmark_annual"),

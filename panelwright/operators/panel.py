@@ -47,7 +47,8 @@ def universe_filter(panel: DataFrame, min_price: float = 2.0, min_bars: int = 60
 
 def filter_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """(n_before, n_removed, share)."""
-    counts = before.agg(F.count("*").alias("n_before")).crossJoin(after.agg(F.count("*").alias("n_after")))  # one row each
+    both = before.select(F.lit(1).alias("_b"), F.lit(0).alias("_a")).unionByName(after.select(F.lit(0).alias("_b"), F.lit(1).alias("_a")))
+    counts = both.agg(F.count_if(F.col("_b") == 1).alias("n_before"), F.count_if(F.col("_a") == 1).alias("n_after"))
     removed = F.col("n_before") - F.col("n_after")
     return counts.select("n_before", removed.alias("n_removed"), F.try_divide(removed, F.col("n_before")).alias("share"))
 
