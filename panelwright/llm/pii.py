@@ -38,7 +38,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _context(gap: Column, words: int = 2, reach: int = 60) -> Column:
-    """The last words before a match, A-Z in lower case."""
+    """The last words before a match, in lower case."""
     found = F.regexp_extract_all(F.lower(F.right(gap, F.lit(reach))), F.lit(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     return _let(found, lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - (words - 1)), F.lit(words)), " "))
 

@@ -12,7 +12,6 @@ recursion, a merge with the other suffixes, then a comparison of neighbours over
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
