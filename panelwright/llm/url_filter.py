@@ -60,12 +60,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def grams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Character n-grams, marked h for the host and p for the path, edges as ^ and $."""
 
-    def of(text: Column, mark: str, n: int) -> Column:
-        padded = F.concat(F.lit("^"), text, F.lit("$"))
-        starts = F.when(F.char_length(padded) >= n, F.sequence(F.lit(1), F.char_length(padded) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(F.lit(mark), padded.substr(i, F.lit(n))))
+    def of(text: Column, mark: str) -> Column:
+        def cut(chars: Column, n: int) -> Column:
+            starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.concat(F.lit(mark), F.array_join(F.slice(chars, i, F.lit(n)), "")))
 
-    return F.concat(*(of(host, "h", n) for n in sizes), *(of(path, "p", n) for n in sizes))
+        chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")  # once, so that long URLs cost no square of their length
+        return F.transform(F.array(chars), lambda c: F.concat(*(cut(c, n) for n in sizes)))[0]
+
+    return F.concat(of(host, "h"), of(path, "p"))
 
 
 def _features(urls: DataFrame, buckets: int) -> DataFrame:

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from helpers import alnum_words
+import pytest
 from test_decontamination import plain as contaminated
 from test_near_dedup import classes
 
@@ -7,35 +7,46 @@ from panelwright.llm.mixing import mix
 from panelwright.llm.quality import quality
 
 
-def test_stages_against_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    steps = {}
+@pytest.fixture(scope="module")
+def steps(spark, sf):
+    """(documents before, rows after) of each stage, each run on the rows of the one before."""
+    docs, found = spark.read.parquet(f"{sf}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         rows = out.collect()
-        steps[name] = rows
-        if name != "sharding":
-            assert out.columns == columns
-            before, docs = docs, spark.createDataFrame(rows, out.schema)
-        if name == "quality_rules":
-            assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in quality(before).collect() if r.kept)
-        elif name == "near_dedup":
-            all_rows = [(r.doc_id, r.text) for r in steps["quality_rules"]]
-            assert sorted(r.doc_id for r in rows) == sorted({c for _, c in classes(all_rows)})
-        elif name == "decontamination":
-            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-            judged = contaminated([(r.doc_id, r.text) for r in steps["near_dedup"]], items)
-            assert sorted(r.doc_id for r in rows) == sorted(j[0] for j in judged if not j[-1])
-        elif name == "mixing":
-            assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in mix(before).collect() if r.kept)
-    assert sorted(r.doc_id for r in steps["sharding"]) == sorted(r.doc_id for r in steps["mixing"])
-    assert all(alnum_words(r.text) for r in steps["mixing"])
-
-
-def test_run_is_the_chain_of_the_stages(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        rows = stage(spark, docs, sf)
-        docs = spark.createDataFrame(rows.collect(), rows.schema)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+        assert name == "sharding" or out.columns == docs.columns
+        found[name] = (docs, rows)
+        docs = spark.createDataFrame(rows, out.schema)
+    return found
+
+
+def ids(rows):
+    return sorted(r.doc_id for r in rows)
+
+
+def test_quality_rules(steps):
+    before, rows = steps["quality_rules"]
+    assert ids(rows) == ids(r for r in quality(before).collect() if r.kept)
+
+
+def test_near_dedup(steps):
+    before, rows = steps["near_dedup"]
+    assert ids(rows) == sorted({c for _, c in classes([(r.doc_id, r.text) for r in before.collect()])})
+
+
+def test_decontamination(spark, sf, steps):
+    before, rows = steps["decontamination"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    judged = contaminated([(r.doc_id, r.text) for r in before.collect()], items)
+    assert ids(rows) == sorted(j[0] for j in judged if not j[-1])
+
+
+def test_mixing_and_sharding(steps):
+    before, rows = steps["mixing"]
+    assert ids(rows) == ids(r for r in mix(before).collect() if r.kept)
+    assert ids(steps["sharding"][1]) == ids(rows)
+
+
+def test_run_is_the_chain_of_the_stages(spark, sf, steps):
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, steps["sharding"][1]), key=str)
