@@ -162,8 +162,10 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return materialise(both.mapInArrow(_verify(shingle, least), "a long, b long"))
 
 
-#: Rounds over buckets of several classes, and shifts to a second band in one round; 12 shifts pair all of 24 bands.
-ROUNDS, SHIFTS = 3, 4
+#: Most texts and characters in a block of a crowded bucket.
+BLOCK, BLOCK_CHARS = 1024, 1 << 22
+#: Up to so many texts, those that share a shingle are listed pair by pair.
+FEW = 16
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -176,35 +178,83 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(kept.select("node", F.coalesce("new", "root").alias("root")).unionByName(moved))
 
 
-def _join_classes(members: DataFrame, roots: DataFrame, tried: DataFrame, texts: DataFrame, bands: int, shingle: int, least: float) -> DataFrame:
-    """``roots`` after rounds that compare the classes which still meet in a bucket of ``members`` (node, band, bucket).
-
-    A bucket of several classes holds texts that are loosely alike. Its members are dealt anew by the
-    buckets they have in a second band, some shifts away, where few but the truly alike still meet.
-    There all are compared with two members, drawn from the members and from the classes, unless
-    a class joins them already or they are among the pairs (a, b) in ``tried``. The work follows the
-    buckets' sizes, not their squares.
+def _common(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
+    """Common shingles of all pairs of rows (lower row first), for shingles as from ``shingles``."""
+    token = W.mix(value + _repeats(row, value).astype(np.uint64) * _U(0x589965CC75374CC3))
+    order = np.lexsort((row, token))
+    token, row = token[order], row[order]
+    lead = np.ones(len(token), bool)
+    lead[1:] = token[1:] != token[:-1]
+    name = np.cumsum(lead) - 1
+    count = np.bincount(name)[name] if len(name) else name
+    out = np.zeros((n_rows, n_rows), np.float32 if len(row) < 1 << 24 else np.float64)
+    few = (count > 1) & (count <= FEW)
+    rare, at = row[few], name[few]
+    for d in range(1, FEW):
+        same = at[d:] == at[:-d]
+        cell, times = np.unique(rare[:-d][same] * n_rows + rare[d:][same], return_counts=True)
+        out.reshape(-1)[cell] += times
+    often, at = row[count > FEW], np.cumsum(lead[count > FEW]) - 1
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
+        part = slice(*np.searchsorted(at, [lo, lo + 2048]))
+        has = np.zeros((n_rows, 2048), np.float32)
+        has[often[part], at[part] - lo] = 1
+        out += has @ has.T
+    return np.triu(out, 1)
+
+
+def _links(shingle: int, least: float):
+    def links(table: pa.Table) -> pa.Table:
+        """Links between the classes of one or two blocks of a bucket, as many as join what is alike."""
+        table = table.combine_chunks()
+        root, block = (table[c].to_numpy() for c in ("root", "block"))
+        found = []
+        for lo, _, data, offsets in W.slices(table["text"].chunk(0)):
+            row, value = shingles(data, offsets, shingle)
+            found.append((row + lo, value))
+        row, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        weight = np.bincount(row, minlength=len(root))
+        both = _common(row, value, len(root))
+        a, b = np.nonzero(both)
+        apart = (root[a] != root[b]) & ((block[a] != block[b]) | (block[0] == block).all())
+        a, b = a[apart], b[apart]
+        common = both[a, b].astype(np.int64)
+        alike = common / np.maximum(weight[a] + weight[b] - common, 1) >= least
+        pairs = np.unique(np.sort(np.stack([root[a[alike]], root[b[alike]]], 1), axis=1), axis=0)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        kept = []
+        for x, y in pairs.tolist():
+            u, v = top(x), top(y)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+                kept.append((y, x))
+        return pa.table({c: pa.array([k[i] for k in kept], pa.int64()) for i, c in enumerate(("a", "b"))})
+
+    return links
+
+
+def _join_classes(members: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``roots`` after all texts of different classes that share a bucket of ``members`` (node, bucket) are compared.
+
+    A bucket is cut into blocks, and each two of its blocks are one group, whose pairs are compared
+    without becoming rows. Only links come out.
     """
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = grouped(placed, ["bucket"], low=F.min("root"), high=F.max("root")).where(F.col("low") < F.col("high")).select("bucket")
-    listed = placed.join(several, "bucket").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("at"))
-    listed = materialise(listed)
-    for round_ in range(ROUNDS):
-        shifts = F.array(*(F.lit(1 + round_ * SHIFTS + k) for k in range(SHIFTS)))
-        second = lambda band, shift: F.xxhash64(shift, F.col("at")[band], F.col("at")[(band + shift) % bands])
-        both = lambda shift: F.transform(F.filter(F.map_keys("at"), lambda b: F.map_contains_key("at", (b + shift) % bands)), lambda b: second(b, shift))
-        dealt = listed.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode(F.flatten(F.transform(shifts, both))).alias("part"))
-        dealt = materialise(dealt)
-        one = F.struct("node", "root")
-        draws = {"low": F.min("root"), "high": F.max("root"), "one": F.min_by(one, F.xxhash64("node", "part")), "two": F.min_by(one, F.xxhash64("root", "part"))}
-        drawn = grouped(dealt, ["part"], **draws).where(F.col("low") < F.col("high")).select("part", F.array_distinct(F.array("one", "two")).alias("drawn"))
-        is_drawn = F.array_contains(F.transform("drawn", lambda d: d["node"]), F.col("node"))
-        other_class = lambda d: (d["root"] != F.col("root")) & ((d["node"] < F.col("node")) | ~is_drawn)
-        found = dealt.alias("m").join(drawn.alias("p"), (F.col("m.part") == F.col("p.part")) & F.exists("drawn", other_class))
-        pairs = found.select("node", F.explode(F.filter("drawn", other_class)).alias("d")).select(F.greatest("node", "d.node").alias("a"), F.least("node", "d.node").alias("b"))
-        pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        roots, tried = _joined(roots, _checked(pairs, texts, shingle, least)), tried.unionByName(pairs)
-    return roots
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "chars"), "node")
+    placed = materialise(placed)
+    several = grouped(placed, ["bucket"], n=F.count("*"), chars=F.sum("chars"), low=F.min("root"), high=F.max("root"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    several = several.where(F.col("low") < F.col("high")).select("bucket", blocks)
+    crowd = materialise(placed.join(several, "bucket").select("bucket", "node", "root", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "blocks"))
+    met = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts.select("node", "text"), "node")
+    met = met.select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("last"), "root", "block", "text")
+    links = materialise(met.groupBy("bucket", "first", "last").applyInArrow(_links(shingle, least), "a long, b long"))
+    return _joined(roots, links)
 
 
 def near_duplicates(
@@ -219,9 +269,9 @@ def near_duplicates(
 
     Equal texts are linked without comparison and only one of them goes on. In a bucket every text is
     compared with the first one, then with the two that a fixed order of all texts puts lowest and
-    highest, unless a class joins them already, then in ``ROUNDS`` rounds with texts drawn from the other
-    classes that share a second band: the work follows the bucket's size, not its square. In very large
-    groups of loosely alike texts a few links may stay unseen.
+    highest, unless a class joins them already. Where several classes are left beside these three, all
+    pairs of different classes are compared by blocks of the bucket, so no pair that shares a bucket
+    is passed over. There the work follows the square of the bucket's size.
     ``leader`` marks one row of each class, one with the class's id.
 
     One row for each row of ``docs``. Null texts are classes of their own, empty texts are equal to
@@ -237,7 +287,7 @@ def near_duplicates(
     table = table.withColumn("h2", F.when(F.col("blank"), F.col("row")).otherwise(F.col("h2")))
     first = materialise(grouped(table, ["text_hash", "h2"], node=F.min("row")))
     nodes = table.join(first.select(F.col("node").alias("row")), "row", "left_semi")
-    members = materialise(nodes.select(F.col("row").alias("node"), F.posexplode("buckets").alias("band", "bucket")))
+    members = materialise(nodes.select(F.col("row").alias("node"), F.explode("buckets").alias("bucket")))
 
     order = F.xxhash64("node")
     shared = materialise(
@@ -245,12 +295,12 @@ def near_duplicates(
             members, ["bucket"], n=F.count("*"), low=F.min("node"), second=F.min_by("node", order), third=F.max_by("node", order)
         ).where(F.col("n") > 1).drop("n")
     )
-    proposed = materialise(members.join(shared, "bucket").select("node", "band", "bucket", "low", "second", "third"))
+    proposed = materialise(members.join(shared, "bucket").select("node", "bucket", "low", "second", "third"))
     involved = proposed.select("node").distinct()
     named = involved.join(table.select(F.col("row").alias("node"), "doc_id", "text_hash"), "node")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     same = texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["hash"] == named["text_hash"])
-    texts = materialise(texts.join(named, same).select("node", "text"))
+    texts = materialise(texts.join(named, same).select("node", "text", F.length("text").alias("chars")).dropDuplicates(["node"]))
 
     tried = proposed.where(F.col("node") != F.col("low")).select(F.col("node").alias("a"), F.col("low").alias("b"))
     tried = materialise(tried.distinct())
@@ -262,7 +312,8 @@ def near_duplicates(
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     other = materialise(other.where(apart).select("a", "b").join(tried, ["a", "b"], "left_anti"))
     roots = _joined(roots, _checked(other, texts, shingle, least))
-    roots = _join_classes(proposed.select("node", "band", "bucket"), roots, tried.unionByName(other), texts, bands, shingle, least)
+    rest = ~F.col("node").isin(F.col("low"), F.col("second"), F.col("third"))
+    roots = _join_classes(proposed.where(rest).select("node", "bucket"), roots, texts, shingle, least)
 
     placed = (
         table.select("row", "doc_id", "text_hash", "h2")

@@ -1,10 +1,12 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 from helpers import alnum_words, frame
 
+from panelwright.llm import near_dedup
 from panelwright.llm.graph import components
-from panelwright.llm.near_dedup import drop_near_duplicates, near_duplicates
+from panelwright.llm.near_dedup import _sketch, drop_near_duplicates, near_duplicates
 
 
 def shingles(text):
@@ -35,6 +37,14 @@ def classes(rows):
     return [(r[0], least.get(root(k))) for k, r in enumerate(rows)]
 
 
+def groups(links):
+    out = []
+    for a, b in links:
+        mine = {a, b}.union(*(g for g in out if a in g or b in g))
+        out = [g for g in out if not g & mine] + [mine]
+    return out
+
+
 def sample():
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -91,6 +101,31 @@ def test_recall_at_the_threshold(spark):
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(300)) >= 297
 
 
+def test_all_pairs_of_crowded_buckets(spark):
+    """Pairs of alike texts among many that are loosely alike: all that share the one bucket are found."""
+    core, rows = [f"c{i}" for i in range(100)], []
+    for k in range(60):
+        own = [f"p{k}x{i}" for i in range(40)]
+        rows += [(2 * k, " ".join(core + own), "s", "en"), (2 * k + 1, " ".join(core + own[:20] + ["other"] + own[21:]), "s", "en")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"])
+    bucket = {i: b[0] for part in _sketch(5, 1, 1)([batch]) for i, b in zip(*(c.to_pylist() for c in part.columns), strict=True)}
+    met = [k for k in range(60) if bucket[2 * k] == bucket[2 * k + 1]]
+    assert len(met) > 40 and max(Counter(bucket.values()).values()) > 40
+    got = {r.doc_id: r.class_id for r in near_duplicates(frame(spark, rows), bands=1, rows=1).collect()}
+    assert [k for k in range(60) if got[2 * k] == got[2 * k + 1]] == met and set(got.values()) >= {2 * k for k in range(60)}
+
+
+def test_blocks_of_a_bucket_link_what_is_alike(monkeypatch):
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    texts = sample()[:60]
+    table = pa.table({"root": pa.array(range(60)), "block": pa.array([0] * 60), "text": [r[1] for r in texts]})
+    found = near_dedup._links(5, 0.8)(table)
+    sets = [shingles(r[1]) for r in texts]
+    alike = [(a, b) for a in range(60) for b in range(a) if sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values())]
+    top = lambda links: {n: min(g) for g in groups(links) for n in g}
+    assert top(list(zip(*(c.to_pylist() for c in found.columns), strict=True))) == top(alike) and len(alike) > found.num_rows > 0
+
+
 def test_empty(spark):
     assert near_duplicates(frame(spark, [])).collect() == [] and drop_near_duplicates(frame(spark, [])).collect() == []
 
