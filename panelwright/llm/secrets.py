@@ -136,11 +136,10 @@ def unwrap(text: str, limit: int = 1 << 24) -> list[tuple[str, int, int, str, st
         seen.add(mark)
         for kind, a, b in scan(inner):
             span = _place(starts, ends, a, b)
-            if (kind, *span) not in found:
-                found[kind, *span] = (kind, *span, path, inner[a:b])
+            found.setdefault((kind, *span, inner[a:b]), (kind, *span, path, inner[a:b]))
         work.extend(x for x in (_in_place(layer, PERCENT, "url", _percent), _in_place(layer, ESCAPE, "unicode", _escape)) if x)
         work.extend(_base64(layer, limit))
-    return sorted(found.values(), key=lambda s: (s[1], s[3] != "", ORDER.index(s[0]), s[2], s[3]))
+    return sorted(found.values(), key=lambda s: (s[1], s[3] != "", ORDER.index(s[0]), s[2], s[3], s[4]))
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("layers", pa.string()), ("secret", pa.string())]))

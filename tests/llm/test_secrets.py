@@ -41,6 +41,12 @@ def test_nested_layers_map_to_the_document():
     assert [(s[3], s[1], s[2]) for s in unwrap("a " + uni)] == [("unicode.", 2, 2 + len(uni))]
 
 
+def test_all_secrets_of_a_run_are_found():
+    outer = "password=first1first1 password=second2second2 " + base64.b64encode(b"token=third3third3").decode()
+    got = [(s[3], s[4]) for s in unwrap(base64.b64encode(outer.encode()).decode())]
+    assert got == [("base64.", "password=first1first1"), ("base64.", "password=second2second2"), ("base64.base64.", "token=third3third3")]
+
+
 def test_cycles_and_bombs_end():
     assert unwrap("%25" * 2000 + "41") == []
     bomb = base64.b64encode(gzip.compress(b"z" * 5_000_000)).decode()
