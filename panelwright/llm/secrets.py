@@ -9,11 +9,13 @@ layer knows its span in the document, and so do the secrets found in it.
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
+import hashlib
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,11 @@ ORDER = list(KINDS)
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What compressed data begin with, and characters that are in no secret and no encoded run.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+CUT = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\\s>-]""")
+#: Bytes that are decompressed at once.
+PIECE = 1 << 16
 #: Texts without any of these cannot hold a secret in any layer.
 HINT = r"(?i)pass|secret|token|api|%[0-9a-f][0-9a-f]|\\[ux][0-9a-f]"
 RUN = np.zeros(256, bool)
@@ -89,56 +96,125 @@ def _escape(run: str) -> str:
     return chr(int(run[2:], 16))
 
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
-        try:
-            return zlib.decompressobj(47).decompress(data, limit)
-        except zlib.error:
-            pass
-    return None
+def _inflated(parts: Iterator[bytes], taken: set[int]) -> tuple[bool, Iterator[bytes]]:
+    """(whether ``parts`` are gzip or zlib data, the data inside or the parts as they are); all members, in pieces.
 
-
-def _base64(layer: Layer, limit: int) -> Iterator[Layer]:
-    text, starts, ends, path = layer
-    for m in BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data, name = base64.b64decode(run + "=" * (-len(run) % 4), validate=True), "base64."
-        except (binascii.Error, ValueError):
-            continue
-        while (more := _inflate(data, limit)) is not None:
-            data, name = more, f"{name}zip."
-        try:
-            inner = data.decode()
-        except UnicodeDecodeError:
+    ``taken`` gets the places in ``parts`` where further members begin.
+    """
+    first = next(parts, b"")
+    if not (first[:3] == b"\x1f\x8b\x08" or (first[:1] == b"\x78" and len(first) > 2 and int.from_bytes(first[:2], "big") % 31 == 0)):
+        return False, chain([first], parts)
+    try:
+        if not zlib.decompressobj(47).decompress(first, PIECE):
+            return False, chain([first], parts)
+    except zlib.error:
+        return False, chain([first], parts)
+
+    def members() -> Iterator[bytes]:
+        inside, todo, read = zlib.decompressobj(47), chain([first], parts), 0
+        for data in todo:
+            read += len(data)
+            while data:
+                try:
+                    yield inside.decompress(data, PIECE)
+                except zlib.error:
+                    yield data
+                    yield from todo
+                    return
+                data = inside.unconsumed_tail
+                if inside.eof:
+                    data, inside = inside.unused_data.lstrip(b"\0"), zlib.decompressobj(47)
+                    taken.add(read - len(data))
+        while more := inside.decompress(b"", PIECE):
+            yield more
+
+    return True, (piece for piece in members() if piece)
+
+
+def _texts(parts: Iterator[bytes], limit: int) -> Iterator[str]:
+    """``parts`` as texts of about ``limit`` characters, cut only where no secret and no encoded run can go on."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), []
+    size = 0
+    for part in parts:
+        text = decoder.decode(part)
+        size += len(text)
+        held.append(text)
+        if size >= limit and (cuts := [m.end() for m in CUT.finditer(text)]):
+            yield "".join([*held[:-1], text[: cuts[-1]]])
+            held = [text[cuts[-1] :]]
+            size = len(held[0])
+    yield "".join([*held, decoder.decode(b"", True)])
+
+
+def _pieces(data: bytes, start: int) -> Iterator[bytes]:
+    return (data[k : k + PIECE] for k in range(start, len(data), PIECE))
+
+
+def _packed(data: bytes, limit: int) -> Iterator[tuple[str, str]]:
+    """(names of the layers, text) of the compressed data at any place of ``data``."""
+    done: set[int] = set()
+    for m in PACKED.finditer(data):
+        if m.start() in done:
             continue
-        if inner and all(c.isprintable() or c in "\t\r\n" for c in inner):
-            yield (inner, *_place(starts, ends, m.start(), m.end()), path + name)
+        taken: set[int] = set()
+        heads, name = {data[m.start() : m.start() + PIECE]}, ""
+        is_packed, parts = _inflated(_pieces(data, m.start()), taken)
+        while is_packed:
+            name += "zip."
+            head = next(parts, b"")
+            while len(head) < PIECE and (more := next(parts, b"")):
+                head += more
+            parts = chain([head], parts)
+            if head[:PIECE] in heads:
+                break
+            heads.add(head[:PIECE])
+            is_packed, parts = _inflated(parts, set())
+        if name:
+            yield from ((name, text) for text in _texts(parts, limit))
+        done |= {m.start() + k for k in taken}
+
+
+def _base64(layer: Layer) -> Iterator[tuple[bytes, int, int]]:
+    """(data, start, end) of the base64 runs."""
+    for m in BASE64.finditer(layer[0]):
+        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        if len(run) % 4 != 1:
+            yield base64.b64decode(run + "=" * (-len(run) % 4)), m.start(), m.end()
 
 
 def unwrap(text: str, limit: int = 1 << 24) -> list[tuple[str, int, int, str, str]]:
     """(kind, start, end, layers, secret) in ``text`` and all layers inside it; spans are those in ``text``.
 
-    A compressed layer is read up to ``limit`` bytes, so that a small document cannot fill memory.
+    A compressed layer is read whole, in parts of about ``limit`` characters, so that a small document
+    does not fill memory, unless it holds no character to cut at.
     """
     places = list(range(len(text) + 1))
-    work: deque[Layer] = deque([(text, places[:-1], places[1:], "")])
     seen: set[tuple] = set()
     found: dict[tuple, tuple] = {}
-    while work:
-        layer = work.popleft()
-        inner, starts, ends, path = layer
-        mark = (inner, *_place(starts, ends, 0, len(inner))) if inner else None
-        if mark is None or mark in seen:
-            continue
-        seen.add(mark)
-        for kind, a, b in scan(inner):
-            span = _place(starts, ends, a, b)
-            found.setdefault((kind, *span, inner[a:b]), (kind, *span, path, inner[a:b]))
-        work.extend(x for x in (_in_place(layer, PERCENT, "url", _percent), _in_place(layer, ESCAPE, "unicode", _escape)) if x)
-        work.extend(_base64(layer, limit))
+
+    def visit(top: Layer) -> None:
+        work: deque[Layer] = deque([top])
+        while work:
+            layer = work.popleft()
+            inner, starts, ends, path = layer
+            if not inner:
+                continue
+            mark = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *_place(starts, ends, 0, len(inner)))
+            if mark in seen:
+                continue
+            seen.add(mark)
+            for kind, a, b in scan(inner):
+                key = (kind, *_place(starts, ends, a, b), inner[a:b])
+                if key not in found or path.count(".") < found[key][3].count("."):
+                    found[key] = (*key[:3], path, inner[a:b])
+            work.extend(x for x in (_in_place(layer, PERCENT, "url", _percent), _in_place(layer, ESCAPE, "unicode", _escape)) if x)
+            for data, a, b in _base64(layer):
+                place = _place(starts, ends, a, b)
+                work.append((data.decode("utf-8", "replace"), *place, f"{path}base64."))
+                for name, part in _packed(data, limit):
+                    visit((part, *place, f"{path}base64.{name}"))
+
+    visit((text, places[:-1], places[1:], ""))
     return sorted(found.values(), key=lambda s: (s[1], s[3] != "", ORDER.index(s[0]), s[2], s[3], s[4]))
 
 

@@ -47,6 +47,19 @@ def test_all_secrets_of_a_run_are_found():
     assert got == [("base64.", "password=first1first1"), ("base64.", "password=second2second2"), ("base64.base64.", "token=third3third3")]
 
 
+def secrets(text, **options):
+    return {s[4] for s in unwrap(text, **options)}
+
+
+def test_compressed_layers_are_read_whole():
+    filler = "é, " * 400_000
+    for data in (filler + SECRET, SECRET + " " + filler):
+        assert SECRET in secrets(base64.b64encode(gzip.compress(data.encode())).decode(), limit=10_001)
+    members = base64.b64encode(gzip.compress(b"first, ") + gzip.compress(SECRET.encode())).decode()
+    twice = base64.b64encode(gzip.compress(gzip.compress((filler + SECRET).encode(), 0))).decode()
+    assert SECRET in secrets(members) and SECRET in secrets(twice, limit=1000)
+
+
 def test_cycles_and_bombs_end():
     assert unwrap("%25" * 2000 + "41") == []
     bomb = base64.b64encode(gzip.compress(b"z" * 5_000_000)).decode()
