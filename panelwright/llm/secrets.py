@@ -1,7 +1,7 @@
 """Secret scanning through nested encodings.
 
 A worklist holds layers of text. Each layer is scanned, then unwrapped: percent and backslash escapes
-in place, base64 runs each by itself, gzip and zlib data inside those. What comes out is a new layer
+in place, base64 runs alone and joined over line breaks, gzip and zlib data inside those. What comes out is a new layer
 unless the same text was seen at the same place before, so the list runs dry. Every character of a
 layer knows its span in the document, and so do the secrets found in it.
 """
@@ -35,6 +35,8 @@ ORDER = list(KINDS)
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run that goes on in whole lines, as MIME wraps it.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t>]*[A-Za-z0-9+/_-]+(?=[ \t]*(?:[\r\n=]|\Z)))*(?:(?:\r?\n[ \t>]*)?=){0,2}")
 #: What compressed data begin with, and characters that are in no secret and no encoded run.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 CUT = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\\s>-]""")
@@ -175,11 +177,14 @@ def _packed(data: bytes, limit: int) -> Iterator[tuple[str, str]]:
 
 
 def _base64(layer: Layer) -> Iterator[tuple[bytes, int, int]]:
-    """(data, start, end) of the base64 runs."""
-    for m in BASE64.finditer(layer[0]):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 != 1:
-            yield base64.b64decode(run + "=" * (-len(run) % 4)), m.start(), m.end()
+    """(data, start, end) of the base64 runs, alone and joined over line breaks, from each of their first four characters."""
+    text = layer[0]
+    joined = (m for m in WRAPPED.finditer(text) if "\n" in m[0])
+    for m in chain(BASE64.finditer(text), joined):
+        run = re.sub(r"[\s>=]", "", m[0]).replace("-", "+").replace("_", "/")
+        for k in range(4):
+            piece = run[k : len(run) - ((len(run) - k) % 4 == 1)]
+            yield base64.b64decode(piece + "=" * (-len(piece) % 4)), m.start() + k, m.end()
 
 
 def unwrap(text: str, limit: int = 1 << 24) -> list[tuple[str, int, int, str, str]]:

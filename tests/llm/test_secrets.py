@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 from urllib.parse import quote
 
@@ -51,6 +52,19 @@ def secrets(text, **options):
     return {s[4] for s in unwrap(text, **options)}
 
 
+def test_base64_wrapped_shifted_and_with_odd_characters():
+    long = "some words to begin with " * 3 + SECRET + " and more words" * 8
+    wrapped = base64.encodebytes(long.encode()).decode()
+    packed = base64.encodebytes(gzip.compress(random.Random(1).randbytes(300).hex()[:500].encode() + b" " + SECRET.encode())).decode()
+    for text in (wrapped, wrapped.replace("\n", "\r\n"), "body:\n" + packed):
+        assert SECRET in secrets(text)
+    plain, zipped = base64.b64encode(b"see " + SECRET.encode() + b" there").decode(), base64.b64encode(gzip.compress(SECRET.encode())).decode()
+    for before in ("com/a/", "key_", "x-", "abc/de/"):
+        assert SECRET in secrets(before + plain) and SECRET in secrets(before + zipped)
+    for odd in "\u00a0\ufeff\u3000\u200b\x1b\0":
+        assert SECRET in secrets(base64.b64encode(f"{odd} {SECRET}".encode()).decode())
+
+
 def test_compressed_layers_are_read_whole():
     filler = "é, " * 400_000
     for data in (filler + SECRET, SECRET + " " + filler):
