@@ -6,6 +6,7 @@ bars and no NULL in them (``full``): Spark's aggregates skip NULL and accept sho
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -145,18 +146,20 @@ def with_ewm(df: DataFrame, columns: Sequence[tuple[str, str, float, bool]], blo
     Without ``adjust``: y0 = x0, then y = (1 - alpha) y' + alpha x. With it: weights (1 - alpha) ** age,
     normalised. Only leading NULLs of the series are supported; they give NULL.
 
-    y is a sum of decayed inputs u. Bars are cut into blocks of ``block``. Within a block the sum is
+    y is a sum of decayed inputs u. Bars are cut into blocks of ``block``, or more at a small alpha. Within a block the sum is
     d ** i * cumsum(u * d ** -i), which stays in range. The value at a block's end is that of its own
-    sum plus the decayed sums of the blocks before (16 are enough: d ** (16 * 64) is nil), fetched by
+    sum plus the decayed sums of the blocks before (16, so long that d ** (16 * block) < 1e-17), fetched by
     fixed lags; other bars add the decayed value of the last block end. So it takes a few windows on the
     code, in time linear in the bars, at any length of series.
     """
     df = df.withColumn("_n", cum_count())
-    at = F.col("_n") % block
     in_block = Window.partitionBy("code", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"_block": F.floor(F.col("_n") / block), "_at": at.cast("double")})
+    least, size = block, 0
     for name, series, alpha, adjust in columns:
         d, x = 1 - alpha, F.col(series)
+        block = max(least, math.ceil(math.log(1e17) / (16 * -math.log(d)))) if 0 < d < 1 else least
+        if block != size:
+            df, size = df.withColumns({"_block": F.floor(F.col("_n") / block), "_at": (F.col("_n") % block).cast("double")}), block
         df = df.withColumn("_seen", F.count(x).over(so_far()))
         u = F.coalesce(x, F.lit(0.0))
         u = u if adjust else F.when(F.col("_seen") == 1, u).otherwise(alpha * u)

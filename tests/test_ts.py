@@ -99,3 +99,13 @@ def test_scalars(spark):
     assert [r[2] for r in got] == [0.5, -2.0, None, None, None]
     assert [r[3] for r in got] == [1.0, 0.0, 0.0, 0.0, 0.0] and [r[4] for r in got] == [0.0, 4.0, 0.0, 0.0, 0.0]
     assert abs(got[1][5] - math.log(4 + 1e-9)) < 1e-12
+
+
+def test_ewm_of_a_small_alpha_forgets_nothing(spark):
+    """A large first value at span 400 still shows after more than 16 blocks of 64 bars; another alpha beside it."""
+    xs = [1e6] + [1.0 + i % 7 for i in range(1, 2500)]
+    rows = [("A", DAY + dt.timedelta(days=i), x) for i, x in enumerate(xs)]
+    made = spark.createDataFrame(rows, "code string, date date, x double")
+    got = ts.with_ewm(made, [("y", "x", 2 / 401, False), ("z", "x", 2 / 3, True)]).orderBy("date").toPandas()
+    for name, alpha, adjust in (("y", 2 / 401, False), ("z", 2 / 3, True)):
+        assert np.allclose(got[name], pd.Series(xs).ewm(alpha=alpha, adjust=adjust).mean(), rtol=1e-9)
