@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,22 @@ def passes(ones: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the 64-bit ``hashes`` have their bit set in a ``bit_filter``."""
     slot = hashes >> np.uint64(64 - (len(ones).bit_length() - 1) - 6)
     return (ones[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def held_by(df: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """The rows of ``df`` whose hash in ``column`` stands in ``keys``, and perhaps some others; null is in none.
+
+    While ``keys`` has under an eighth of ``2 ** bits`` rows, a ``bit_filter`` in the tasks spares the
+    rows an exchange; beyond, where it would let too much through, it is a semi-join.
+    """
+    if keys.count() >= 1 << (bits - 3):
+        return df.join(grouped(keys, [column], any=F.lit(True)).select(column), column, "left_semi")
+    ones = bit_filter(keys, column, bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(column)
+            there = hashes.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(there & passes(ones, pc.fill_null(hashes, 0).to_numpy().view(np.uint64))))
+
+    return df.mapInArrow(keep, df.schema)

@@ -1,8 +1,8 @@
 """Words, lines and their hashes over whole Arrow batches of texts, with numpy.
 
 A slice of some rows is one byte array; words, windows and lines are ranges of it. The hash of a
-range is a polynomial over its values, taken from running sums, so that every window of any length
-costs the same.
+range is a polynomial over its values modulo the prime 2 ** 61 - 1, taken from running sums, so that
+every window of any length costs the same.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A prime, and two independent bases of polynomials modulo it.
+PRIME = (1 << 61) - 1
+BASES = (0x0F3779B97F4A7C15, 0x0B1CE4E5B9BF5847)
+_ODD = 0x9E3779B97F4A7C15
+_P, _LOW, _29, _32, _61 = np.uint64(PRIME), np.uint64((1 << 32) - 1), np.uint64(29), np.uint64(32), np.uint64(61)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+_tables: dict[int, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -27,14 +31,32 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for k, base in enumerate((_BASE, _UNBASE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit integers modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2 ** 32 for x below 2 ** 61, under 2 ** 62 and equal modulo the prime."""
+    return (x >> _29) + ((x & np.uint64((1 << 29) - 1)) << _32)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, of integers below it."""
+    a_high, a_low, b_high, b_low = a >> _32, a & _LOW, b >> _32, b & _LOW
+    low = a_low * b_low
+    return _reduced(((a_high * b_high) << np.uint64(3)) + _shifted(a_high * b_low + a_low * b_high) + (low & _P) + (low >> _61))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base ** 2, ... modulo the prime."""
+    table = _tables.get(base, np.ones(1, np.uint64))
+    while len(table) < n:
+        step = np.full(len(table), pow(base, len(table), PRIME), np.uint64)
+        table = np.concatenate([table, _times(table, step)])
+    _tables[base] = table
+    return table[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,12 +66,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each ``values[start:end]``."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
+    """64-bit hash of each ``values[start:end]``.
+
+    Two unlike ranges of up to n values share it for at most n in 2 ** 61 of all bases, whatever they
+    hold; ``base`` picks one of two independent ones.
+    """
+    up = powers(BASES[base], len(values))
+    if values.dtype == np.uint8 and len(values) < 1 << 22:  # small enough to sum up both halves of each product as they are
+        at = values.astype(np.uint64) + np.uint64(1)
+        low, high = at * (up & _LOW), at * (up >> _32)
+    else:
+        at = _times(_reduced(values.astype(np.uint64) + np.uint64(1)), up)
+        low, high = at & _LOW, at >> _32
+    sums = np.zeros((2, len(values) + 1), np.uint64)
+    np.cumsum(low, out=sums[0, 1:])
+    np.cumsum(high, out=sums[1, 1:])
+    low, high = sums[0][end] - sums[0][start], sums[1][end] - sums[1][start]
+    found = _reduced(_reduced(low) + _shifted(_reduced(high)))
+    back = powers(pow(BASES[base], -1, PRIME), int(start.max(initial=0)) + 1)[start]
+    return mix(_times(found, back) + (end - start).astype(np.uint64) * _LENGTH)
+
+
+def gram_hash(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of the gram of ``size`` bytes at every place: fast, and good enough to order short grams, not to tell them apart."""
+    if len(data) < size:
+        return np.zeros(0, np.uint64)
+    up = np.full(len(data), _ODD, np.uint64)
+    up[0] = 1
+    np.cumprod(up, out=up)
+    down = np.full(len(data) - size + 1, pow(_ODD, -1, 1 << 64), np.uint64)
+    down[0] = 1
+    np.cumprod(down, out=down)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * down)
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
