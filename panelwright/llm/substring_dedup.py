@@ -1,13 +1,13 @@
 """Removal of repeated byte strings by difference-cover suffix sorting.
 
-Only strings that start alike can be equal, so the corpus is first cut into groups that can be sorted
-apart. Every string of ``length`` bytes points at its anchor, the gram in it with the lowest hash (the
+Only strings that start alike can be equal, so Spark deals the suffixes to tasks by what they start
+with. Every string of ``length`` bytes points at its anchor, the gram in it with the lowest hash (the
 rightmost, if tied): equal strings have equal anchors at equal places. Neighbouring starts with one
-anchor are a run, and what a run's strings cover is its context. Runs are grouped by the hash of their
-anchor. An anchor found once has no repeats. A context found twice is repeated as a whole. What is
-left are contexts that share an anchor but differ, at the ends of passages that documents share. Spark
-gathers them by anchor, and each task sorts their suffixes: triples at the sampled places, names and
-recursion, a merge with the other suffixes, then a comparison of neighbours over ``length`` bytes.
+anchor are a run, and what a run's strings cover is its context. An anchor found once has no repeats;
+equal contexts are a class, of which two copies stand for all. Spark gathers the contexts by anchor,
+and each task sorts their suffixes: triples at the sampled places, names and triples of names, a merge
+with the other suffixes, then a comparison of neighbours over ``length`` bytes. Where an anchor has too
+many contexts for one task, Spark sorts their strings one by one.
 """
 
 from __future__ import annotations
@@ -16,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import words as W
-from panelwright.llm.common import bit_filter, grouped, materialise, passes
-from panelwright.llm.suffix_sort import equal_neighbours, suffix_array
+from panelwright.llm.common import grouped, held_by, materialise
+from panelwright.llm.suffix_sort import equal_neighbours, suffix_order
 
 LENGTH, GRAM = 200, 50
 #: Bits of the filters before joins on anchors (8 MB) and on texts (2 MB).
 ANCHOR_BITS, TEXT_BITS = 26, 24
 #: Contexts of one anchor that a task sorts together, and bytes in one sort.
-PART, BATCH_BYTES = 4096, 1_000_000
+PART, BATCH_BYTES = 512, 1_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 RUNS = pa.list_(pa.struct([("anchor", pa.int64()), ("context", pa.int64()), ("place", pa.int64())]))
 RUNS_DDL = "array<struct<anchor: long, context: long, place: long>>"
@@ -40,9 +41,8 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tupl
     starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[:-1][rows]
     if not len(starts):
         return rows, *(np.zeros(0, np.int64),) * 4
-    at = np.arange(len(data) - gram + 1)
-    hashes = W.range_hash(data, at, at + gram)
-    low = (hashes & ~_PLACE) | (_PLACE - at.astype(np.uint64))
+    hashes = W.gram_hash(data, gram)
+    low = (hashes & ~_PLACE) | (_PLACE - np.arange(len(hashes), dtype=np.uint64))
     size, width = 1, length - gram + 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
@@ -86,92 +86,115 @@ def _scan(length: int, gram: int):
     return scan
 
 
-def _kept_by(column: str, ones: np.ndarray):
-    """Rows whose hash in ``column`` passes the filter; a hash of null passes none."""
+def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """``data[start:start + size]`` for each start."""
+    at = np.concatenate([[0], np.cumsum(size)])
+    places = np.arange(at[-1]) + np.repeat(start - at[:-1], size)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[places])]).cast(pa.binary())
+
+
+def _bytes(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of binary values."""
+    _, offsets, data = blobs.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8), offsets - offsets[0]
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(passes(ones, hashes)))
 
-    return keep
+CONTEXTS = ("anchor", "context", "large", "start", "bytes")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts of a text, from (text, runs)."""
+    """The contexts of a text, from (mark, text, runs); repeated rows of a document come once."""
+    seen: set[int] = set()
     for batch in batches:
-        texts, wanted = batch.columns
-        rows: list[tuple] = []
+        marks = batch.column(0).to_pylist()
+        new = [m not in seen and not seen.add(m) for m in marks]
+        _, texts, wanted = batch.filter(pa.array(new, pa.bool_())).columns
         for lo, hi, data, offsets in W.slices(texts):
-            for r, runs in zip(range(hi - lo), wanted.slice(lo, hi - lo).to_pylist(), strict=True):
-                rows += [(x["anchor"], x["part"], x["parts"], x["row"], x["start"], data[offsets[r] + x["start"] : offsets[r] + x["start"] + x["bytes"]].tobytes()) for x in runs]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        names = ("anchor", "part", "parts", "row", "start", "bytes")
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], list(names))
-
-
-_SCATTER = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64)
-
-
-def _settle(rows: list[tuple], length: int) -> pa.RecordBatch:
-    """Repeated spans among contexts; for the parts of a large group also the strings found once in a part."""
-    blobs = [np.frombuffer(x[5], np.uint8) for x in rows]
-    sizes = np.array([len(b) for b in blobs])
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    data = np.zeros(int((sizes + 1).sum()), np.uint8)
-    symbols = np.zeros(len(data), np.int64)
-    for k, (b, blob) in enumerate(zip(begins, blobs, strict=True)):
-        data[b : b + len(blob)] = blob
-        symbols[b + len(blob)] = 257 + k  # ends differ, so no match runs across them
-    inside = symbols == 0
-    symbols[inside] = data[inside].astype(np.int64) + 1
-    owner = np.repeat(np.arange(len(rows)), sizes + 1)
-    left = begins[owner] + sizes[owner] - np.arange(len(data))
-    order = suffix_array(symbols)
-    order = order[left[order] >= length]
+            lists = wanted.slice(lo, hi - lo)
+            runs = lists.flatten()
+            base = np.repeat(offsets[:-1], lists.value_lengths().to_numpy(zero_copy_only=False))
+            start, size = (runs.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "bytes"))
+            yield pa.RecordBatch.from_arrays([*(runs.field(f) for f in CONTEXTS[:-1]), _binary(data, base + start, size)], list(CONTEXTS))
+
+
+SETTLED = pa.schema(
+    [("anchor", pa.int64()), ("context", pa.int64()), ("spans", pa.list_(pa.struct([("at", pa.int32()), ("upto", pa.int32())]))),
+     ("start", pa.int32()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
+)
+SETTLED_DDL = "anchor long, context long, spans array<struct<at: int, upto: int>>, start int, at int, h1 long, h2 long"
+
+
+def _settled(**columns: pa.Array) -> pa.RecordBatch:
+    """The columns, and nulls for the others."""
+    n = len(columns["anchor"])
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in SETTLED], schema=SETTLED)
+
+
+def _settle(table: pa.Table, length: int) -> pa.RecordBatch:
+    """The repeated starts of each context among the contexts of whole anchors, as spans of starts."""
+    table = table.combine_chunks()
+    data, offsets = _bytes(table["bytes"].chunk(0))
+    n = np.diff(offsets) - length + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    starts = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + offsets[:-1][owner]
+    order = suffix_order(data, starts, length)
     same = equal_neighbours(data, order, length)
     twice = np.zeros(len(data), bool)
     twice[order[:-1][same]] = twice[order[1:][same]] = True
 
-    row, start, end = [], [], []
-    edge = np.diff(np.concatenate([[False], twice, [False]]).astype(np.int8))
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-        k = owner[a]
-        row.append(rows[k][3])
-        start.append(int(rows[k][4] + a - begins[k]))
-        end.append(int(rows[k][4] + b - 1 - begins[k] + length))
-    h1, h2 = [None] * len(row), [None] * len(row)
-    many = np.array([x[2] > 1 for x in rows])
-    if many.any():
-        lead = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
-        open_ = order[lead & many[owner[order]]]
-        for h, values in ((h1, data), (h2, _SCATTER[data])):
-            h += W.range_hash(values, open_, open_ + length).view(np.int64).tolist()
-        for a, once in zip(open_.tolist(), (~twice[open_]).tolist(), strict=True):
-            k = owner[a]
-            row.append(rows[k][3] if once else None)
-            start.append(int(rows[k][4] + a - begins[k]))
-            end.append(start[-1] + length)
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((row, start, end, h1, h2), kinds, strict=True)], ["row", "start", "end", "h1", "h2"])
+    keep = np.zeros(len(data) + 1, np.int8)
+    keep[1:] = twice
+    edge = np.diff(keep, append=0)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # a context ends in bytes that are no starts
+    k = np.searchsorted(offsets, first, "right") - 1
+    has, at = np.unique(k, return_index=True)
+    spans = pa.StructArray.from_arrays([pa.array((x - offsets[k]).astype(np.int32)) for x in (first, last)], ["at", "upto"])
+    lists = pa.ListArray.from_arrays(np.append(at, len(k)).astype(np.int32), spans)
+    pairs = np.stack([table[c].chunk(0).to_numpy()[has] for c in ("anchor", "context")], 1)
+    _, once = np.unique(pairs, axis=0, return_index=True)  # both copies of a class have the same spans
+    return _settled(anchor=pa.array(pairs[once, 0]), context=pa.array(pairs[once, 1]), spans=lists.take(pa.array(once)))
+
+
+def _strings(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """Each string of the contexts, with its hash."""
+    for lo in range(0, len(batch), 4096):
+        part = batch.slice(lo, 4096)
+        data, offsets = _bytes(part.column("bytes"))
+        n = np.diff(offsets) - length + 1
+        owner = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        begin = at + offsets[:-1][owner]
+        keys = {c: part.column(c).take(pa.array(owner)) for c in ("anchor", "context", "start")}
+        hashes = {f"h{k + 1}": pa.array(W.range_hash(data, begin, begin + length, k).view(np.int64)) for k in (0, 1)}
+        yield _settled(**keys, at=pa.array(at.astype(np.int32)), **hashes)
 
 
 def _sorted_groups(length: int, batch_bytes: int):
-    """Settle the contexts of a partition sorted by (anchor, part), some whole groups at a time."""
+    """Settle the contexts of a partition sorted by anchor, some whole anchors at a time; of large anchors, list the strings."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > batch_bytes and x[:2] != last:
-                    yield _settle(held, length)
-                    held, size = [], 0
-                held.append(x)
-                size += len(x[5])
-                last = x[:2]
+            yield from _strings(batch.filter(batch.column("large")), length)
+            batch = batch.filter(pc.invert(batch.column("large")))
+            if not len(batch):
+                continue
+            anchors = batch.column("anchor").to_numpy()
+            edges = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
+            if held and held[-1].column("anchor")[-1].as_py() != anchors[0]:
+                edges = np.concatenate([[0], edges])
+            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False))])
+            at = 0
+            for e in edges.tolist():
+                if size + offsets[e] - offsets[at] > batch_bytes:
+                    yield _settle(pa.Table.from_batches([*held, batch.slice(at, e - at)]), length)
+                    held, size, at = [], 0, e
+            held.append(batch.slice(at))
+            size += int(offsets[-1] - offsets[at])
         if held:
-            yield _settle(held, length)
+            yield _settle(pa.Table.from_batches(held), length)
 
     return settle
 
@@ -180,23 +203,30 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text without its spans."""
     for batch in batches:
         *keys, texts, spans = batch.columns
-        kept, removed, runs = [], [], []
         for lo, hi, data, offsets in W.slices(texts):
-            for r, found in zip(range(hi - lo), spans.slice(lo, hi - lo).to_pylist(), strict=True):
-                text = data[offsets[r] : offsets[r + 1]]
-                parts, at, n = [], 0, 0
-                upto = -1
-                for s in found:
-                    if s["start"] > upto:
-                        n += 1
-                        parts.append(text[at : s["start"]])
-                    upto = max(upto, s["end"])
-                    at = upto
-                kept.append(b"".join(p.tobytes() for p in [*parts, text[at:]]))
-                removed.append(len(text) - len(kept[-1]))
-                runs.append(n)
-        columns = [*keys, pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-2], "kept", "n_removed", "n_spans"])
+            lists = spans.slice(lo, hi - lo)
+            found = lists.flatten()
+            base = np.repeat(offsets[:-1], lists.value_lengths().to_numpy(zero_copy_only=False))
+            cover = np.zeros(len(data) + 1, np.int32)
+            for field, by in (("start", 1), ("end", -1)):
+                np.add.at(cover, base + found.field(field).to_numpy(zero_copy_only=False), by)
+            gone = np.cumsum(cover[:-1]) > 0
+            rising = gone.copy()
+            rising[1:] &= ~gone[:-1]
+            edges = offsets[:-1][offsets[:-1] < len(data)]
+            rising[edges] = gone[edges]
+            removed = W.per_row(gone, offsets)
+            at = offsets - np.concatenate([[0], np.cumsum(removed)])
+            kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at), pa.py_buffer(data[~gone])]).cast(pa.binary())
+            columns = [*(k.slice(lo, hi - lo) for k in keys), kept, pa.array(removed), pa.array(W.per_row(rising, offsets))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-2], "kept", "n_removed", "n_spans"])
+
+
+def _runs_of(places: str) -> Column:
+    """Spans of neighbouring numbers in a sorted array."""
+    first = F.filter(places, lambda x: ~F.array_contains(places, x - 1))
+    last = F.filter(places, lambda x: ~F.array_contains(places, x + 1))
+    return F.arrays_zip(first.alias("at"), F.transform(last, lambda x: x + 1).alias("upto"))
 
 
 def dedup_substrings(
@@ -211,9 +241,9 @@ def dedup_substrings(
     kept_sha256: one row for each row of ``docs``. Null text is empty. Rows are documents, so repeated
     rows are copies of each other. Ids may be null. Further columns are ignored.
 
-    Contexts count as equal if the hashes of anchor and context do, 128 bits together. A large group of
-    contexts is sorted in parts of ``part``; strings that a part holds once then meet those of the other
-    parts by a 128-bit hash.
+    Contexts are a class if the hashes of anchor and context are equal; two of a class are then compared
+    byte by byte in the sort. Of an anchor with over ``part`` classes, strings are rows and meet by a
+    128-bit hash, so no group has to fit into a task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = docs.select(
@@ -226,37 +256,32 @@ def dedup_substrings(
 
     runs = table.select("row", F.explode("runs").alias("r")).select("row", "r.*")
     seen = materialise(runs.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor"))
-    again = runs.mapInArrow(_kept_by("anchor", bit_filter(seen, "anchor", ANCHOR_BITS)), runs.schema)
-    classes = materialise(
-        again.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min("row").alias("first"), F.min_by("place", "row").alias("place"))
-    )
+    again = held_by(runs, seen, "anchor", ANCHOR_BITS)
     start, n = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    groups = grouped(classes, ["anchor"], contexts=F.count("*")).where(F.col("contexts") > 1)
-    whole = classes.where(F.col("copies") > 1).select("anchor", "context")
-    whole = again.join(materialise(whole), ["anchor", "context"], "left_semi").select("row", start.alias("start"), (start + n - 1 + length).alias("end"))
-
-    parts = F.ceil(F.col("contexts") / part).cast("int")
-    unlike = classes.join(groups, "anchor").select(
-        F.col("first").alias("row"),
-        F.struct(
-            "anchor", F.pmod("context", parts).cast("int").alias("part"), parts.alias("parts"),
-            F.when(F.col("copies") == 1, F.col("first")).alias("row"), start.alias("start"), (n - 1 + length).alias("bytes"),
-        ).alias("run"),
-    )
-    wanted = materialise(
-        unlike.groupBy("row").agg(F.collect_list("run").alias("runs")).join(table.select("row", "doc_id", "text_hash"), "row").drop("row")
+    copy = F.struct("row", "place")
+    classes = materialise(again.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(copy).alias("first"), F.max(copy).alias("last")))
+    sizes = grouped(classes, ["anchor"], contexts=F.count("*"), found=F.sum("copies")).where(F.col("found") > 1)
+    pair = F.when(F.col("copies") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    wanted = classes.join(sizes, "anchor").select("anchor", "context", (F.col("contexts") > part).alias("large"), F.explode(pair).alias("c"))
+    wanted = wanted.select("anchor", "context", "large", "c.*").select(
+        "row", F.struct("anchor", "context", "large", start.alias("start"), (n - 1 + length).alias("bytes")).alias("run")
     )
-    cut = _with_text(keys, wanted, "runs").select("text", "runs").mapInArrow(_cut, "anchor long, part int, parts int, row long, start int, bytes binary")
-    groups = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    settled = materialise(groups.mapInArrow(_sorted_groups(length, batch_bytes), "row long, start int, end int, h1 long, h2 long"))
-    inside = settled.where(F.col("h1").isNull() & F.col("row").isNotNull()).select("row", "start", "end")
-    open_ = settled.where(F.col("h1").isNotNull())
-    met = grouped(open_, ["h1", "h2"], n=F.count("*")).where(F.col("n") > 1)
-    across = open_.where(F.col("row").isNotNull()).join(met, ["h1", "h2"]).select("row", "start", "end")
-
-    spans = whole.unionByName(inside).unionByName(across).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    marked = materialise(spans.join(table.select("row", "doc_id", "text_hash"), "row").drop("row").dropDuplicates(["doc_id", "text_hash"]))
-    stripped = _with_text(keys, marked, "spans").select("doc_id", "text_hash", "text", "spans").mapInArrow(
+    wanted = wanted.join(table.select("row", "doc_id", "text_hash"), "row").groupBy("doc_id", "text_hash").agg(F.min("row").alias("mark"), F.collect_list("run").alias("runs"))
+    cut = _with_text(keys, materialise(wanted), ["mark", "runs"]).select("mark", "text", "runs")
+    cut = cut.mapInArrow(_cut, "anchor long, context long, large boolean, start int, bytes binary")
+    groups = cut.withColumn("deal", F.when(F.col("large"), F.col("context"))).repartition("anchor", "deal").sortWithinPartitions("anchor")
+    settled = materialise(groups.drop("deal").mapInArrow(_sorted_groups(length, batch_bytes), SETTLED_DDL))
+    strings = settled.where(F.col("spans").isNull())
+    met = grouped(strings, ["h1", "h2"], n=F.count("*")).where(F.col("n") > 1)
+    across = strings.join(met, ["h1", "h2"]).groupBy("anchor", "context").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    across = across.select("anchor", "context", _runs_of("places").alias("spans"))
+    settled = settled.where(F.col("spans").isNotNull()).select("anchor", "context", "spans").unionByName(across)
+
+    spans = again.join(settled, ["anchor", "context"]).select("row", F.explode("spans").alias("s"), start.alias("start"))
+    spans = spans.select("row", F.struct((F.col("start") + F.col("s.at")).alias("start"), (F.col("start") + F.col("s.upto") - 1 + length).alias("end")).alias("s"))
+    marked = spans.groupBy("row").agg(F.collect_set("s").alias("spans")).join(table.select("row", "doc_id", "text_hash"), "row")
+    marked = materialise(marked.drop("row").dropDuplicates(["doc_id", "text_hash"]))
+    stripped = _with_text(keys, marked, ["spans"]).select("doc_id", "text_hash", "text", "spans").mapInArrow(
         _strip, f"doc_id {kind}, text_hash long, kept binary, n_removed long, n_spans long"
     )
     stripped = stripped.withColumn("kept_sha256", F.sha2("kept", 256)).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"}).dropDuplicates(["id", "hash"])
@@ -268,9 +293,8 @@ def dedup_substrings(
     )
 
 
-def _with_text(keys: DataFrame, listed: DataFrame, column: str) -> DataFrame:
-    """``listed`` (doc_id, text_hash, column) with the texts; a filter spares most other texts the exchange."""
-    texts = keys.select("doc_id", "text_hash", "text")
-    texts = texts.mapInArrow(_kept_by("text_hash", bit_filter(listed, "text_hash", TEXT_BITS)), texts.schema)
-    listed = listed.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), column)
+def _with_text(keys: DataFrame, listed: DataFrame, columns: list[str]) -> DataFrame:
+    """``listed`` (doc_id, text_hash and ``columns``) with the texts; a filter spares most other texts the exchange."""
+    texts = held_by(keys.select("doc_id", "text_hash", "text"), listed, "text_hash", TEXT_BITS)
+    listed = listed.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), *columns)
     return texts.join(listed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))

@@ -1,79 +1,91 @@
-"""Suffix arrays by the difference cover of size three, with numpy."""
+"""Order of suffixes by the difference cover of size three, with numpy."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def _names(*columns: np.ndarray, stable: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(order, name in that order, from 1) of rows compared column by column; columns that fit are packed into one."""
-    bits = [int(c.max(initial=0)).bit_length() for c in columns]
-    if sum(bits) < 64:
-        key = columns[0].astype(np.int64)
-        for c, b in zip(columns[1:], bits[1:], strict=True):
-            key = (key << b) | c
-        order = np.argsort(key, kind="stable" if stable else None)
-        columns = (key,)
-    else:
-        order = np.lexsort(columns[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
-    return order, np.cumsum(new)
+def _names(key: np.ndarray) -> np.ndarray:
+    """Ranks of the keys from 1 on; equal keys share one."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), np.int64)
+    new[1:] = key[1:] != key[:-1]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _words(data: np.ndarray, n: int) -> np.ndarray:
+    """The eight bytes at each place as a number; bytes after the end are 0."""
+    padded = np.zeros(n + 8, np.uint64)
+    padded[: len(data)] = data
+    out = np.zeros(n, np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | padded[k : n + k]
+    return out
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of ``text`` (integers from 1 on) in order; a prefix comes before what it begins.
+def _sample_names(data: np.ndarray, length: int) -> np.ndarray:
+    """A name for each place at 1 and 2 modulo 3, (row, place // 3), that orders the sample by ``length`` bytes or more.
 
-    The suffixes at places 1 and 2 modulo 3 are the sample. Sorting their triples gives names; unless
-    all differ, the string of names is sorted in turn. The rest is a symbol followed by a sampled
-    suffix, and both sorted lists are merged by counting, for each unsampled suffix, the sampled ones
-    below it: those at 1 by (symbol, rank after it), those at 2 by (two symbols, rank after them).
+    Words of eight bytes give the first names. Names at equal steps make triples, and sorted triples
+    give the next names, which reach three times as far; the step is a multiple of three, so a triple
+    stays in the sample.
     """
-    n = len(text)
-    if n < 3:
-        return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
-    t = np.concatenate([text.astype(np.int64), [0, 0, 0]])
-    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate([ones, twos])
-    order, names = _names(t[sample], t[sample + 1], t[sample + 2])
-    if names[-1] < len(sample):
-        string = np.empty(len(sample), np.int64)
-        string[order] = names
-        order = suffix_array(string)
-    ordered = sample[order]
-    rank = np.zeros(n + 3, np.int64)
-    rank[ordered] = np.arange(1, len(ordered) + 1)
-    ordered = ordered[ordered < n]
+    rows = len(data) // 3 + 1
+    name = _names(_words(data, 3 * rows + 3)[: 3 * rows].reshape(rows, 3)[:, 1:].T.reshape(-1)).reshape(2, rows)
+    reach = 8
+    while reach < length and int(name.max()) < name.size:
+        bits = int(name.max()).bit_length()
+        n_parts = 2 if 3 * bits > 63 or 2 * reach >= length else 3
+        step = min(reach // 3, -(-(length - reach) // 3)) if n_parts == 2 else reach // 3
+        padded = np.concatenate([name, np.zeros((2, 2 * step), np.int64)], axis=1)
+        key = name
+        for k in range(1, n_parts):
+            key = (key << bits) | padded[:, k * step : k * step + rows]
+        name = _names(key.reshape(-1)).reshape(2, rows)
+        reach += (n_parts - 1) * step * 3
+    return name
 
-    rest = np.arange(0, n, 3)
-    rest = rest[_names(t[rest], rank[rest + 1])[0]]
-    at_one, at_two = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
-    below = np.zeros(len(rest), np.int64)
-    for other, depth in ((at_one, 1), (at_two, 2)):
-        columns = [np.concatenate([t[other + k], t[rest + k]]) for k in range(depth)]
-        columns.append(np.concatenate([rank[other + depth], rank[rest + depth]]))
-        if len(other):
-            merged, _ = _names(*columns, stable=True)
-            is_other = merged < len(other)
-            below[merged[~is_other] - len(other)] += np.cumsum(is_other)[~is_other]
-    out = np.empty(n, np.int64)
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """``starts`` in the order of the ``length`` bytes from each on (past the end: 0); equal strings are neighbours.
+
+    Places at 1 and 2 modulo 3 are the sample, and its names order it. A start at 0 is a byte followed
+    by a sampled place, or two bytes followed by one, so it compares with any sampled start by bytes and
+    names: both sorted lists are merged by counting the sampled starts below each other one.
+    """
+    name = _sample_names(data, length)
+    flat = np.concatenate([np.stack([np.zeros(name.shape[1], np.int64), *name], 1).reshape(-1), np.zeros(3, np.int64)])
+    t = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    bits = int(flat.max()).bit_length()
+    by = [starts[starts % 3 == k] for k in range(3)]
+    one = lambda p: (t[p] << bits) | flat[p + 1]
+    two = lambda p: (((t[p] << 8) | t[p + 1]) << bits) | flat[p + 2]
+    rest = by[0][np.argsort(two(by[0]))]
+    sampled = np.concatenate(by[1:])
+    sampled = sampled[np.argsort(flat[sampled])]
+    below = np.searchsorted(np.sort(one(by[1])), one(rest)) + np.searchsorted(np.sort(two(by[2])), two(rest))
     place = np.arange(len(rest)) + below
-    taken = np.zeros(n, bool)
+    taken = np.zeros(len(starts), bool)
     taken[place] = True
-    out[place], out[~taken] = rest, ordered
+    out = np.empty(len(starts), np.int64)
+    out[place], out[~taken] = rest, sampled
     return out
 
 
 def equal_neighbours(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Whether each neighbouring pair of ``order`` starts with the same ``length`` bytes; all have that many."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    eight = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        eight |= padded[k : k + len(data)] << np.uint64(8 * k)
+    words = _words(data, len(data))
     left, right = order[:-1], order[1:]
     alive = np.arange(len(left))
-    for step in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        alive = alive[eight[left[alive] + step] == eight[right[alive] + step]]
+    if length < 8:
+        shift = np.uint64(8 * (8 - length))
+        alive = alive[words[left] >> shift == words[right] >> shift]
+    else:
+        for step in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+            alive = alive[words[left[alive] + step] == words[right[alive] + step]]
     same = np.zeros(len(left), bool)
     same[alive] = True
     return same

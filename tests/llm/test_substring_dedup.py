@@ -42,6 +42,16 @@ def test_small_strings_against_brute_force(spark, part):
     assert got(dedup_substrings(docs.limit(0), length=20, gram=6)) == []
 
 
+def test_repeated_rows_and_thue_morse_texts(spark):
+    morse = "a"
+    for _ in range(11):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    texts = [*((7, "one document, many rows. " * 20) for _ in range(3000)), (8, morse), (9, morse.translate(str.maketrans("ab", "ba")))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert got(dedup_substrings(docs, part=2)) == plain(texts, 200)
+    assert got(dedup_substrings(docs)) == plain(texts, 200)
+
+
 def test_query_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got(op9_substring_dedup(spark, sf)) == plain(rows, 200)
