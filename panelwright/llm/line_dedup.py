@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import grouped
+from panelwright.llm.common import grouped, materialise
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,9 +24,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
     with the same id count once, and rows without an id count as one document that sorts last.
     Null or empty text is one empty line. Further columns are ignored.
 
-    Only 128-bit hashes of lines are exchanged to count documents; the smallest and largest id of
-    a hash tell whether two documents hold it, so hot lines shrink before the exchange. Texts are
-    exchanged once, to meet the positions to drop.
+    Lines are split and hashed once, into a table of 128-bit hashes and positions. Only hashes are
+    exchanged to count documents; the smallest and largest id of a hash tell whether two documents hold
+    it, so hot lines shrink before the exchange. Texts are exchanged once, to meet the positions to drop.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
@@ -36,6 +36,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
         .where(F.char_length("key") >= min_chars)
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
     )
+    lines = materialise(lines)
     shared = (
         grouped(
             lines,
