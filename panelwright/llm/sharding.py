@@ -7,29 +7,31 @@ size, and each goes to the shard with the least load.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelwright.llm.common import materialise
+from panelwright.llm.common import materialise, shared_dir
 
-#: Parts in which the rows of one size or one shard are numbered.
-SALTS, SLOT_SALTS = 64, 1024
+#: Rows that are numbered together, and sizes that the driver holds at a time.
+PART_ROWS, CHUNK = 1_000_000, 100_000
 
 
-def schedule(sizes: Iterable[tuple[int, int]], n_shards: int) -> list[tuple[int, list[int]]]:
+def schedule(sizes: Iterable[tuple[int, int]], n_shards: int) -> Iterator[tuple[int, list[int]]]:
     """Longest processing time over size classes.
 
-    ``sizes`` has (size, number of groups), falling by size. Returns for each size the running
+    ``sizes`` has (size, number of groups), falling by size. Yields for each size the running
     count of its groups over the shards 0, 1, ...: group number r of that size belongs to the
     first shard whose running count exceeds r. Groups of one size are alike, so only how many of
     them each shard takes matters. These are the counts that popping the heap once a group gives;
     long runs of one size are first filled up to a common level, the rest goes through the heap.
     Ties go to the lower shard.
     """
-    loads, plan = [0] * n_shards, []
+    loads = [0] * n_shards
     for size, n in sizes:
         took = [0] * n_shards
         if n > 4 * n_shards:
@@ -54,8 +56,18 @@ def schedule(sizes: Iterable[tuple[int, int]], n_shards: int) -> list[tuple[int,
         for k in took:
             running += k
             cum.append(running)
-        plan.append((size, cum))
-    return plan
+        yield size, cum
+
+
+def _planned(sizes: DataFrame, n_shards: int) -> DataFrame:
+    """(group_size, upto) by ``schedule``: sizes stream through the driver in falling order, and the plan goes to a shared table in chunks."""
+    spark = sizes.sparkSession
+    rows = ((r.group_size, r.n) for r in sizes.orderBy(F.desc("group_size")).toLocalIterator())
+    plan, path, kind = schedule(rows, n_shards), f"{shared_dir(spark)}/panelwright-{uuid.uuid4().hex}", "group_size long, upto array<long>"
+    spark.createDataFrame([], kind).write.parquet(path)
+    while chunk := list(islice(plan, CHUNK)):
+        spark.createDataFrame(chunk, kind).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(kind).parquet(path)
 
 
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,12 +76,13 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     Returns id, size (UTF-8 bytes plus 1), text_crc32, law (``bytes``), shard, slot (0, 1, ...
     within the shard, by a salt and the id) and grown_shard (null: this law has no growth rule).
 
-    The driver sees one row for each distinct group size; sizes that differ and sum up to S are
-    fewer than sqrt(2 S). Null text: size 1, checksum 0, a group of its own kind, apart from empty
+    The heap needs the distinct group sizes in falling order, with their numbers of groups: fewer than
+    sqrt(2 S) rows if all sizes sum up to S. They stream through the driver, which holds ``CHUNK`` of
+    them at a time and writes the plan to a table. Null text: size 1, checksum 0, a group of its own kind, apart from empty
     texts. Null ids and repeated rows are placed like any others. An empty table gives no rows.
     Further columns are ignored.
     """
-    spark, text = docs.sparkSession, F.col(text_col)
+    text = F.col(text_col)
     base = materialise(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -78,12 +91,12 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
             F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b"null")).alias("grp"),
         )
     )
+    salts = 64 + base.count() // PART_ROWS
     groups = materialise(
-        base.groupBy("grp").agg(F.sum("size").alias("group_size")).withColumn("salt", F.pmod(F.xxhash64("grp"), F.lit(SALTS)).cast("int"))
+        base.groupBy("grp").agg(F.sum("size").alias("group_size")).withColumn("salt", F.pmod(F.xxhash64("grp"), F.lit(salts)).cast("int"))
     )
-    parts = groups.groupBy("group_size", "salt").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("group_size").agg(F.sum("n").alias("n")).orderBy(F.desc("group_size")).collect()
-    plan = spark.createDataFrame(schedule(((r.group_size, r.n) for r in sizes), n_shards), "group_size long, upto array<long>")
+    parts = materialise(groups.groupBy("group_size", "salt").agg(F.count("*").alias("n")))
+    plan = _planned(parts.groupBy("group_size").agg(F.sum("n").alias("n")), n_shards)
     before = Window.partitionBy("group_size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(plan, "group_size")
     placed = (
@@ -92,7 +105,7 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         .select("grp", F.size(F.filter("upto", lambda x: x <= F.col("before") + F.col("rank"))).alias("shard"))
     )
     rows = materialise(
-        base.join(placed, "grp").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_SALTS)).cast("int"))
+        base.join(placed, "grp").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16 * salts)).cast("int"))
     )
     counts = rows.groupBy("shard", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
