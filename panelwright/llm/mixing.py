@@ -48,12 +48,14 @@ def _topics(topics: int):
     return assign
 
 
-def rake(cells: np.ndarray, weights: np.ndarray, targets: list[np.ndarray], rounds: int = 100, close: float = 1e-9) -> np.ndarray:
-    """Fitted totals: ``cells`` has the index on each margin of every cell, ``weights`` its observed total.
+def rake(cells: np.ndarray, weights: np.ndarray, targets: list[np.ndarray], rounds: int = 1000, close: float = 1e-9) -> tuple[np.ndarray, float]:
+    """(fitted totals, largest miss of a margin as a share of the total): ``cells`` has the index on each margin of every cell, ``weights`` its observed total.
 
     Each target has a share for each index and is scaled to the total. An index without observed
-    tokens is left out and the other shares of its margin grow in proportion.
+    tokens is left out and the other shares of its margin grow in proportion. Rounds end when no margin
+    misses by more than ``close``; where margins contradict each other a miss remains, and is told.
     """
+    off = 0.0
     total, fitted = weights.sum(), weights.astype(np.float64)
     for _ in range(rounds):
         off = 0.0
@@ -66,7 +68,7 @@ def rake(cells: np.ndarray, weights: np.ndarray, targets: list[np.ndarray], roun
             fitted = fitted * ratio[cells[:, m]]
         if off <= close * total:
             break
-    return fitted
+    return fitted, off / total if total > 0 else 0.0
 
 
 def calibrate(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
@@ -97,7 +99,7 @@ def mix(
     nothing; a margin that it does not name takes its observed shares to the power ``flatten``.
 
     Returns doc_id, text_hash, source, lang, topic, n_tokens, weight (fitted over observed tokens of
-    the cell), probability, kept: a row for each row of ``docs``. A document is kept if the hash of its
+    the cell), probability, margin_error (share of all tokens by which the fit misses a margin), kept: a row for each row of ``docs``. A document is kept if the hash of its
     id, text and ``seed``, as a number in [0, 1), lies below its probability, so repeated rows share
     one fate. Null source or language is a value of its own, written as ''. Documents without tokens
     have weight 0 and are not kept. Further columns are ignored.
@@ -128,7 +130,8 @@ def mix(
         have = np.bincount(index[-1], observed, len(values)) if rows else np.zeros(0)
         told = (targets or {}).get(margin)
         shares.append(np.array([float(told.get(v, 0)) for v in values]) if told else have**flatten)
-    weight = rake(np.array(index, np.int64).reshape(len(MARGINS), -1).T, observed, shares) / np.maximum(observed, 1)
+    fit, margin_error = rake(np.array(index, np.int64).reshape(len(MARGINS), -1).T, observed, shares)
+    weight = fit / np.maximum(observed, 1)
     probability = calibrate(observed, weight, budget_share * observed.sum())
     fitted = spark.createDataFrame(
         [(*(r[m] for m in MARGINS), float(w), float(p)) for r, w, p in zip(rows, weight, probability, strict=True)],
@@ -140,6 +143,7 @@ def mix(
         "doc_id", "text_hash", *MARGINS, "n_tokens",
         F.when(F.col("n_tokens") > 0, weight_col).otherwise(0.0).alias("weight"),
         F.when(F.col("n_tokens") > 0, probability_col).otherwise(0.0).alias("probability"),
+        F.lit(margin_error).alias("margin_error"),
         ((F.col("n_tokens") > 0) & (chance < probability_col)).alias("kept"),
     )
 
