@@ -19,8 +19,8 @@ from panelwright.llm import words as W
 from panelwright.llm.common import bit_filter, grouped, materialise, passes
 
 WIDTH, GRAM = 13, 6
-#: Bits of the filter that spares fingerprints the join; 2 ** 23 bits are 1 MB, whatever the benchmark's size.
-FILTER_BITS = 23
+#: Least and most bits of the filter that spares fingerprints the join: 1 MB to 128 MB, sixteen bits for each of the benchmark's.
+FILTER_BITS = (23, 30)
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray):
@@ -130,7 +130,8 @@ def decontaminate(
         )
     )
     prints = items.where(F.col("print").isNotNull()).select("print", "width").distinct()
-    bits = bit_filter(prints, "print", FILTER_BITS)
+    prints = materialise(prints)
+    bits = bit_filter(prints, "print", min(FILTER_BITS[1], max(FILTER_BITS[0], prints.count().bit_length() + 4)))
     short = tuple(sorted(r.width for r in items.where(F.col("width") < width).select("width").distinct().collect()))
     keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = keys.schema["doc_id"].dataType.simpleString()
@@ -146,8 +147,9 @@ def decontaminate(
         lambda i: F.struct((F.col("start") + i).alias("begin"), F.array_join(F.slice(parts, i + 1, F.col("width")), " ").alias("window")),
     )
     spread = near.where(F.size(parts) >= F.col("width")).select("row", "width", F.explode(spread).alias("s"))
-    windows = grouped(items.where(F.col("window").isNotNull()), ["window"], items=F.collect_set("item_id"))
-    found = spread.select("row", "width", "s.begin", "s.window").join(windows, "window")
+    windows = items.where(F.col("window").isNotNull()).select("window", "item_id").distinct()
+    known = grouped(windows, ["window"], any=F.lit(True)).select("window")
+    found = materialise(spread.select("row", "width", "s.begin", "s.window").join(known, "window", "left_semi"))
     merged = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("upto"), F.lit(0).alias("total")),
@@ -156,10 +158,11 @@ def decontaminate(
             (acc["total"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["upto"], s["begin"]))).alias("total"),
         ),
     )
-    per_doc = found.groupBy("row").agg(
-        F.collect_set(F.struct("begin", (F.col("begin") + F.col("width")).alias("end"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    ).select("row", "items", merged["total"].cast("long").alias("n_hit"))
+    spans = F.collect_set(F.struct("begin", (F.col("begin") + F.col("width")).alias("end")))
+    n_hits = found.groupBy("row").agg(spans.alias("spans")).select("row", merged["total"].cast("long").alias("n_hit"))
+    listed = found.select("row", "window").distinct().join(windows.where(F.col("item_id").isNotNull()), "window").select("row", "item_id").distinct()
+    listed = listed.groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    per_doc = n_hits.join(listed, "row", "left")
     n_hit, found_items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return scanned.drop("hits").join(per_doc, "row", "left").select(
         "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(found_items).cast("long").alias("n_items"), found_items.alias("items"),
