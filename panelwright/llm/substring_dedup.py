@@ -7,7 +7,8 @@ anchor are a run, and what a run's strings cover is its context. An anchor found
 equal contexts are a class, of which two copies stand for all. Spark gathers the contexts by anchor,
 and each task sorts their suffixes: triples at the sampled places, names and triples of names, a merge
 with the other suffixes, then a comparison of neighbours over ``length`` bytes. Where an anchor has too
-many contexts for one task, Spark sorts their strings one by one.
+many contexts for one task, they are sorted in parts, and the strings that a part holds once meet those
+of the other parts.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def _bytes(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8), offsets - offsets[0]
 
 
-CONTEXTS = ("anchor", "context", "large", "start", "bytes")
+CONTEXTS = ("anchor", "context", "part", "start", "bytes")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +121,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 SETTLED = pa.schema(
     [("anchor", pa.int64()), ("context", pa.int64()), ("spans", pa.list_(pa.struct([("at", pa.int32()), ("upto", pa.int32())]))),
-     ("start", pa.int32()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
+     ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
 )
-SETTLED_DDL = "anchor long, context long, spans array<struct<at: int, upto: int>>, start int, at int, h1 long, h2 long"
+SETTLED_DDL = "anchor long, context long, spans array<struct<at: int, upto: int>>, at int, h1 long, h2 long"
 
 
 def _settled(**columns: pa.Array) -> pa.RecordBatch:
@@ -131,8 +132,11 @@ def _settled(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in SETTLED], schema=SETTLED)
 
 
-def _settle(table: pa.Table, length: int) -> pa.RecordBatch:
-    """The repeated starts of each context among the contexts of whole anchors, as spans of starts."""
+def _settle(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """The repeated starts of each context among the contexts of whole groups, as spans of starts.
+
+    Then the strings of parts of large anchors, each once; with its context if the part holds it once.
+    """
     table = table.combine_chunks()
     data, offsets = _bytes(table["bytes"].chunk(0))
     n = np.diff(offsets) - length + 1
@@ -153,48 +157,43 @@ def _settle(table: pa.Table, length: int) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(np.append(at, len(k)).astype(np.int32), spans)
     pairs = np.stack([table[c].chunk(0).to_numpy()[has] for c in ("anchor", "context")], 1)
     _, once = np.unique(pairs, axis=0, return_index=True)  # both copies of a class have the same spans
-    return _settled(anchor=pa.array(pairs[once, 0]), context=pa.array(pairs[once, 1]), spans=lists.take(pa.array(once)))
-
+    yield _settled(anchor=pa.array(pairs[once, 0]), context=pa.array(pairs[once, 1]), spans=lists.take(pa.array(once)))
 
-def _strings(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
-    """Each string of the contexts, with its hash."""
-    for lo in range(0, len(batch), 4096):
-        part = batch.slice(lo, 4096)
-        data, offsets = _bytes(part.column("bytes"))
-        n = np.diff(offsets) - length + 1
-        owner = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        begin = at + offsets[:-1][owner]
-        keys = {c: part.column(c).take(pa.array(owner)) for c in ("anchor", "context", "start")}
-        hashes = {f"h{k + 1}": pa.array(W.range_hash(data, begin, begin + length, k).view(np.int64)) for k in (0, 1)}
-        yield _settled(**keys, at=pa.array(at.astype(np.int32)), **hashes)
+    part = table["part"].chunk(0)
+    if part.null_count < len(part):
+        k = np.searchsorted(offsets, order, "right") - 1
+        lead = np.concatenate([[True], ~same]) & part.is_valid().to_numpy(zero_copy_only=False)[k]
+        begin, k = order[lead], k[lead]
+        keys = {c: table[c].chunk(0).take(pa.array(k)) for c in ("anchor", "context")}
+        keys["context"] = pc.if_else(pa.array(twice[begin]), None, keys["context"])
+        hashes = {f"h{i + 1}": pa.array(W.range_hash(data, begin, begin + length, i).view(np.int64)) for i in (0, 1)}
+        yield _settled(**keys, at=pa.array((begin - offsets[k]).astype(np.int32)), **hashes)
 
 
 def _sorted_groups(length: int, batch_bytes: int):
-    """Settle the contexts of a partition sorted by anchor, some whole anchors at a time; of large anchors, list the strings."""
+    """Settle the contexts of a partition sorted by (anchor, part), some whole groups at a time."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last = 0, None
         for batch in batches:
-            yield from _strings(batch.filter(batch.column("large")), length)
-            batch = batch.filter(pc.invert(batch.column("large")))
             if not len(batch):
                 continue
-            anchors = batch.column("anchor").to_numpy()
-            edges = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
-            if held and held[-1].column("anchor")[-1].as_py() != anchors[0]:
+            anchor, part = batch.column("anchor").to_numpy(), pc.fill_null(batch.column("part"), -1).to_numpy()
+            edges = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
+            if held and last != (anchor[0], part[0]):
                 edges = np.concatenate([[0], edges])
+            last = (anchor[-1], part[-1])
             offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False))])
             at = 0
             for e in edges.tolist():
                 if size + offsets[e] - offsets[at] > batch_bytes:
-                    yield _settle(pa.Table.from_batches([*held, batch.slice(at, e - at)]), length)
+                    yield from _settle(pa.Table.from_batches([*held, batch.slice(at, e - at)]), length)
                     held, size, at = [], 0, e
             held.append(batch.slice(at))
             size += int(offsets[-1] - offsets[at])
         if held:
-            yield _settle(pa.Table.from_batches(held), length)
+            yield from _settle(pa.Table.from_batches(held), length)
 
     return settle
 
@@ -242,8 +241,8 @@ def dedup_substrings(
     rows are copies of each other. Ids may be null. Further columns are ignored.
 
     Contexts are a class if the hashes of anchor and context are equal; two of a class are then compared
-    byte by byte in the sort. Of an anchor with over ``part`` classes, strings are rows and meet by a
-    128-bit hash, so no group has to fit into a task.
+    byte by byte in the sort. The classes of an anchor are sorted in parts of about ``part``; strings that
+    a part holds once then meet those of the other parts by a 128-bit hash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = docs.select(
@@ -262,19 +261,20 @@ def dedup_substrings(
     classes = materialise(again.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(copy).alias("first"), F.max(copy).alias("last")))
     sizes = grouped(classes, ["anchor"], contexts=F.count("*"), found=F.sum("copies")).where(F.col("found") > 1)
     pair = F.when(F.col("copies") > 1, F.array("first", "last")).otherwise(F.array("first"))
-    wanted = classes.join(sizes, "anchor").select("anchor", "context", (F.col("contexts") > part).alias("large"), F.explode(pair).alias("c"))
-    wanted = wanted.select("anchor", "context", "large", "c.*").select(
-        "row", F.struct("anchor", "context", "large", start.alias("start"), (n - 1 + length).alias("bytes")).alias("run")
+    dealt = F.when(F.col("contexts") > part, F.pmod("context", F.ceil(F.col("contexts") / part)).cast("int"))
+    wanted = classes.join(sizes, "anchor").select("anchor", "context", dealt.alias("part"), F.explode(pair).alias("c"))
+    wanted = wanted.select("anchor", "context", "part", "c.*").select(
+        "row", F.struct("anchor", "context", "part", start.alias("start"), (n - 1 + length).alias("bytes")).alias("run")
     )
     wanted = wanted.join(table.select("row", "doc_id", "text_hash"), "row").groupBy("doc_id", "text_hash").agg(F.min("row").alias("mark"), F.collect_list("run").alias("runs"))
     cut = _with_text(keys, materialise(wanted), ["mark", "runs"]).select("mark", "text", "runs")
-    cut = cut.mapInArrow(_cut, "anchor long, context long, large boolean, start int, bytes binary")
-    groups = cut.withColumn("deal", F.when(F.col("large"), F.col("context"))).repartition("anchor", "deal").sortWithinPartitions("anchor")
-    settled = materialise(groups.drop("deal").mapInArrow(_sorted_groups(length, batch_bytes), SETTLED_DDL))
+    cut = cut.mapInArrow(_cut, "anchor long, context long, part int, start int, bytes binary").drop("start")
+    groups = cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    settled = materialise(groups.mapInArrow(_sorted_groups(length, batch_bytes), SETTLED_DDL))
     strings = settled.where(F.col("spans").isNull())
     met = grouped(strings, ["h1", "h2"], n=F.count("*")).where(F.col("n") > 1)
-    across = strings.join(met, ["h1", "h2"]).groupBy("anchor", "context").agg(F.array_sort(F.collect_set("at")).alias("places"))
-    across = across.select("anchor", "context", _runs_of("places").alias("spans"))
+    across = strings.where(F.col("context").isNotNull()).join(met, ["h1", "h2"])
+    across = across.groupBy("anchor", "context").agg(F.array_sort(F.collect_set("at")).alias("places")).select("anchor", "context", _runs_of("places").alias("spans"))
     settled = settled.where(F.col("spans").isNotNull()).select("anchor", "context", "spans").unionByName(across)
 
     spans = again.join(settled, ["anchor", "context"]).select("row", F.explode("spans").alias("s"), start.alias("start"))
