@@ -1,8 +1,8 @@
 """Secret scanning through nested encodings.
 
 A worklist holds layers of text. Each layer is scanned, then unwrapped: percent and backslash escapes
-in place, base64 runs alone and joined over line breaks, gzip and zlib data inside those. What comes out is a new layer
-unless the same text was seen at the same place before, so the list runs dry. Every character of a
+in place, base64 runs alone and joined over line breaks, gzip, zlib and raw deflate data and UTF-16 text inside those. What
+comes out is a new layer unless the same text was seen at the same place before, so the list runs dry. Every character of a
 layer knows its span in the document, and so do the secrets found in it.
 """
 
@@ -16,6 +16,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from itertools import chain
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ KINDS = {
 }
 ORDER = list(KINDS)
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: Data written for a URL, with the characters that may stand as they are.
+URL_DATA = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~*-])+")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A run that goes on in whole lines, as MIME wraps it.
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t>]*[A-Za-z0-9+/_-]+(?=[ \t]*(?:[\r\n=]|\Z)))*(?:(?:\r?\n[ \t>]*)?=){0,2}")
+WRAPPED = re.compile(r"""[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t>]*[A-Za-z0-9+/_-]+(?=[ \t]*(?:[\r\n="'`<>(){}\[\],;.:|&\\]|\Z)))*(?:(?:\r?\n[ \t>]*)?=){0,2}""")
 #: What compressed data begin with, and characters that are in no secret and no encoded run.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 CUT = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\\s>-]""")
@@ -176,6 +179,34 @@ def _packed(data: bytes, limit: int) -> Iterator[tuple[str, str]]:
         done |= {m.start() + k for k in taken}
 
 
+def _deflated(data: bytes, limit: int) -> Iterator[str]:
+    """The text of ``data`` if all of it is one raw deflate stream."""
+    def inflated() -> Iterator[bytes]:
+        inside, todo = zlib.decompressobj(-15), data
+        while not inside.eof and (piece := inside.decompress(todo, PIECE)):
+            todo = inside.unconsumed_tail
+            yield piece
+        if not inside.eof or inside.unused_data:
+            raise zlib.error
+
+    try:
+        for _ in inflated():
+            pass
+    except zlib.error:
+        return
+    yield from _texts(inflated(), limit)
+
+
+def _utf16(data: bytes) -> str | None:
+    """``data`` read as UTF-16, if every other of most of its bytes is NUL or it begins with the mark of the byte order."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16", "replace")
+    for at, kind in ((1, "utf-16-le"), (0, "utf-16-be")):
+        if 4 * data[at::2].count(0) > len(data) > 1:
+            return data.decode(kind, "replace")
+    return None
+
+
 def _base64(layer: Layer) -> Iterator[tuple[bytes, int, int]]:
     """(data, start, end) of the base64 runs, alone and joined over line breaks, from each of their first four characters."""
     text = layer[0]
@@ -213,9 +244,16 @@ def unwrap(text: str, limit: int = 1 << 24) -> list[tuple[str, int, int, str, st
                 if key not in found or path.count(".") < found[key][3].count("."):
                     found[key] = (*key[:3], path, inner[a:b])
             work.extend(x for x in (_in_place(layer, PERCENT, "url", _percent), _in_place(layer, ESCAPE, "unicode", _escape)) if x)
+            for m in URL_DATA.finditer(inner) if "%" in inner else ():
+                for name, part in _packed(unquote_to_bytes(m[0]), limit):
+                    visit((part, *_place(starts, ends, m.start(), m.end()), f"{path}url.{name}"))
             for data, a, b in _base64(layer):
                 place = _place(starts, ends, a, b)
                 work.append((data.decode("utf-8", "replace"), *place, f"{path}base64."))
+                if wide := _utf16(data):
+                    work.append((wide, *place, f"{path}base64.utf16."))
+                for part in _deflated(data, limit):
+                    visit((part, *place, f"{path}base64.deflate."))
                 for name, part in _packed(data, limit):
                     visit((part, *place, f"{path}base64.{name}"))
 

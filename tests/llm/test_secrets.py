@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 from urllib.parse import quote
 
 from hypothesis import given, settings
@@ -42,6 +43,41 @@ def test_nested_layers_map_to_the_document():
     assert [(s[3], s[1], s[2]) for s in unwrap("a " + uni)] == [("unicode.", 2, 2 + len(uni))]
 
 
+def _deflate(data):
+    packer = zlib.compressobj(wbits=-15)
+    return packer.compress(data) + packer.flush()
+
+
+LAYERS = {
+    "url": lambda t: quote(t, safe=""),
+    "url all": lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+    "unicode": lambda t: "".join(f"\\u{ord(c):04X}" for c in t),
+    "hex escapes": lambda t: "".join(f"\\x{b:02x}" for b in t.encode()),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "url-safe base64": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+    "mime": lambda t: base64.encodebytes(t.encode()).decode().rstrip(),
+    "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+    "two members": lambda t: base64.b64encode(gzip.compress(b"first\n") + gzip.compress(t.encode())).decode(),
+    "zlib": lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+    "zlib in zlib": lambda t: base64.b64encode(zlib.compress(zlib.compress(t.encode()))).decode(),
+    "deflate": lambda t: base64.b64encode(_deflate(t.encode())).decode(),
+    "utf-16": lambda t: base64.b64encode(t.encode("utf-16")).decode(),
+    "utf-16 without mark": lambda t: base64.b64encode(t.encode("utf-16-be")).decode(),
+    "url gzip": lambda t: quote(gzip.compress(t.encode()), safe=""),
+}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(list(LAYERS)), min_size=1, max_size=4), st.sampled_from(["", "é\x07 ", "id: "]))
+def test_any_nest_is_unwrapped(names, before):
+    wrapped = SECRET
+    for name in names:
+        wrapped = LAYERS[name](wrapped)
+    text = f"{before}<{wrapped}> after"
+    spans = [(s[1], s[2]) for s in unwrap(text) if s[0] == "assign" and s[4] == SECRET]
+    assert any(len(before) < a + 4 and b <= len(before) + 1 + len(wrapped) for a, b in spans), names
+
+
 def test_all_secrets_of_a_run_are_found():
     outer = "password=first1first1 password=second2second2 " + base64.b64encode(b"token=third3third3").decode()
     got = [(s[3], s[4]) for s in unwrap(base64.b64encode(outer.encode()).decode())]
