@@ -16,7 +16,7 @@ from panelwright.llm.quality import quality
 from panelwright.llm.secrets import scan_secrets
 from panelwright.llm.sharding import shard
 from panelwright.llm.substring_dedup import dedup_substrings
-from panelwright.llm.url_filter import judge, labelled_urls, train
+from panelwright.llm.url_filter import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""URL filtering: rules first, then logistic regression on hashed character n-grams of host and path."""
+"""URL filtering: rules first, then logistic regression on hashed character n-grams of host and path.
+
+The regression learns from a small labelled table: any that is passed in, or the URLs that the rules decide.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,36 +24,6 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-#: Words of the small labelled table; its hosts are these words and pairs of neighbours among them.
-BLOCKED_WORDS = (
-    "cheap", "casino", "free", "spam", "ads", "adult", "pills", "win", "bets", "farm", "track", "xxx",
-    "poker", "loans", "click", "prizes", "meds", "bonus", "popup", "seo",
-)
-ALLOWED_WORDS = (
-    "library", "weather", "garden", "history", "recipes", "museum", "university", "physics", "travel", "sailing", "theatre", "nursing", "reading", "herald",
-    "thinking", "northern", "inner", "treatise", "onward", "sweden", "teaching", "station", "winter", "the", "freedom", "trackside", "better", "adulthood",
-)
-SAMPLE_PATHS = ("/en/12", "/fr/345", "/de/67.html", "/es/890/")
-SAMPLE_SUBDOMAINS = ("", "www.", "blog.", "m.")
-SAMPLE_DOMAINS = ("example.com", "example.net", "example.org")
-
-
-def _hosts(words: tuple[str, ...]) -> list[str]:
-    pairs = [f"{w}-{words[(k + step) % len(words)]}" for step in (1, 2, 3) for k, w in enumerate(words)]
-    return [*(w for w in words if len(w) > 3), *(w + words[(k + 4) % len(words)] for k, w in enumerate(words)), *pairs]
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): label 1 is to block."""
-    hosts = [(h, 1.0) for h in _hosts(BLOCKED_WORDS)] + [(h, 0.0) for h in _hosts(ALLOWED_WORDS)]
-    rows = [
-        (f"https://{SAMPLE_SUBDOMAINS[(k + j) % 4]}{host}.{SAMPLE_DOMAINS[(k + j) % 3]}{SAMPLE_PATHS[(k + 2 * j) % 4]}", label)
-        for k, (host, label) in enumerate(hosts)
-        for j in range(2)
-    ]
-    return spark.createDataFrame(rows, "url string, label double")
-
-
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty without `://`."""
     url, parts = F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -77,40 +50,60 @@ def _features(urls: DataFrame, buckets: int) -> DataFrame:
     return HashingTF(inputCol="terms", outputCol="features", numFeatures=buckets, binary=True).transform(terms).drop("terms")
 
 
-def train(labelled: DataFrame, buckets: int = 1 << 14, max_rows: int = 20_000, penalty: float = 0.002) -> LogisticRegressionModel:
-    """Fit on at most ``max_rows`` labelled URLs (url, label 0 or 1; rows with nulls are ignored)."""
+def _decided(rules) -> tuple[Column, Column]:
+    """(rule as host and path, its verdict) by the columns host and path; the longest that fits wins, null if none does."""
+
+    def fits(rule: tuple[str, str, str]) -> Column:
+        host, path, _ = rule
+        return ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
+
+    def first(value) -> Column:
+        return reduce(lambda rest, r: F.when(fits(r), F.lit(value(r))).otherwise(rest), reversed(longest), F.lit(None).cast("string"))
+
+    longest = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    return first(lambda r: r[0] + r[1]), first(lambda r: r[2])
+
+
+def labelled_urls(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
+    """(url, label) of the URLs that a rule decides, each once: label 1 is to block."""
+    host, path = host_and_path(F.col(url_col))
+    urls = pages.select(F.col(url_col).alias("url"), host.alias("host"), path.alias("path")).withColumn("verdict", _decided(rules)[1])
+    return urls.where(F.col("verdict").isNotNull()).select("url", (F.col("verdict") == "block").cast("double").alias("label")).distinct()
+
+
+def train(labelled: DataFrame, buckets: int = 1 << 14, max_rows: int = 20_000, penalty: float = 0.0005) -> LogisticRegressionModel:
+    """Fit on at most ``max_rows`` labelled URLs, those of lowest hash (url, label 0 or 1; rows with nulls are ignored)."""
     rows = labelled.na.drop(subset=["url", "label"]).orderBy(F.xxhash64("url")).limit(max_rows)
     return LogisticRegression(regParam=penalty, maxIter=50).fit(_features(rows, buckets))
 
 
 def judge(
-    pages: DataFrame, model: LogisticRegressionModel, rules=RULES, threshold: float = 0.7, id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame, model: LogisticRegressionModel | None, rules=RULES, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
     """Host, path, deciding rule and verdict of each URL.
 
-    The rule whose host plus path is longest wins. Where none fits, the model blocks at
-    ``threshold``, set so that it takes more than a doubt. Returns page_id, host, path, rule (host and path, else null), verdict and score
-    (probability to block): a row for each row of ``pages``. Null URLs and those without `://` have
-    empty host and path, fit no rule and are judged by the model alone. Ids may be null or repeat;
-    further columns are ignored.
+    The rule whose host plus path is longest wins. Where none fits, the model blocks at ``threshold``;
+    without a model all of these are allowed. Returns page_id, host, path, rule (host and path, else
+    null), verdict and score (probability to block): a row for each row of ``pages``. Null URLs and those
+    without `://` have empty host and path, fit no rule and are judged by the model alone. Ids may be null
+    or repeat; further columns are ignored.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    scored = model.transform(_features(urls, model.numFeatures))
-    longest = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    if model is None:
+        host, path = host_and_path(F.col("url"))
+        scored, score = urls.withColumns({"host": host, "path": path}), F.lit(0.0)
+    else:
+        scored, score = model.transform(_features(urls, model.numFeatures)), vector_to_array("probability")[1]
+    rule, verdict = _decided(rules)
+    by_score = F.when(score >= threshold, "block").otherwise("allow")
+    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_score).alias("verdict"), score.alias("score"))
 
-    def fits(rule: tuple[str, str, str]) -> Column:
-        host, path, _ = rule
-        return ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
 
-    def first(value) -> Column:
-        return reduce(lambda rest, r: F.when(fits(r), F.lit(value(r))).otherwise(rest), reversed(longest), F.lit(None).cast("string"))
+def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, url_col: str = "url", **options) -> DataFrame:
+    """``judge`` with a model of ``labelled`` (url, label), or of what the rules decide in ``pages`` themselves.
 
-    score = vector_to_array("probability")[1]
-    return scored.select(
-        "page_id",
-        "host",
-        "path",
-        first(lambda r: r[0] + r[1]).alias("rule"),
-        F.coalesce(first(lambda r: r[2]), F.when(score >= threshold, "block").otherwise("allow")).alias("verdict"),
-        score.alias("score"),
-    )
+    There is no model where the labels hold fewer than two classes.
+    """
+    labelled = labelled_urls(pages, rules, url_col) if labelled is None else labelled
+    several = len(labelled.na.drop(subset=["url", "label"]).select("label").distinct().limit(2).collect()) > 1
+    return judge(pages, train(labelled) if several else None, rules, url_col=url_col, **options)

@@ -2,7 +2,7 @@ import os
 import re
 
 from panelwright.llm.queries import op7_url_filter
-from panelwright.llm.url_filter import RULES, judge, labelled_urls, train
+from panelwright.llm.url_filter import RULES, filter_urls, judge, labelled_urls, train
 
 
 def plain(url):
@@ -19,36 +19,43 @@ def test_rules_and_edges(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/1?q=://x#y", "https://example.org/en/12", "https://example.org/en/2", "x://notexample.org/es/1", "https://org", "https://org/",
             "https://a.com?x=/fr/", "https://a.com/fr/", "https://a.com/de/x", "https://acom/de/", "a://b://c.org/d", "https://É.com/de/", "http://h.net/" + "x" * 100_000, "https://a.b\nc.org/x"]
     pages = spark.createDataFrame([(k if k else None, u, "z", "h") for k, u in enumerate(urls)], "page_id long, url string, host string, features string")
-    rows = judge(pages, train(labelled_urls(spark))).collect()
+    rows = filter_urls(pages).collect()
     assert len(rows) == len(urls)
     for r in rows:
         host, path, rule, verdict = plain(urls[r.page_id or 0])
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict or (verdict is None and r.verdict in ("allow", "block"))
-    assert judge(pages.limit(0), train(labelled_urls(spark))).collect() == []
+    assert filter_urls(pages.limit(0)).collect() == []
+    told = spark.createDataFrame([("http://good.net/a", 0.0), ("http://bad.biz/b", 1.0), (None, 1.0)], "url string, label double")
+    assert {r.verdict for r in filter_urls(pages, told.where("label = 1")).collect() if r.rule is None} == {"allow"}
+    new = spark.createDataFrame([(1, "http://also.bad.biz/b"), (2, "http://good.net/c")], "page_id long, url string")
+    assert sorted((r.page_id, r.verdict) for r in filter_urls(new, told).collect()) == [(1, "block"), (2, "allow")]
 
 
-def test_held_out_accuracy(spark):
-    """Trained without a third of the hosts, the model judges most of their URLs right."""
-    rows = [(r.url, r.label) for r in labelled_urls(spark).collect()]
-    hosts = sorted({re.search(r"([a-z-]+)\.example", u)[1] for u, _ in rows})
+def larger(sf):
+    """The smallest tables have few hosts."""
+    found = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.1")
+    return found if os.path.isdir(found) else sf
+
+
+def test_held_out_accuracy(spark, sf):
+    """Trained without a third of the hosts, the model tells what the rules say of their URLs."""
+    labelled = labelled_urls(spark.read.parquet(f"{larger(sf)}/pages.parquet"))
+    rows = [(r.url, r.label) for r in labelled.collect()]
+    assert sorted(rows) == sorted({(r[0], float(plain(r[0])[3] == "block")) for r in rows})
+    hosts = sorted({plain(u)[0] for u, _ in rows})
     held = set(hosts[::3])
-    part = lambda inside: spark.createDataFrame([r for r in rows if (re.search(r"([a-z-]+)\.example", r[0])[1] in held) == inside], "url string, label double")
-    model, test = train(part(False)), part(True)
-    got = judge(test.withColumnRenamed("label", "page_id"), model, rules=()).collect()
+    part = lambda inside: spark.createDataFrame([r for r in rows if (plain(r[0])[0] in held) == inside], "url string, label double")
+    got = judge(part(True).withColumnRenamed("label", "page_id"), train(part(False)), rules=()).collect()
     right = sum((r.verdict == "block") == (r.page_id == 1.0) for r in got)
-    assert right >= 0.9 * len(got)
+    print(len(got), right)
+    assert len(got) > 100 and right >= 0.9 * len(got)
 
 
 def test_query(spark, sf):
-    larger = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.1")  # the smallest tables have few blocked hosts
-    sf = larger if os.path.isdir(larger) else sf
-    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    rows = op7_url_filter(spark, sf).collect()
-    assert len(rows) == len(urls)
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{larger(sf)}/pages.parquet").collect()}
+    rows = op7_url_filter(spark, larger(sf)).collect()
+    assert sorted(r.page_id for r in rows) == sorted(urls)
     for r in rows:
         host, path, rule, verdict = plain(urls[r.page_id])
-        assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
-    open_ = [r for r in rows if r.rule is None]
-    spam = [r for r in open_ if re.match(r"(www\.|blog\.|m\.)?[a-z]+-[a-z]+\.", r.host)]
-    assert sum(r.verdict == "block" for r in spam) >= 0.9 * len(spam) and sum(r.verdict == "allow" for r in open_) > 0.6 * len(open_)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and verdict in (None, r.verdict)
