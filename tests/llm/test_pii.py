@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from panelwright.llm.pii import find_pii
 from panelwright.llm.queries import op4_pii
@@ -48,6 +49,24 @@ def test_contexts_find_unseen_identifiers(spark):
     assert not extra[7] and not extra[8]
 
 
+def test_groups_of_digits_are_found_by_the_words_after_them(spark):
+    numbers = [f"+44 20 7946 0{k}18" for k in range(6)]
+    rows = [*(f"{w} {n} is her extension" for w, n in zip("one two six ten old new".split(), numbers, strict=True)), "her (020) 7946 0018 is her extension", "page 12 345 678 of the book"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    extra = {r.doc_id: [(s.kind, s.value, s.start) for s in r.extra] for r in find_pii(docs).collect()}
+    assert extra[6] == [("phone", "(020) 7946 0018", 4)]
+    assert not any(extra[k] for k in extra if k != 6)
+
+
+def test_many_tokens_in_one_text(spark):
+    docs = spark.createDataFrame([(1, "mail me7@site.org or 1234567 " * 20_000), (2, " ".join(str(k) for k in range(100_000, 300_000)))], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in find_pii(docs).collect()}
+    assert [(s.start, s.end) for s in got[1].base[-2:]] == [(29 * k + 5, 29 * k + 17) for k in (19_998, 19_999)]
+    assert len(got[1].base) == 20_000 and not got[2].base
+    assert time.time() - began < 90
+
+
 def test_edge_rows(spark):
     long = "7" * 30_000 + " " + "a" * 200_000 + " me@site.org " + "x1 " * 2_000
     rows = [(1, None), (None, ""), (2, "me@site.org"), (2, "me@site.org"), (3, long)]
