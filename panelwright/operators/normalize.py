@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from panelwright.functions.cross import by_date, cs_mean, cs_rank, mad_bounds
 from panelwright.functions.scalar import clip, tidy
-from panelwright.functions.ts import forward_fill, rolling_zscore
+from panelwright.functions.ts import forward_fill, with_rolling_zscore
+from panelwright.sources.scratch import materialise
 
 #: Prefixes of factors that are normalised through time.
 NORMALISED = ("style_", "tech_", "alpha_", "adv_", "ind_", "fund_")
@@ -28,7 +29,8 @@ def normalize(panel: DataFrame, columns: Sequence[str] | None = None, n: int = 6
     columns = [c for c in panel.columns if c.startswith(NORMALISED)] if columns is None else list(columns)
     panel = panel.withColumns({c: tidy(F.col(c)) for c in columns})
     panel = panel.withColumns({c: F.coalesce(forward_fill(F.col(c)), F.lit(0.0)) for c in columns})
-    return panel.withColumns({c: F.coalesce(clip(rolling_zscore(F.col(c), n), -limit, limit), F.lit(0.0)) for c in columns})
+    panel = with_rolling_zscore(panel, columns, n)
+    return panel.withColumns({c: F.coalesce(clip(F.col(c), -limit, limit), F.lit(0.0)) for c in columns})
 
 
 def winsorize(panel: DataFrame, columns: Sequence[str], method: str = "mad", width: float = 3.0, suffix: str = "") -> DataFrame:
@@ -91,7 +93,7 @@ def orthogonalize(panel: DataFrame, columns: Sequence[str] | None = None) -> Dat
         return df.withColumns({t: (F.col(s) - F.avg(s).over(w)) / (F.stddev_pop(s).over(w) + 1e-9) for s, t in zip(source, target, strict=True)})
 
     z = [f"_z{i}" for i in range(k)]
-    df = standard(panel, columns, z)
+    df = materialise(standard(panel, columns, z))  # read twice: for the sums and for the product
     sums = [F.sum(F.col(z[i]) * F.col(z[j])) for i in range(k) for j in range(i, k)]
     gram = df.groupBy("date").agg(F.array(*sums).alias("gram"))
     kind = panel.schema["date"].dataType.simpleString()

@@ -12,20 +12,21 @@ from panelwright.functions.ts import by_code
 
 
 def _windows(panel: DataFrame, features: Sequence[str], length: int, keep, label: Column | None) -> DataFrame:
-    """Windows of ``length`` bars that start at the bars for which ``keep`` (index, bars of the code) holds.
+    """Whole windows of ``length`` bars that start at the bars for which ``keep`` (index, bars of the code) holds.
 
-    Positions are those of the rows as given. Features must not be NULL.
+    Positions are those of the rows as given. Features must not be NULL. A bar goes to the windows it
+    is in, so what is gathered follows the windows, not the bars.
     """
-    w = by_code()
-    index, n = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy("code"))
-    ahead = w.rowsBetween(0, length - 1)
-    rows = panel.withColumns({"_i": index, "_n": n})
-    if label is not None:
-        rows = rows.withColumn("_label", F.lead(label, length - 1).over(w))
-    rows = rows.withColumns({"_end": F.lead("date", length - 1).over(w), "_values": F.collect_list(F.array(*(F.col(c).cast("float") for c in features))).over(ahead)})
-    rows = rows.where(keep(F.col("_i"), F.col("_n")))
-    columns = [F.col("code"), F.col("date").alias("start_date"), F.col("_end").alias("end_date"), F.col("_values").alias("past_values")]
-    return rows.select(*columns, *([F.col("_label").alias("label")] if label is not None else []))
+    rows = panel.withColumns({"_i": F.row_number().over(by_code()) - 1, "_n": F.count("*").over(Window.partitionBy("code"))})
+    first = F.sequence(F.greatest(F.lit(0), F.col("_i") - (length - 1)), F.col("_i"))
+    starts = F.filter(first, lambda i: keep(i, F.col("_n")) & (i + length <= F.col("_n")))
+    values = F.array(*(F.col(c).cast("float") for c in features)).alias("values")
+    cell = F.struct("_i", "date", values, (F.lit(None) if label is None else label).alias("label"))
+    cells = rows.select("code", F.explode(starts).alias("_start"), cell.alias("cell")).groupBy("code", "_start")
+    found = cells.agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    last = F.col("cells")[length - 1]
+    columns = [F.col("code"), F.col("cells")[0]["date"].alias("start_date"), last["date"].alias("end_date"), F.col("cells.values").alias("past_values")]
+    return found.select(*columns, *([last["label"].alias("label")] if label is not None else []))
 
 
 def training_windows(panel: DataFrame, features: Sequence[str], length: int = 30, stride: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from panelwright.operators.calendar import fill_gaps
 from panelwright.plans import panel_chain
 from panelwright.plans import sql as S
 from panelwright.sources import bars as src
+from panelwright.sources.scratch import shared_dir
 from panelwright.streaming.bars import intraday_bars as bars_of_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,7 +107,7 @@ PROFILE = ("open", "high", "low", "close", "volume")
 
 
 @query("price_scan_profile", S.BARS, "span AS (SELECT min(date) AS first_date, max(date) AS last_date FROM bars)", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS nulls, {S.r(f'min({c})')} AS low, {S.r(f'max({c})')} AS high, {S.r(f'avg({c})', 4)} AS mean, "
+    f"SELECT '{c}' AS \"column\", 'double' AS type, count({c}) AS n, count(*) - count({c}) AS nulls, {S.r(f'min({c})')} AS low, {S.r(f'max({c})')} AS high, {S.r(f'avg({c})', 4)} AS mean, "
     "any_value(first_date) AS first_date, any_value(last_date) AS last_date FROM bars, span" for c in PROFILE))
 def _(spark, sf_dir):
     found = src.profile(daily(spark, sf_dir), PROFILE)
@@ -125,17 +127,49 @@ def _(spark, sf_dir):
     return src.stale_codes(universe, bars, bars.select(F.date_sub("date", 5).alias("date")))
 
 
-@query("refresh_age", S.FUNDAMENTALS, "SELECT code FROM fundamentals GROUP BY code HAVING DATE '1998-12-31' - max(date) >= 92")
+@query("refresh_age", "SELECT CAST(o_custkey AS VARCHAR) AS code FROM orders GROUP BY 1 HAVING DATE '1998-08-01' - max(CAST(o_orderdate AS DATE)) >= 90")
 def _(spark, sf_dir):
-    loads = reports(spark, sf_dir).select("code", C("date").alias("loaded_at"))
-    return src.needs_refresh(loads, "1998-12-31", 92)
+    loads = src.table(spark, sf_dir, "orders").select(C("o_custkey").cast("string").alias("code"), C("o_orderdate").cast("date").alias("loaded_at"))
+    return src.needs_refresh(loads, "1998-08-01", 90)
 
 
-@query("coerce_clean", "SELECT CAST(p_partkey AS BIGINT) AS part, TRY_CAST(split_part(p_name, ' ', 1) AS DOUBLE) AS number FROM part "
-       "WHERE p_partkey IS NOT NULL AND TRY_CAST(split_part(p_name, ' ', 1) AS DOUBLE) IS NOT NULL")
+RAW = """raw AS (
+    SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS part, CASE WHEN l_returnflag = 'R' THEN 'unknown' ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS day,
+           CASE WHEN l_linestatus = 'O' THEN '-' ELSE CAST(l_linenumber AS VARCHAR) || '.50' END AS number FROM lineitem
+)"""
+
+
+@query("coerce_clean", RAW, "SELECT k, line, part, TRY_CAST(day AS DATE) AS date, TRY_CAST(number AS DOUBLE) AS number FROM raw WHERE TRY_CAST(day AS DATE) IS NOT NULL AND TRY_CAST(number AS DOUBLE) IS NOT NULL")
+def _(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "lineitem")
+    day = F.when(C("l_returnflag") == "R", "unknown").otherwise(C("l_shipdate").cast("date").cast("string"))
+    number = F.when(C("l_linestatus") == "O", "-").otherwise(F.concat(C("l_linenumber").cast("string"), F.lit(".50")))
+    raw = rows.select(C("l_orderkey").alias("k"), C("l_linenumber").alias("line"), C("l_partkey").alias("part"), day.alias("trade_day"), number.alias("number"))
+    return src.canonical(raw, {"trade_day": "date", "absent": "other"}, ["number"])
+
+
+@query("coerce_times", "SELECT event_id, ts, value FROM events WHERE event_id % 3 > 0 AND ts IS NOT NULL AND value IS NOT NULL")
 def _(spark, sf_dir):
-    raw = src.table(spark, sf_dir, "part").select(C("p_partkey").cast("long").alias("k"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("number"))
-    return src.canonical(raw, {"k": "part", "absent": "other"}, ["number"])
+    text = F.when(C("event_id") % 3 > 0, C("ts").cast("string")).otherwise("soon")
+    raw = src.table(spark, sf_dir, "events").select("event_id", text.alias("datetime"), C("value").cast("string").alias("value"))
+    return src.canonical(raw, {"datetime": "ts"}, ["value"], times=["ts"])
+
+
+@query("stored_panel", S.BARS, f"{row_sql(close='close')} FROM bars")
+def _(spark, sf_dir):
+    stored = src.materialise_panel(daily(spark, sf_dir), f"{shared_dir(spark)}/panelwright-{uuid.uuid4().hex}", "1998-12-31", "train")
+    return keyed(stored, close=C("close"))
+
+
+@query("head_tail", S.BARS, f"({row_sql(close='close')}, 'head' AS part FROM bars ORDER BY code, date LIMIT 5) UNION ALL ({row_sql(close='close')}, 'tail' AS part FROM bars ORDER BY code DESC, date DESC LIMIT 5)")
+def _(spark, sf_dir):
+    bars = keyed(daily(spark, sf_dir), close=C("close"))
+    return src.head(bars).withColumn("part", F.lit("head")).unionByName(src.tail(bars).withColumn("part", F.lit("tail")))
+
+
+@query("code_boundaries", S.BARS, f"{row_sql(close='close')} FROM (SELECT *, lag(code) OVER (ORDER BY code, date) AS before FROM bars) WHERE before IS NULL OR before <> code")
+def _(spark, sf_dir):
+    return keyed(samples.code_boundaries(daily(spark, sf_dir)), close=C("close"))
 
 
 GAP_FILL = """days AS (SELECT code, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM bars GROUP BY code),
@@ -318,6 +352,45 @@ def _(spark, sf_dir):
     return keyed(_normed(spark, sf_dir), **{c: C(c) for c in NORMAL})
 
 
+@query("labelled_tail", S.BARS, f"{row_sql(target='target')} FROM (SELECT *, {S.lag('close', -5)} / {S.lag('open', -1)} - 1 AS target FROM bars) WHERE target IS NOT NULL")
+def _(spark, sf_dir):
+    return keyed(panel.labelled(labels.forward_target(daily(spark, sf_dir)), "train"), target=C("target"))
+
+
+FEATURES = {"style_mom_1m": FACTOR_SQL["style"]["style_mom_1m"], "adv_downside_vol": FACTOR_SQL["adv"]["adv_downside_vol"], "ind_max_ret": FACTOR_SQL["ind"]["ind_max_ret"]}
+
+
+@query("feature_table", S.BARS, S.BASE, f"SELECT code, date, {', '.join(f'{S.r(f"CAST(CAST(coalesce({x}, 0) AS FLOAT) AS DOUBLE)", 4)} AS {c}' for c, x in FEATURES.items())} FROM derived")
+def _(spark, sf_dir):
+    table = panel.feature_table(factors.with_factors(daily(spark, sf_dir), ("style", "adv", "ind")).select("code", "date", "close", *FEATURES))
+    assert panel.feature_columns(table) == list(FEATURES) and {table.schema[c].dataType.simpleString() for c in FEATURES} == {"float"}
+    return table.select("code", "date", *(rounded(C(c).cast("double"), 4).alias(c) for c in FEATURES))
+
+
+ALL15 = {
+    **{c: FACTOR_SQL["style"][c] for c in ("style_mom_1m", "style_vol_1m", "style_liquidity")}, "alpha_money_flow": FACTOR_SQL["alpha"]["alpha_money_flow"],
+    "adv_skew_20": FACTOR_SQL["adv"]["adv_skew_20"], "alpha_006": FACTOR_SQL["alpha"]["alpha_006"], "ind_max_ret": FACTOR_SQL["ind"]["ind_max_ret"],
+}
+FIFTEEN = (
+    STAGE_SQL["ind"][0].replace("more AS", "inds AS"), STAGE_SQL["tech"][0].replace("more AS", "techs AS"),
+    "plain AS (SELECT code, date, " + ", ".join(f"{x} AS {c}" for c, x in ALL15.items()) + " FROM derived)",
+    "ind2 AS (SELECT code, date, " + ", ".join(f"{FACTOR_SQL['ind'][c]} AS {c}" for c in ("ind_yang_zhang_vol", "ind_roll_spread")) + " FROM inds)",
+    "tech3 AS (SELECT code, date, " + ", ".join(f"{FACTOR_SQL['tech'][c]} AS {c}" for c in ("tech_rsi_14", "tech_kdj_j", "tech_bb_width")) + " FROM techs)",
+    "fund3 AS (SELECT code, date, " + ", ".join(f"{FUND_SQL[c]} AS {c}" for c in ("fund_ep", "fund_roe", "fund_growth")) + " FROM joined)",
+    "fifteen AS (SELECT code, date, " + ", ".join(f"round({c}, 7) AS {c}" for c in normalize.RANKED) + " FROM plain JOIN ind2 USING (code, date) JOIN tech3 USING (code, date) JOIN fund3 USING (code, date))",
+    "meds AS (SELECT *, " + ", ".join(f"median({c}) OVER (PARTITION BY date) AS m_{c}" for c in normalize.RANKED) + " FROM fifteen)",
+    "mads AS (SELECT *, " + ", ".join(f"median(abs({c} - m_{c})) OVER (PARTITION BY date) AS d_{c}" for c in normalize.RANKED) + " FROM meds)",
+    "clips AS (SELECT code, date, " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, m_{c} - 3 * 1.4826 * d_{c}), m_{c} + 3 * 1.4826 * d_{c}) END AS {c}" for c in normalize.RANKED) + " FROM mads)",
+)
+
+
+@query("cross_ranks", S.BARS, S.BASE, S.FUNDAMENTALS, ASOF, *FIFTEEN, f"{row_sql(**{f'cs_rank_{c}': f'({S.cs_rank(c)} - 0.5) * 2' for c in normalize.RANKED})} FROM clips")
+def _(spark, sf_dir):
+    joined = panel.fill_fundamentals(panel.asof_fundamentals(daily(spark, sf_dir), reports(spark, sf_dir)))
+    wide = factors.with_factors(joined).select("code", "date", *(F.round(c, 7).alias(c) for c in normalize.RANKED))
+    return keyed(normalize.cross_ranks(wide), **{f"cs_rank_{c}": C(f"cs_rank_{c}") for c in normalize.RANKED})
+
+
 # Cross-section
 
 @query("forward_target", S.BARS, f"{row_sql(target=f'{S.lag("close", -5)} / {S.lag("open", -1)} - 1', simple=f'{S.lag("close", -5)} / close - 1')} FROM bars")
@@ -559,6 +632,17 @@ def _(spark, sf_dir):
     return _digest(_training(spark, sf_dir).withColumn("label", rounded(C("label"))), "label")
 
 
+@query("batch_score", *FEATS, *WINDOWS, f"SELECT code, end_date, {S.r('total / 90', 4)} AS score FROM wins WHERE {TRAINING}")
+def _(spark, sf_dir):
+    scored = score.batch_score(_training(spark, sf_dir), lambda windows: windows.astype("float64").mean(axis=(1, 2)), batch=128)
+    return scored.select("code", "end_date", rounded(C("score"), 4).alias("score"))
+
+
+@query("shuffled_samples", *FEATS, *WINDOWS, f"SELECT code, start_date, end_date, {S.r('label')} AS label FROM wins WHERE {TRAINING}")
+def _(spark, sf_dir):
+    return samples.shuffled(_training(spark, sf_dir), 7).select("code", "start_date", "end_date", rounded(C("label")).alias("label"))
+
+
 @query("date_split", *FEATS, *WINDOWS, "days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM alive))",
        f"SELECT code, start_date, end_date, CASE WHEN end_date < (SELECT date FROM days WHERE k = floor(n * 0.9)) THEN 'train' ELSE 'test' END AS split FROM wins WHERE {TRAINING}")
 def _(spark, sf_dir):

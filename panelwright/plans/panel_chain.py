@@ -1,6 +1,7 @@
 """The fixed chain from bars to a labelled, normalised panel.
 
-Two exchanges do the work: by code for the rolling part, by date for the cross-section.
+The rolling part runs by code, the cross-section by date. The panel is written twice on the way: where
+the one ends and the other begins, and in the orthogonalisation, which reads its input twice.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from panelwright.operators.factors import with_factors
 from panelwright.operators.labels import date_labels, forward_target
 from panelwright.operators.normalize import cross_ranks, market_relative, normalize, orthogonalize
 from panelwright.operators.panel import asof_fundamentals, fill_fundamentals, labelled, universe_filter
+from panelwright.sources.scratch import materialise
 
 
 def code_stage(bars: DataFrame, fundamentals: DataFrame | None = None, null_missing: bool = False) -> DataFrame:
     """As-of fundamentals, factors, normalisation and target of each code, in this order."""
     if fundamentals is not None:
         bars = fill_fundamentals(asof_fundamentals(bars, fundamentals), null_missing)
-    return forward_target(normalize(with_factors(bars)))
+    return normalize(forward_target(with_factors(bars)))
 
 
 def date_stage(panel: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def date_stage(panel: DataFrame) -> DataFrame:
 def build_panel(bars: DataFrame, fundamentals: DataFrame | None = None, mode: str = "train", min_price: float = 2.0, min_bars: int = 60) -> DataFrame:
     """The whole chain. Mode ``predict`` keeps the unlabelled tail."""
     panel = code_stage(bars, fundamentals)
-    return date_stage(universe_filter(labelled(panel, mode), min_price, min_bars))
+    return date_stage(materialise(universe_filter(labelled(panel, mode), min_price, min_bars)))
 
 
 def flagship(bars: DataFrame, k: int = 5) -> DataFrame:

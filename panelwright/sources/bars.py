@@ -24,6 +24,12 @@ def read_bars(spark: SparkSession, path: str, suffix: str = ".parquet") -> DataF
     return bars.withColumn("code", code)
 
 
+def read_fundamentals(spark: SparkSession, path: str) -> DataFrame:
+    """Fundamentals from a folder with one file a code: code, date and those of the six columns that the files have."""
+    found = read_bars(spark, path)
+    return found.select("code", "date", *(c for c in FUNDAMENTALS if c in found.columns))
+
+
 def read_intraday(spark: SparkSession, path: str, grain: int, min_rows: int = 100) -> DataFrame:
     """Intraday bars of one grain, from files ``{code}_{grain}m.parquet``; codes under ``min_rows`` rows are left out."""
     return min_history(read_bars(spark, path, f"_{grain}m.parquet"), min_rows - 1)
@@ -44,12 +50,13 @@ def materialise_panel(panel: DataFrame, path: str, as_of: str, mode: str, refres
     return spark.read.parquet(target)
 
 
-def canonical(df: DataFrame, names: Mapping[str, str], numeric: Sequence[str], date: str = "date") -> DataFrame:
-    """Rename the columns that exist, make numbers and dates of text (NULL if that fails), drop incomplete rows."""
+def canonical(df: DataFrame, names: Mapping[str, str], numeric: Sequence[str], date: str = "date", times: Sequence[str] = ()) -> DataFrame:
+    """Rename the columns that exist, make numbers, dates and timestamps of text (NULL if that fails), drop incomplete rows."""
     df = df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns})
     casts = {c: F.col(c).try_cast("double") for c in numeric if c in df.columns}
     if date in df.columns:
         casts[date] = F.col(date).try_cast("date")
+    casts |= {c: F.col(c).try_cast("timestamp_ntz") for c in times if c in df.columns}
     return df.withColumns(casts).na.drop("any")
 
 
@@ -71,15 +78,26 @@ def needs_refresh(loads: DataFrame, today, days: int = 7) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: Sequence[str], date: str = "date") -> DataFrame:
-    """A row a column: values, NULLs, least, greatest, mean; with the table's date range."""
+    """A row a column: type, values, NULLs, least, greatest, mean; with the table's date range."""
+    kinds = dict(df.dtypes)
     parts = []
     for c in columns:
         parts += [F.count(c).alias(f"n_{c}"), F.count_if(F.col(c).isNull()).alias(f"z_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.avg(c).alias(f"m_{c}")]
     one = df.agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), *parts)
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n"), F.col(f"z_{c}").alias("nulls"), F.col(f"lo_{c}").alias("low"), F.col(f"hi_{c}").alias("high"), F.col(f"m_{c}").alias("mean")) for c in columns))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.col(f"n_{c}").alias("n"), F.col(f"z_{c}").alias("nulls"), F.col(f"lo_{c}").alias("low"), F.col(f"hi_{c}").alias("high"), F.col(f"m_{c}").alias("mean")) for c in columns))
     return one.select("first_date", "last_date", F.explode(rows).alias("r")).select("r.*", "first_date", "last_date")
 
 
+def head(df: DataFrame, n: int = 5, order: Sequence[str] = ("code", "date")) -> DataFrame:
+    """The first n rows in an order."""
+    return df.orderBy(*order).limit(n)
+
+
+def tail(df: DataFrame, n: int = 5, order: Sequence[str] = ("code", "date")) -> DataFrame:
+    """The last n rows in an order."""
+    return df.orderBy(*(F.desc(c) for c in order)).limit(n)
+
+
 def sample_code(bars: DataFrame, seed: int) -> DataFrame:
     """All bars of one code picked at random."""
     one = bars.select("code").distinct().orderBy(F.xxhash64("code", F.lit(seed))).limit(1)
