@@ -2,42 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.sources.scratch import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session takes
-    a temporary folder and any other session a folder beside the warehouse.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            told = tempfile.mkdtemp(prefix="panelwright-")
-        else:
-            told = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", told)
-    return told.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation. The caller of an
-    operator may delete the folder's ``panelwright-*`` tables after its result is written.
-    """
-    path = f"{shared_dir(df.sparkSession)}/panelwright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bit_filter", "grouped", "held_by", "materialise", "passes", "shared_dir"]
 
 
 def grouped(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:

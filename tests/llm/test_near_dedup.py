@@ -88,6 +88,26 @@ def test_large_group_of_near_copies(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_loosely_alike_group_and_repeated_rows(spark):
+    """Of a large group whose pairs lie around 0.8, all but a few linked pairs come out in one class; rows that repeat cost no squares."""
+    rng = random.Random(12)
+    base = [f"u{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for k in range(250):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randrange(1, 7)):
+            copy[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(copy), "s", "en"))
+    sets = [shingles(r[1]) for r in rows]
+    alike = [(a, b) for a in range(250) for b in range(a) if sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values())]
+    rows += [rows[3]] * 3000 + [rows[4]] * 3000
+    got = {r.doc_id: r.class_id for r in near_duplicates(frame(spark, rows)).collect()}
+    together = sum(got[a] == got[b] for a, b in alike)
+    assert len(alike) > 3000 and together >= 0.999 * len(alike)
+    expected = [(r[0], min(g)) for g in groups(alike) for r in rows[:250] if r[0] in g]
+    assert sum(got[d] == c for d, c in expected) >= 0.99 * len(expected)
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs just above 0.8, each by itself: at least 99 of 100 are found."""
     rows = []
