@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelwright.sources.scratch import materialise, shared_dir
 
-__all__ = ["bit_filter", "grouped", "held_by", "materialise", "passes", "shared_dir"]
+__all__ = ["bit_filter", "boxed", "grouped", "held_by", "materialise", "passes", "shared_dir"]
 
 
 def grouped(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
@@ -29,6 +29,11 @@ def grouped(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFra
     )
 
 
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """(``doc``, a struct of all columns, and named keys): no name of a column can clash with those of a join."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(k.alias(name) for name, k in keys.items()))
+
+
 def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of ``2 ** bits`` bits with one set for the top bits of each hash in ``column``.
 

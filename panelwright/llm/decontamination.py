@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import words as W
-from panelwright.llm.common import bit_filter, grouped, materialise, passes
+from panelwright.llm.common import bit_filter, boxed, grouped, materialise, passes
 
 WIDTH, GRAM = 13, 6
 #: Least and most bits of the filter that spares fingerprints the join: 1 MB to 128 MB, sixteen bits for each of the benchmark's.
@@ -174,5 +174,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows of ``docs`` that are not contaminated, all columns."""
     found = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated")
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    return docs.join(found, same, "left_anti")
+    keys = boxed(docs, id=F.col(id_col), hash=F.xxhash64(text_col))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    return keys.join(found, same, "left_anti").select("doc.*")

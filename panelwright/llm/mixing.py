@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import words as W
-from panelwright.llm.common import materialise
+from panelwright.llm.common import boxed, materialise
 
 MARGINS = ("source", "lang", "topic")
 BINS = 256
@@ -152,5 +152,6 @@ def sample_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that ``mix`` draws, all columns."""
     drawn = mix(docs, id_col=id_col, text_col=text_col, **options).where("kept")
     drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).dropDuplicates(["_id", "_hash"])
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    return docs.join(drawn, same, "left_semi")
+    keys = boxed(docs, id=F.col(id_col), hash=F.xxhash64(text_col))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    return keys.join(drawn, same, "left_semi").select("doc.*")

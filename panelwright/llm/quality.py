@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import words as W
-from panelwright.llm.common import grouped, materialise
+from panelwright.llm.common import boxed, grouped, materialise
 
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
@@ -136,16 +136,14 @@ def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept"), F.col("removed_lines").alias("_gone"))
         .dropDuplicates(["_id", "_host", "_hash"])
     )
-    same = (
-        F.col(id_col).eqNullSafe(F.col("_id"))
-        & (F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("_host"))
-        & (F.xxhash64(text_col) == F.col("_hash"))
-    )
-    split = F.split(text_col, "\n", -1)
+    keys = boxed(docs, id=F.col(id_col), host=F.coalesce(F.col(host_col).cast("string"), F.lit("")), hash=F.xxhash64(text_col))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")) & (F.col("hash") == F.col("_hash"))
+    kept, old = keys.join(changes, same, "left").where(F.coalesce("_kept", F.lit(True))), F.col("doc").getField(text_col)
+    split = F.split(old, "\n", -1)
     spans = F.arrays_zip(F.concat(F.array(F.lit(-1)), "_gone").alias("after"), F.concat("_gone", F.array(F.size(split))).alias("until"))
     runs = F.transform(spans, lambda s: F.slice(split, s["after"] + 2, s["until"] - s["after"] - 1))
-    text = F.when(F.size("_gone") > 0, F.array_join(F.flatten(runs), "\n")).otherwise(F.col(text_col))
-    kept = docs.join(changes, same, "left").where(F.coalesce("_kept", F.lit(True))).withColumn(text_col, text)
+    kept = kept.withColumn("new", F.when(F.size("_gone") > 0, F.array_join(F.flatten(runs), "\n")).otherwise(old))
+    changed = {text_col: F.col("new")}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+        changed["n_chars"] = F.char_length("new").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(changed.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
