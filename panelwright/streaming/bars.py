@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def intraday_bars(events: DataFrame, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
@@ -31,6 +31,30 @@ def intraday_bars(events: DataFrame, minutes: int = 5, late: str = "10 minutes")
     )
 
 
+class LateEvents(StreamingQueryListener):
+    """Counts the events that the watermark has dropped, by query id, from every progress report since it was added.
+
+    ``spark.streams.addListener(LateEvents())`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        late = sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+        self.dropped[str(progress.id)] = self.dropped.get(str(progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def late_events(query: StreamingQuery) -> int:
-    """Events that the watermark has dropped so far, as far as progress reports are kept."""
+    """Events that the watermark has dropped, in the progress reports that are still kept; ``LateEvents`` counts all."""
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])

@@ -1,6 +1,7 @@
 import datetime as dt
+import time
 
-from panelwright.streaming.bars import intraday_bars, late_events
+from panelwright.streaming.bars import LateEvents, intraday_bars, late_events
 
 T0 = dt.datetime(2024, 1, 1, 9, 0)
 
@@ -17,6 +18,8 @@ def test_stream_equals_batch_on_closed_bars(spark, tmp_path):
     for k, part in enumerate(files):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    late = LateEvents()
+    spark.streams.addListener(late)
     query = intraday_bars(stream).writeStream.outputMode("append").format("memory").queryName("bars_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(240)
     got = {tuple(r) for r in spark.table("bars_out").collect()}
@@ -24,3 +27,9 @@ def test_stream_equals_batch_on_closed_bars(spark, tmp_path):
     expected = {tuple(r) for r in intraday_bars(on_time).collect() if r.ts < T0 + dt.timedelta(minutes=75)}
     assert {r for r in got if r[1] < T0 + dt.timedelta(minutes=75)} == expected
     assert late_events(query) == 1
+    for _ in range(100):
+        if late.dropped.get(str(query.id)):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.dropped[str(query.id)] == 1
