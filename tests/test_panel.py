@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 from panelwright.operators.calendar import fill_gaps
 from panelwright.operators.factors import with_factors
 from panelwright.operators.labels import forward_target
-from panelwright.operators.normalize import normalize
+from panelwright.operators.normalize import RANKED, RELATIVE, normalize
 from panelwright.operators.panel import asof_fundamentals, fill_fundamentals, look_back_prune, universe_filter
+from panelwright.plans.panel_chain import build_panel, code_stage
 from panelwright.sources import bars as src
+from panelwright.sources.scratch import clean, materialise
 
 DAY = dt.date(2020, 1, 1)
 BAR = "code string, date date, open double, high double, low double, close double, volume double"
@@ -98,6 +101,52 @@ def test_coercion_and_files(spark, tmp_path):
     assert {r.code for r in src.read_intraday(spark, str(tmp_path), 5).select("code").distinct().collect()} == {"000001"}
 
 
+def test_fundamental_files_and_bucketed_bars(spark, tmp_path):
+    for code in ("a", "b"):
+        pd.DataFrame({"date": [day(0), day(9)], "roe": [1.0, None], "note": ["x", "y"]}).to_parquet(tmp_path / f"{code}.parquet")
+    assert src.read_fundamentals(spark, str(tmp_path)).columns == ["code", "date", "roe"]
+    assert sorted(map(tuple, src.read_fundamentals(spark, str(tmp_path)).fillna(-1).collect())) == [("a", day(0), 1.0), ("a", day(9), -1.0), ("b", day(0), 1.0), ("b", day(9), -1.0)]
+    bars = make_bars(spark, 5)
+    src.write_bars(bars, "bucketed_bars", 4)
+    stored = forward_target(spark.table("bucketed_bars"), 1)
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+    assert stored.count() == 10 and sorted(map(tuple, spark.table("bucketed_bars").collect())) == sorted(map(tuple, bars.collect()))
+    spark.sql("DROP TABLE bucketed_bars")
+
+
+def test_scratch_tables_are_deleted(spark):
+    kept = materialise(spark.range(5))
+    assert kept.count() == 5 and clean(spark) >= 1 and clean(spark) == 0
+
+
+def test_chain_against_pandas(spark):
+    """Cross-section of the whole chain, computed again in pandas from the rolling part."""
+    codes = tuple(f"c{k}" for k in range(12))
+    bars = make_bars(spark, 140, codes)
+    reports = spark.createDataFrame([(c, day(20 * k), float(k + i), 1.0, 2.0 * i, 3.0, 5.0 + i, 2.0) for i, c in enumerate(codes) for k in range(4)], f"code string, date date, {', '.join(f'{c} double' for c in src.FUNDAMENTALS)}")
+    got = build_panel(bars, reports).toPandas().sort_values(["date", "code"]).reset_index(drop=True)
+    pdf = code_stage(bars, reports).toPandas().sort_values(["code", "date"])
+    pdf = pdf[pdf.target.notna() & (pdf.volume > 0) & (pdf.close >= 2)]
+    pdf = pdf[pdf.groupby("code").cumcount() > 60].sort_values(["date", "code"]).reset_index(drop=True)
+    assert len(pdf) > 700 and pdf[["code", "date"]].equals(got[["code", "date"]])
+    by = pdf.groupby("date")
+    for c in RANKED:
+        mid = by[c].transform("median")
+        mad = (pdf[c] - mid).abs().groupby(pdf.date).transform("median") * 3 * 1.4826
+        rank = pdf[c].clip(mid - mad, mid + mad).groupby(pdf.date).rank(pct=True)
+        assert np.allclose(got[f"cs_rank_{c}"], (rank - 0.5) * 2), c
+    for c in RELATIVE:
+        assert np.allclose(got[f"mkt_mean_{c}"], by[c].transform("mean")) and np.allclose(got[f"rel_{c}"], pdf[c] - by[c].transform("mean"))
+    assert np.allclose(got.rank_label, by.target.rank(pct=True)) and np.allclose(got.excess_label, pdf.target - by.target.transform("mean"))
+    styles = [c for c in pdf.columns if c.startswith("style_")]
+    for date, part in by:
+        m = part[styles].to_numpy()
+        m = (m - m.mean(0)) / (m.std(0) + 1e-9)
+        u, size, v = np.linalg.svd(m, full_matrices=False)
+        if size[-1] > 1e-3 * size[0]:
+            assert np.allclose(got.loc[got.date == date, styles], u @ v * np.sqrt(len(part)), atol=1e-5), date
+
+
 def test_panel_cache(spark, tmp_path):
     first = spark.range(3).toDF("x")
     assert src.materialise_panel(first, str(tmp_path), "2024-01-01", "train").count() == 3
