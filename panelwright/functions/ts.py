@@ -129,12 +129,13 @@ def with_rolling_zscore(df: DataFrame, columns: Sequence[str], n: int) -> DataFr
     df = df.withColumn("_n", cum_count())
     df = df.withColumns({"_block": F.floor(F.col("_n") / n), "_at": F.col("_n") % n})
     w = Window.partitionBy("code", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    code = Window.partitionBy("code").orderBy("_block", "date")  # so that both windows have one sort
     df = df.withColumn("_base", F.array(*(F.first(c).over(w) for c in columns)))
     ahead = [F.col(c) - F.col("_base")[i] for i, c in enumerate(columns)]
     df = df.withColumns({"_one": F.array(*(F.sum(x).over(w) for x in ahead)), "_two": F.array(*(F.sum(x * x).over(w) for x in ahead))})
     here = F.struct("_base", "_one", "_two")
     end = F.when(F.col("_at") == n - 1, here)
-    df = df.withColumns({"_gone": F.lag(here, n).over(by_code()), "_last": F.last(end, ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, -1))})
+    df = df.withColumns({"_gone": F.lag(here, n).over(code), "_last": F.last(end, ignorenulls=True).over(code.rowsBetween(Window.unboundedPreceding, -1))})
 
     def zscore(i: int, c: str) -> Column:
         base, one, two = (F.col(x)[i] for x in ("_base", "_one", "_two"))
@@ -183,24 +184,45 @@ def with_ewm(df: DataFrame, columns: Sequence[tuple[str, str, float, bool]], blo
     fixed lags; other bars add the decayed value of the last block end. So it takes a few windows on the
     code, in time linear in the bars, at any length of series.
     """
+    sizes = {}
+    for name, _, alpha, _ in columns:
+        d = 1 - alpha
+        sizes[name] = max(block, math.ceil(math.log(1e17) / (16 * -math.log(d)))) if 0 < d < 1 else block
     df = df.withColumn("_n", cum_count())
+    for size in dict.fromkeys(sizes.values()):
+        df = _ewm_blocks(df, [c for c in columns if sizes[c[0]] == size], size)
+    return df.drop("_n")
+
+
+def _ewm_blocks(df: DataFrame, columns: Sequence[tuple[str, str, float, bool]], block: int) -> DataFrame:
+    """The means whose blocks have one size, in shared windows. All of these sort by (code, block, date), so one sort serves them."""
+    df = df.withColumns({"_block": F.floor(F.col("_n") / block), "_at": (F.col("_n") % block).cast("double")})
+    code = Window.partitionBy("code").orderBy("_block", "date")
+    so_far_, before = (code.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
     in_block = Window.partitionBy("code", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    least, size = block, 0
-    for name, series, alpha, adjust in columns:
-        d, x = 1 - alpha, F.col(series)
-        block = max(least, math.ceil(math.log(1e17) / (16 * -math.log(d)))) if 0 < d < 1 else least
-        if block != size:
-            df, size = df.withColumns({"_block": F.floor(F.col("_n") / block), "_at": (F.col("_n") % block).cast("double")}), block
-        df = df.withColumn("_seen", F.count(x).over(so_far()))
-        u = F.coalesce(x, F.lit(0.0))
-        u = u if adjust else F.when(F.col("_seen") == 1, u).otherwise(alpha * u)
-        df = df.withColumn("_u", u * F.pow(F.lit(d), -F.col("_at")))
-        df = df.withColumn("_z", F.sum("_u").over(in_block) * F.pow(F.lit(d), F.col("_at")))
-        ends = sum((F.coalesce(delay(F.col("_z"), block * k), F.lit(0.0)) * d ** (block * k) for k in range(1, 17)), F.col("_z"))
-        df = df.withColumn("_end", F.when(F.col("_at") == block - 1, ends))
-        carried = F.coalesce(F.last("_end", ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        y = F.col("_z") + F.pow(F.lit(d), F.col("_at") + 1) * carried
-        if adjust:
-            y = y * alpha / (1 - F.pow(F.lit(d), F.col("_seen").cast("double")))
-        df = df.withColumn(name, F.when(F.col("_seen") > 0, y))
-    return df.drop("_n", "_block", "_at", "_seen", "_u", "_z", "_end")
+    at, every = F.col("_at"), list(enumerate(columns))
+    df = df.withColumns({f"_seen{i}": F.count(series).over(so_far_) for i, (_, series, _, _) in every})
+
+    def decayed(i: int, series: str, alpha: float, adjust: bool) -> Column:
+        u = F.coalesce(F.col(series), F.lit(0.0))
+        u = u if adjust else F.when(F.col(f"_seen{i}") == 1, u).otherwise(alpha * u)
+        return u * F.pow(F.lit(1 - alpha), -at)
+
+    df = df.withColumns({f"_u{i}": decayed(i, *rest) for i, (_, *rest) in every})
+    df = df.withColumns({f"_z{i}": F.sum(f"_u{i}").over(in_block) * F.pow(F.lit(1 - alpha), at) for i, (_, _, alpha, _) in every})
+
+    def end(i: int, d: float) -> Column:
+        z = F.col(f"_z{i}")
+        blocks = sum((F.coalesce(delay(z, block * k, code), F.lit(0.0)) * d ** (block * k) for k in range(1, 17)), z)
+        return F.when(at == block - 1, blocks)
+
+    df = df.withColumns({f"_end{i}": end(i, 1 - alpha) for i, (_, _, alpha, _) in every})
+
+    def mean(i: int, alpha: float, adjust: bool) -> Column:
+        carried = F.coalesce(F.last(f"_end{i}", ignorenulls=True).over(before), F.lit(0.0))
+        y = F.col(f"_z{i}") + F.pow(F.lit(1 - alpha), at + 1) * carried
+        seen = F.col(f"_seen{i}")
+        return F.when(seen > 0, y * alpha / (1 - F.pow(F.lit(1 - alpha), seen.cast("double"))) if adjust else y)
+
+    df = df.withColumns({name: mean(i, alpha, adjust) for i, (name, _, alpha, adjust) in every})
+    return df.drop("_block", "_at", *(f"_{x}{i}" for i, _ in every for x in ("seen", "u", "z", "end")))
