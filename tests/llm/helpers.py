@@ -11,3 +11,12 @@ def frame(spark, rows, clash="row int, text_hash string, kept string, host strin
     """Documents from (doc_id, text, source, lang), with further columns of clashing names."""
     extra = [None] * len(clash.split(", "))
     return spark.createDataFrame([(*r, *extra) for r in rows], f"doc_id long, text string, source string, lang string, {clash}")
+
+
+def thue_morse(doublings):
+    """Two texts of a and b, each the other with the letters swapped: sums of powers of an odd base modulo 2 ** 64 cannot tell them apart."""
+    swap = str.maketrans("ab", "ba")
+    text = "a"
+    for _ in range(doublings):
+        text += text.translate(swap)
+    return text, text.translate(swap)

@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pyarrow as pa
-from helpers import alnum_words, frame
+from helpers import alnum_words, frame, thue_morse
 
 from panelwright.llm import near_dedup
 from panelwright.llm.graph import components
@@ -146,6 +146,12 @@ def test_blocks_of_a_bucket_link_what_is_alike(monkeypatch):
     assert top(list(zip(*(c.to_pylist() for c in found.columns), strict=True))) == top(alike) and len(alike) > found.num_rows > 0
 
 
+def test_words_of_one_form_are_told_apart():
+    texts = [" ".join([word] * 5) for word in thue_morse(11)]
+    assert near_dedup.similarity(pa.array(texts), pa.array(texts[::-1]), 5).tolist() == [0.0, 0.0]
+    assert near_dedup.similarity(pa.array(texts), pa.array(texts), 5).tolist() == [1.0, 1.0]
+
+
 def test_empty(spark):
     assert near_duplicates(frame(spark, [])).collect() == [] and drop_near_duplicates(frame(spark, [])).collect() == []
 

@@ -1,7 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
-from helpers import TO_LOWER, frame
+from helpers import TO_LOWER, frame, thue_morse
 
 from panelwright.llm.quality import filter_quality, quality
 
@@ -59,3 +59,9 @@ def test_filter_removes_lines_and_documents(spark):
 
 def test_empty(spark):
     assert quality(frame(spark, [])).collect() == [] and filter_quality(frame(spark, [])).collect() == []
+
+
+def test_lines_and_windows_of_one_form_are_told_apart(spark):
+    one, two = thue_morse(11)
+    lines = [(1, f"{one}\n{two}\n{one} {two}\n{two} {one}", "h", "en"), (2, " ".join([*"abcdefg", one, *"abcdefg", two]), "h", "en")]
+    assert rows_of(frame(spark, lines), max_share=0.02, min_docs=10, min_left=1 / 3) == plain([r[:3] for r in lines], 0.02, 10, 1 / 3)

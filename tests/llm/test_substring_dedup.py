@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from helpers import thue_morse
 
 from panelwright.llm.queries import op9_substring_dedup
 from panelwright.llm.substring_dedup import dedup_substrings
@@ -27,8 +28,11 @@ def got(df):
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("part", [8192, 3])
-def test_small_strings_against_brute_force(spark, part):
+@pytest.mark.parametrize(("part", "bits"), [(8192, 24), (3, 7)])
+def test_small_strings_against_brute_force(spark, part, bits, monkeypatch):
+    """Groups sorted whole with filters, and in parts with semi-joins."""
+    monkeypatch.setattr("panelwright.llm.substring_dedup.ANCHOR_BITS", bits)
+    monkeypatch.setattr("panelwright.llm.substring_dedup.TEXT_BITS", bits)
     rng = random.Random(5)
     passage = "".join(rng.choice("abcdé") for _ in range(60))
     texts = []
@@ -43,10 +47,7 @@ def test_small_strings_against_brute_force(spark, part):
 
 
 def test_repeated_rows_and_thue_morse_texts(spark):
-    morse = "a"
-    for _ in range(11):
-        morse += morse.translate(str.maketrans("ab", "ba"))
-    texts = [*((7, "one document, many rows. " * 20) for _ in range(3000)), (8, morse), (9, morse.translate(str.maketrans("ab", "ba")))]
+    texts = [*((7, "one document, many rows. " * 20) for _ in range(3000)), *zip((8, 9), thue_morse(11), strict=True)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert got(dedup_substrings(docs, part=2)) == plain(texts, 200)
     assert got(dedup_substrings(docs)) == plain(texts, 200)
