@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import words as W
-from panelwright.llm.common import grouped, materialise
+from panelwright.llm.common import boxed, grouped, materialise
 from panelwright.llm.graph import components
 
 SHINGLE, BANDS, ROWS = 5, 24, 6
@@ -162,8 +162,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return materialise(both.mapInArrow(_verify(shingle, least), "a long, b long"))
 
 
-#: Most texts and characters in a block of a crowded bucket.
-BLOCK, BLOCK_CHARS = 1024, 1 << 22
+#: Least and most texts in a block of a crowded bucket, and its most characters.
+BLOCK, BLOCK_CHARS = (128, 1024), 1 << 21
 #: Up to so many texts, those that share a shingle are listed pair by pair.
 FEW = 16
 
@@ -242,13 +242,14 @@ def _links(shingle: int, least: float):
 def _join_classes(members: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """``roots`` after all texts of different classes that share a bucket of ``members`` (node, bucket) are compared.
 
-    A bucket is cut into blocks, and each two of its blocks are one group, whose pairs are compared
+    A bucket is cut into blocks, the larger the bucket the larger they are, and each two of its blocks are one group, whose pairs are compared
     without becoming rows. Only links come out.
     """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "chars"), "node")
     placed = materialise(placed)
     several = grouped(placed, ["bucket"], n=F.count("*"), chars=F.sum("chars"), low=F.min("root"), high=F.max("root"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
+    block = F.least(F.lit(BLOCK[1]), F.greatest(F.lit(BLOCK[0]), 5 * F.sqrt("n")))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
     several = several.where(F.col("low") < F.col("high")).select("bucket", blocks)
     crowd = materialise(placed.join(several, "bucket").select("bucket", "node", "root", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "blocks"))
     met = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts.select("node", "text"), "node")
@@ -333,6 +334,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each class, all columns: the one with the smallest id. Equal rows count once."""
     leaders = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("leader")
     leaders = leaders.select(F.col("doc_id").alias("_id"), F.coalesce("text_hash", F.lit(0)).alias("_hash"))
-    keyed = docs.withColumn("_row_hash", F.coalesce(F.xxhash64(text_col), F.lit(0)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash"))
-    return keyed.join(leaders, same, "left_semi").dropDuplicates([id_col, "_row_hash"]).drop("_row_hash")
+    keys = boxed(docs, id=F.col(id_col), hash=F.coalesce(F.xxhash64(text_col), F.lit(0)))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    return keys.join(leaders, same, "left_semi").dropDuplicates(["id", "hash"]).select("doc.*")
