@@ -224,7 +224,7 @@ def _encode(model: bytes):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pieces(model)
         for batch in batches:
-            for lo, n in _runs(batch.column(1)):
+            for lo, n in runs(batch.column(1)):
                 part = batch.slice(lo, n)
                 ids = [held.encode(t or "") for t in part.column(1).to_pylist()]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -234,7 +234,7 @@ def _encode(model: bytes):
     return encode
 
 
-def _runs(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def runs(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """(first, number) of runs of rows with about ``limit`` bytes."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import pieces
+from panelwright.llm.alignment import align
 from panelwright.llm.decontamination import decontaminate
 from panelwright.llm.line_dedup import dedup_lines
 from panelwright.llm.mixing import mix
@@ -80,6 +81,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align(table(spark, sf_dir, "documents"), *models)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
+        "op11_token_alignment": op11_token_alignment,
         "op13_sentencepiece": op13_sentencepiece,
     }
 
