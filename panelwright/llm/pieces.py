@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 BLANK = "▁"
 #: Cuts whose ids are kept in a task, the longest of them, and pairs of pieces that are kept.
-KEPT, KEPT_CHARS, KEPT_PAIRS = 1 << 19, 64, 1 << 18
+KEPT, KEPT_CHARS, KEPT_PAIRS = 1 << 18, 64, 1 << 18
 #: Characters of a text that are looked at together.
 PART = 1 << 20
 
@@ -88,6 +88,7 @@ class Pieces(dict):
 
     def __init__(self, model: bytes):
         super().__init__()
+        self.old: dict[str, tuple[int, ...]] = {}
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
@@ -146,9 +147,10 @@ class Pieces(dict):
         return tuple(out)
 
     def __missing__(self, cut: str) -> tuple[int, ...]:
-        found = self.encode_cut(cut)
+        found = self.old.pop(cut, None) or self.encode_cut(cut)
         if len(cut) <= KEPT_CHARS:
-            if len(self) >= KEPT:
+            if len(self) >= KEPT // 2:  # what does not come again before the half fills up is forgotten
+                self.old = dict(self)
                 self.clear()
             self[cut] = found
         return found
@@ -256,16 +258,20 @@ def _decode(model: bytes):
     return decode
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of each whole text as a list of int, as the model's own library gives them.
 
     ``model_path`` is a SentencePiece model of type BPE with byte pieces and no normalisation; the driver reads it, its bytes go
-    to the tasks. One row for each row of ``docs``: null and empty texts have no ids; ids of documents may be null
-    or repeat; further columns are ignored. A text takes time in proportion to its length, also one without blanks.
+    to the tasks. With ``decoded`` the ids are decoded too, in the same pass (a further column, as by ``decode``). One row for each row of
+    ``docs``: null and empty texts have no ids; ids of documents may be null or repeat; further columns are ignored. A text takes time in
+    proportion to its length, also one without blanks.
     """
     keys = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = keys.schema["doc_id"].dataType.simpleString()
-    return keys.mapInArrow(_encode(read_model(model_path)), f"doc_id {kind}, ids array<int>")
+    ddl = f"doc_id {keys.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+    there, back = _encode(model := read_model(model_path)), _decode(model)
+    if not decoded:
+        return keys.mapInArrow(there, ddl)
+    return keys.mapInArrow(lambda batches: back(there(batches)), f"{ddl}, decoded string")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -87,8 +87,7 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    both = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     sha = lambda text: F.sha2(text.cast("binary"), 256)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(ids).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
