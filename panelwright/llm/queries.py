@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelwright.llm import pieces
 from panelwright.llm.alignment import align
 from panelwright.llm.decontamination import decontaminate
+from panelwright.llm.hard_negatives import mine, usable
 from panelwright.llm.line_dedup import dedup_lines
 from panelwright.llm.mixing import mix
 from panelwright.llm.near_dedup import near_duplicates
@@ -86,6 +87,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), *models)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(usable(table(spark, sf_dir, "embeddings"), label), F.col("vec_id") % 100 == 0)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -106,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
         "op11_token_alignment": op11_token_alignment,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_sentencepiece": op13_sentencepiece,
     }
 
@@ -198,6 +205,30 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM flagged GROUP BY doc_id
 """
 
+OP12_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, o.vec_id, o.label = a.label AS same, CAST(list_inner_product(a.x, o.x) AS BIGINT) AS score
+    FROM v a JOIN v o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_line_dedup": OP6_SQL, "op12_hard_negatives": OP12_SQL}
