@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelwright.functions.cross import average_rank
+from panelwright.functions.ordered import BLOCK, halo_window, with_halo, with_position
 from panelwright.functions.scalar import ratio
 from panelwright.functions.ts import cum_max, cum_prod, ts_corr
 
@@ -98,9 +99,20 @@ def long_short(wide: DataFrame, n: int = 5) -> DataFrame:
     return wide.select("date", spread.alias("spread"), cum_prod(1 + spread, Window.orderBy("date")).alias("curve"))
 
 
-def factor_screen(panel: DataFrame, factors: Sequence[str], target: str = "target", n: int = 60, least: float = 0.01) -> DataFrame:
-    """(factor, ic, ir, selected): mean and ratio of the rolling correlation of each factor with the target, by code."""
-    wide = panel.withColumns({f"_c_{f}": ts_corr(F.col(f), F.col(target), n) for f in factors})
+def factor_screen(
+    panel: DataFrame, factors: Sequence[str], target: str = "target", n: int = 60, least: float = 0.01, order: Sequence[str] | None = None, block: int = BLOCK
+) -> DataFrame:
+    """(factor, ic, ir, selected): mean and ratio of the rolling correlation of each factor with the target.
+
+    By code; or, with ``order``, over the whole frame in that order, so that windows also run from one code into the next. The frame
+    is cut into blocks of ``block`` rows, and each borrows the ``n`` - 1 rows before it.
+    """
+    w = None
+    if order is not None:
+        panel = with_halo(with_position(panel.select(*dict.fromkeys((*order, *factors, target))), order), n, block=block)
+        w = halo_window()
+    wide = panel.withColumns({f"_c_{f}": ts_corr(F.col(f), F.col(target), n, w) for f in factors})
+    wide = wide if order is None else wide.where("_own")
     pairs = ", ".join(f"'{f}', `_c_{f}`" for f in factors)
     long = wide.select(F.expr(f"stack({len(factors)}, {pairs}) as (factor, c)"))
     return long.groupBy("factor").agg(

@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from panelwright.functions.cross import by_date, cs_mean, cs_rank, mad_bounds
 from panelwright.functions.scalar import clip, tidy
 from panelwright.functions.ts import forward_fill, with_rolling_zscore
-from panelwright.sources.scratch import materialise
 
 #: Prefixes of factors that are normalised through time.
 NORMALISED = ("style_", "tech_", "alpha_", "adv_", "ind_", "fund_")
@@ -82,9 +81,12 @@ def orthogonalize(panel: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """Symmetric (Löwdin) orthogonalisation of the ``style_*`` columns within each date, in place.
 
     Columns are standardised (population deviation + 1e-9), multiplied by the inverse root of their
-    Gram matrix, and standardised again. Spark sums the Gram matrices; only these k · k numbers a date
+    Gram matrix, and standardised again; NULL counts as 0. Spark sums the Gram matrices; only these k · k numbers a date
     go through Python. Directions with an eigenvalue under 1e-10 of the largest are left at 0, so
     collinear columns and dates with fewer codes than columns have a defined result.
+
+    The sums read date and ``columns`` alone, apart from the pass that makes the result: hand in a table that is written already
+    where ``panel`` is costly.
     """
     columns = [c for c in panel.columns if c.startswith("style_")] if columns is None else list(columns)
     k, w = len(columns), by_date()
@@ -92,13 +94,13 @@ def orthogonalize(panel: DataFrame, columns: Sequence[str] | None = None) -> Dat
     def standard(df: DataFrame, source: Sequence[str], target: Sequence[str]) -> DataFrame:
         return df.withColumns({t: (F.col(s) - F.avg(s).over(w)) / (F.stddev_pop(s).over(w) + 1e-9) for s, t in zip(source, target, strict=True)})
 
-    z = [f"_z{i}" for i in range(k)]
-    df = materialise(standard(panel, columns, z))  # read twice: for the sums and for the product
+    z, mixed = [f"_z{i}" for i in range(k)], [f"_m{j}" for j in range(k)]
+    filled = panel.withColumns({f"_f{i}": F.coalesce(F.col(c), F.lit(0.0)) for i, c in enumerate(columns)})
+    df = standard(filled, [f"_f{i}" for i in range(k)], z)
     sums = [F.sum(F.col(z[i]) * F.col(z[j])) for i in range(k) for j in range(i, k)]
-    gram = df.groupBy("date").agg(F.array(*sums).alias("gram"))
+    gram = df.select("date", *z).groupBy("date").agg(F.array(*sums).alias("gram"))
     kind = panel.schema["date"].dataType.simpleString()
     maps = gram.mapInPandas(_inverse_root(k), f"date {kind}, map array<double>")
-    mixed = [f"_m{j}" for j in range(k)]
     df = df.join(maps, "date").withColumns({mixed[j]: sum((F.col(z[i]) * F.col("map")[i * k + j] for i in range(1, k)), F.col(z[0]) * F.col("map")[j]) for j in range(k)})
     return standard(df, mixed, columns).select(*panel.columns)
 

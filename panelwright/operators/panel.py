@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,21 +38,35 @@ def fill_fundamentals(panel: DataFrame, null_missing: bool = False) -> DataFrame
     return panel if null_missing else panel.na.fill(0.0, [c for c in FUNDAMENTALS if c in panel.columns])
 
 
+def in_universe(min_price: float = 2.0, min_bars: int = 60) -> Column:
+    """Whether a bar is traded, at or above the price floor, and not among the first ``min_bars`` + 1 such bars of its code."""
+    alive = F.coalesce((F.col("volume") > 0) & (F.col("close") >= min_price), F.lit(False))
+    age = F.count_if(alive).over(Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return alive & (age > min_bars)
+
+
 def universe_filter(panel: DataFrame, min_price: float = 2.0, min_bars: int = 60) -> DataFrame:
     """Traded bars at or above the price floor, without the first ``min_bars`` + 1 of these in each code."""
-    alive = panel.where((F.col("volume") > 0) & (F.col("close") >= min_price))
-    age = F.row_number().over(Window.partitionBy("code").orderBy("date")) - 1
-    return alive.withColumn("_age", age).where(F.col("_age") > min_bars).drop("_age")
+    return panel.withColumn("_in", in_universe(min_price, min_bars)).where("_in").drop("_in")
 
 
-def filter_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(n_before, n_removed, share)."""
-    both = before.select(F.lit(1).alias("_b"), F.lit(0).alias("_a")).unionByName(after.select(F.lit(0).alias("_b"), F.lit(1).alias("_a")))
-    counts = both.agg(F.count_if(F.col("_b") == 1).alias("n_before"), F.count_if(F.col("_a") == 1).alias("n_after"))
+def filter_report(panel: DataFrame, kept: Column) -> DataFrame:
+    """(n_before, n_removed, share) of a filter that keeps the rows where ``kept`` is true, in one pass."""
+    counts = panel.select(kept.alias("_in")).agg(F.count("*").alias("n_before"), F.count_if("_in").alias("n_after"))
     removed = F.col("n_before") - F.col("n_after")
     return counts.select("n_before", removed.alias("n_removed"), F.try_divide(removed, F.col("n_before")).alias("share"))
 
 
+def observed_filter(panel: DataFrame, kept: Column, name: str = "filter") -> tuple[DataFrame, Observation]:
+    """The rows where ``kept`` is true, and what Spark observes in the same pass: n_before and n_after.
+
+    The counts are there once the first action on the rows has run.
+    """
+    seen = Observation(name)
+    flagged = panel.withColumn("_in", kept).observe(seen, F.count(F.lit(1)).alias("n_before"), F.count_if("_in").alias("n_after"))
+    return flagged.where("_in").drop("_in"), seen
+
+
 def labelled(panel: DataFrame, mode: str = "train") -> DataFrame:
     """Rows with a target; in mode ``predict`` all rows."""
     return panel.where(F.col("target").isNotNull()) if mode == "train" else panel

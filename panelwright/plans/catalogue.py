@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +9,14 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import cross, ts
 from panelwright.functions.scalar import rounded, signed_log
-from panelwright.operators import evaluate, factors, labels, normalize, panel, portfolio, samples, score
+from panelwright.operators import evaluate, factors, labels, linear, normalize, panel, portfolio, samples, score
 from panelwright.operators.calendar import fill_gaps
 from panelwright.plans import panel_chain
 from panelwright.plans import sql as S
 from panelwright.sources import bars as src
-from panelwright.sources.scratch import shared_dir
+from panelwright.sources.scratch import file_system, materialise, scratch_path
+from panelwright.sources.store import PanelStore
+from panelwright.streaming.bars import all_grains
 from panelwright.streaming.bars import intraday_bars as bars_of_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,10 +158,77 @@ def _(spark, sf_dir):
 
 @query("stored_panel", S.BARS, f"{row_sql(close='close')} FROM bars")
 def _(spark, sf_dir):
-    stored = src.materialise_panel(daily(spark, sf_dir), f"{shared_dir(spark)}/panelwright-{uuid.uuid4().hex}", "1998-12-31", "train")
+    stored = src.materialise_panel(daily(spark, sf_dir), scratch_path(spark), "1998-12-31", "train")
     return keyed(stored, close=C("close"))
 
 
+@query("panel_refresh", S.BARS, S.BASE, f"{row_sql(close='close', r='r')} FROM base")
+def _(spark, sf_dir):
+    """A stored panel of returns whose every third code lacks its last 200 days, brought up to date."""
+    bars = daily(spark, sf_dir)
+    build = lambda some: some.select("code", "date", "close", ts.ts_returns(C("close")).alias("r"))
+    last = F.max("date").over(ts.Window.partitionBy("code"))
+    old = bars.withColumn("_last", last).where((C("code").cast("int") % 3 > 0) | (C("date") < F.date_sub("_last", 200))).drop("_last")
+    store = PanelStore(spark, scratch_path(spark), buckets=16)
+    store.replace_all(build(old))
+    store.refresh(bars.select("code"), bars, bars.select(F.date_sub("date", 5).alias("date")), build)
+    return keyed(store.read(), close=C("close"), r=C("r"))
+
+
+@query("describe_bars", S.BARS, " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, {S.r(f'avg({c})', 4)} AS mean, {S.r(f'stddev_samp({c})', 4)} AS sd, {S.r(f'min({c})')} AS min, "
+    f"{', '.join(f'{S.r(f"quantile_disc({c}, {q / 100})")} AS q{q}' for q in (25, 50, 75))}, {S.r(f'max({c})')} AS max FROM bars" for c in PROFILE))
+def _(spark, sf_dir):
+    found = src.describe(daily(spark, sf_dir), PROFILE, accuracy=1_000_000)
+    return found.withColumns({c: rounded(C(c), 4 if c in ("mean", "sd") else 6) for c in ("mean", "sd", "min", "q25", "q50", "q75", "max")})
+
+
+def code_folder(spark: SparkSession, rows: DataFrame, suffix: str = ".parquet") -> str:
+    """A folder with a file for each code of ``rows``, and one that cannot be read."""
+    path = scratch_path(spark)
+    src.write_code_files(rows, path, suffix)
+    files, bad = file_system(spark, f"{path}/broken{suffix}")
+    stream = files.create(bad)
+    stream.write(bytearray(b"PAR1 is not all that a file needs" * 100))
+    stream.close()
+    return path
+
+
+@query("price_scan", S.BARS, f"SELECT code, date, {', '.join(f'{S.r(f"CAST(CAST({c} AS FLOAT) AS DOUBLE)", 3)} AS {c}' for c in PROFILE)} FROM bars")
+def _(spark, sf_dir):
+    found = src.read_bars(spark, code_folder(spark, daily(spark, sf_dir)), narrow=True)
+    return found.select("code", "date", *(rounded(C(c).cast("double"), 3).alias(c) for c in PROFILE))
+
+
+@query("fundamental_scan", S.BARS, S.FUNDAMENTALS, f"{row_sql(**{c: c for c in src.FUNDAMENTALS if c != 'pb'})} FROM fundamentals")
+def _(spark, sf_dir):
+    found = src.read_fundamentals(spark, code_folder(spark, reports(spark, sf_dir).drop("pb")))
+    return keyed(found, **{c: C(c) for c in src.FUNDAMENTALS if c != "pb"})
+
+
+@query("bar_sink", S.BARS, f"{row_sql(close='close')} FROM bars")
+def _(spark, sf_dir):
+    path = scratch_path(spark)
+    name = f"bars_{path[-32:]}"
+    src.write_bars(daily(spark, sf_dir), name, buckets=8, path=path)
+    return keyed(spark.table(name), close=C("close"))
+
+
+@query("random_code", S.BARS, f"{row_sql(close='close')} FROM bars WHERE code = (SELECT code FROM (SELECT DISTINCT code FROM bars) ORDER BY md5(code || '-7'), code LIMIT 1)")
+def _(spark, sf_dir):
+    return keyed(src.sample_code(daily(spark, sf_dir), 7), close=C("close"))
+
+
+@query("unfinished_codes", "SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS code FROM supplier WHERE s_suppkey % 2 = 1 OR CAST(s_suppkey AS VARCHAR) NOT IN (SELECT CAST(l_suppkey AS VARCHAR) FROM lineitem)")
+def _(spark, sf_dir):
+    """Suppliers of even number have a file of bars, the others one with their first date alone, under 1 KiB."""
+    universe, bars = src.table(spark, sf_dir, "supplier").select(C("s_suppkey").cast("string").alias("code")), daily(spark, sf_dir)
+    even = C("code").cast("int") % 2 == 0
+    path = code_folder(spark, bars.where(even), "_daily.parquet")
+    src.write_code_files(bars.where(~even).groupBy("code").agg(F.min("date").alias("date")), path, "_daily.parquet")
+    return src.unfinished_codes(universe, src.code_files(spark, path, "_daily.parquet"))
+
+
 @query("head_tail", S.BARS, f"({row_sql(close='close')}, 'head' AS part FROM bars ORDER BY code, date LIMIT 5) UNION ALL ({row_sql(close='close')}, 'tail' AS part FROM bars ORDER BY code DESC, date DESC LIMIT 5)")
 def _(spark, sf_dir):
     bars = keyed(daily(spark, sf_dir), close=C("close"))
@@ -193,8 +261,15 @@ def _(spark, sf_dir):
 @query("filter_report", S.BARS, GAP_FILL, ALIVE, "counts AS (SELECT (SELECT count(*) FROM filled WHERE isodow(date) < 6) AS n_before, (SELECT count(*) FROM alive WHERE age > 60) AS n_after)",
        f"SELECT n_before, n_before - n_after AS n_removed, {S.r('(n_before - n_after) / n_before')} AS share FROM counts")
 def _(spark, sf_dir):
-    before = fill_gaps(daily(spark, sf_dir))
-    return panel.filter_report(before, panel.universe_filter(before, min_price=1000.0)).withColumn("share", rounded(C("share")))
+    return panel.filter_report(fill_gaps(daily(spark, sf_dir)), panel.in_universe(min_price=1000.0)).withColumn("share", rounded(C("share")))
+
+
+@query("observed_filter", S.BARS, GAP_FILL, ALIVE, "SELECT (SELECT count(*) FROM filled WHERE isodow(date) < 6) AS n_before, (SELECT count(*) FROM alive WHERE age > 60) AS n_after, "
+       "(SELECT count(*) FROM alive WHERE age > 60) AS n_written")
+def _(spark, sf_dir):
+    rows, seen = panel.observed_filter(fill_gaps(daily(spark, sf_dir)), panel.in_universe(min_price=1000.0))
+    written = materialise(rows)
+    return written.agg(F.count("*").alias("n_written")).select(F.lit(seen.get["n_before"]).cast("long").alias("n_before"), F.lit(seen.get["n_after"]).cast("long").alias("n_after"), "n_written")
 
 
 @query("still_trading", S.BARS, "SELECT code, count(*) AS n FROM bars WHERE code IN (SELECT code FROM bars GROUP BY code HAVING max(date) = (SELECT max(date) FROM bars)) GROUP BY code")
@@ -363,7 +438,6 @@ FEATURES = {"style_mom_1m": FACTOR_SQL["style"]["style_mom_1m"], "adv_downside_v
 @query("feature_table", S.BARS, S.BASE, f"SELECT code, date, {', '.join(f'{S.r(f"CAST(CAST(coalesce({x}, 0) AS FLOAT) AS DOUBLE)", 4)} AS {c}' for c, x in FEATURES.items())} FROM derived")
 def _(spark, sf_dir):
     table = panel.feature_table(factors.with_factors(daily(spark, sf_dir), ("style", "adv", "ind")).select("code", "date", "close", *FEATURES))
-    assert panel.feature_columns(table) == list(FEATURES) and {table.schema[c].dataType.simpleString() for c in FEATURES} == {"float"}
     return table.select("code", "date", *(rounded(C(c).cast("double"), 4).alias(c) for c in FEATURES))
 
 
@@ -430,24 +504,25 @@ def _z(x: str) -> str:
 
 
 ORTHO = (
-    f"zed AS (SELECT code, date, {_z('f1')} AS a, {_z('f2')} AS b, count(*) {BY_DATE} AS n FROM alive)",
-    f"gram AS (SELECT *, avg(a * a) {BY_DATE} AS aa, avg(b * b) {BY_DATE} AS bb, avg(a * b) {BY_DATE} AS ab FROM zed WHERE n >= 8)",
-    # inverse root of [[aa, ab], [ab, bb]] by its closed form: with s = sqrt(det) and t = sqrt(trace + 2 s)
-    "root AS (SELECT *, sqrt(aa * bb - ab * ab) AS s, sqrt(aa + bb + 2 * sqrt(aa * bb - ab * ab)) AS t FROM gram)",
-    "mixed AS (SELECT code, date, ((bb + s) * a - ab * b) / (s * t) AS p, ((aa + s) * b - ab * a) / (s * t) AS q FROM root)",
+    f"zed AS (SELECT code, date, {_z('f1')} AS a, {_z('f2')} AS b FROM alive)",
+    f"gram AS (SELECT *, avg(a * a) {BY_DATE} AS aa, avg(b * b) {BY_DATE} AS bb, avg(a * b) {BY_DATE} AS ab FROM zed)",
+    # inverse root of [[aa, ab], [ab, bb]] by its closed form: with s = sqrt(det) and t = sqrt(trace + 2 s); of one direction alone, the matrix over trace ** 1.5
+    "root AS (SELECT *, greatest(aa * bb - ab * ab, 0) AS det, sqrt(greatest(aa * bb - ab * ab, 0)) AS s, sqrt(aa + bb + 2 * sqrt(greatest(aa * bb - ab * ab, 0))) AS t FROM gram)",
+    "mixed AS (SELECT code, date, CASE WHEN det > 1e-10 * (aa + bb) * (aa + bb) THEN ((bb + s) * a - ab * b) / (s * t) WHEN aa + bb > 0 THEN (aa * a + ab * b) / pow(aa + bb, 1.5) ELSE 0 END AS p, "
+    "CASE WHEN det > 1e-10 * (aa + bb) * (aa + bb) THEN ((aa + s) * b - ab * a) / (s * t) WHEN aa + bb > 0 THEN (ab * a + bb * b) / pow(aa + bb, 1.5) ELSE 0 END AS q FROM root)",
 )
 
 
 @query("orthogonalize_2", *FEATS, *ORTHO, f"SELECT code, date, {S.r(_z('p'), 4)} AS p, {S.r(_z('q'), 4)} AS q FROM mixed")
 def _(spark, sf_dir):
     df = features(spark, sf_dir).select("code", "date", C("f1").alias("style_p"), C("f2").alias("style_q"))
-    out = normalize.orthogonalize(df).withColumn("n", F.count("*").over(cross.by_date())).where(C("n") >= 8)
+    out = normalize.orthogonalize(df)
     return out.select("code", "date", rounded(C("style_p"), 4).alias("p"), rounded(C("style_q"), 4).alias("q"))
 
 
 @query("orthogonalize_8")
 def _(spark, sf_dir):
-    df = normalize.normalize(factors.with_factors(daily(spark, sf_dir), ("style",)))
+    df = materialise(normalize.normalize(factors.with_factors(daily(spark, sf_dir), ("style",))).select("code", "date", *factors.STYLE))
     return keyed(normalize.orthogonalize(df), **{c: C(c) for c in factors.STYLE})
 
 
@@ -524,6 +599,21 @@ def _(spark, sf_dir):
     return found.withColumns({"ic": rounded(C("ic")), "ir": rounded(C("ir"))})
 
 
+FRAME60 = "OVER (ORDER BY code, date ROWS 59 PRECEDING)"
+
+
+def _frame_corr(x: str) -> str:
+    flat = " AND ".join(f"min({c}) {FRAME60} < max({c}) {FRAME60}" for c in (x, "target"))
+    return f"CASE WHEN count({x}) {FRAME60} = 60 AND count(target) {FRAME60} = 60 AND {flat} THEN covar_pop({x}, target) {FRAME60} / (stddev_pop({x}) {FRAME60} * stddev_pop(target) {FRAME60}) END AS c_{x}"
+
+
+@query("factor_screen_frame", *FEATS, f"wide AS (SELECT {', '.join(_frame_corr(f) for f in ('f1', 'f2', 'f3'))} FROM alive)", "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS factor, c_{f} AS c FROM wide" for f in ("f1", "f2", "f3")) + ")",
+       f"SELECT factor, {S.r('avg(c)')} AS ic, {S.r('avg(c) / (stddev_samp(c) + 1e-9)')} AS ir, abs(avg(c)) > 0.01 AS selected FROM long GROUP BY factor")
+def _(spark, sf_dir):
+    found = evaluate.factor_screen(features(spark, sf_dir), ["f1", "f2", "f3"], order=("code", "date"), block=4096)
+    return found.withColumns({"ic": rounded(C("ic")), "ir": rounded(C("ir"))})
+
+
 PERF = """sums AS (
     SELECT count(*) AS days, pow(product(1 + strategy), 252.0 / count(*)) - 1 AS annual, pow(product(1 + benchmark), 252.0 / count(*)) - 1 AS bench_annual,
            stddev_samp(strategy) * sqrt(252) AS volatility, covar_samp(strategy, benchmark) / (var_samp(benchmark) + 1e-9) AS beta,
@@ -638,6 +728,28 @@ def _(spark, sf_dir):
     return scored.select("code", "end_date", rounded(C("score"), 4).alias("score"))
 
 
+CENTRED = ", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz", "xl", "yl", "zl"))
+LINEAR = (
+    f"tips AS (SELECT code, end_date, label AS l, {', '.join(f'CAST(CAST(lead({f}, 29) OVER {S.W} AS FLOAT) AS DOUBLE) AS {x}' for f, x in (('f1', 'x'), ('f2', 'y'), ('f3', 'z')))}, i, n "
+    f"FROM (SELECT a.*, w.end_date, w.label, w.i, w.n FROM alive a JOIN wins w ON w.code = a.code AND w.start_date = a.date))",
+    "days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM alive))",
+    f"cov AS (SELECT {CENTRED}, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(l) AS ml FROM tips WHERE n > 30 AND i % 5 = 0 AND i + 30 <= n AND end_date < (SELECT date FROM days WHERE k = floor(n * 0.9)))",
+    # the three normal equations by determinants
+    "det AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS d FROM cov)",
+    "fit AS (SELECT *, (xl * (yy * zz - yz * yz) - xy * (yl * zz - yz * zl) + xz * (yl * yz - yy * zl)) / d AS b1, (xx * (yl * zz - yz * zl) - xl * (xy * zz - yz * xz) + xz * (xy * zl - yl * xz)) / d AS b2, "
+    "(xx * (yy * zl - yl * yz) - xy * (xy * zl - yl * xz) + xl * (xy * yz - yy * xz)) / d AS b3 FROM det)",
+)
+
+
+@query("linear_score", *FEATS, *WINDOWS, *LINEAR, f"SELECT code, end_date, {S.r('ml + b1 * (x - mx) + b2 * (y - my) + b3 * (z - mz)')} AS score FROM tips, fit WHERE {TRAINING}")
+def _(spark, sf_dir):
+    """Least squares on the training part, scores of all windows."""
+    rows = materialise(labels.date_labels(features(spark, sf_dir)))
+    windows = materialise(samples.date_split(samples.training_windows(rows, F3), rows))
+    model = linear.fit_linear(windows.where(C("split") == "train"), linear.last_bar())
+    return model.score(windows, linear.last_bar()).withColumn("score", rounded(C("score")))
+
+
 @query("shuffled_samples", *FEATS, *WINDOWS, f"SELECT code, start_date, end_date, {S.r('label')} AS label FROM wins WHERE {TRAINING}")
 def _(spark, sf_dir):
     return samples.shuffled(_training(spark, sf_dir), 7).select("code", "start_date", "end_date", rounded(C("label")).alias("label"))
@@ -671,6 +783,24 @@ def _(spark, sf_dir):
     return bars.select("code", C("ts").cast("timestamp_ntz").alias("ts"), *(rounded(C(c)).alias(c) for c in PROFILE[:4]), "volume")
 
 
+@query("intraday_grains", " UNION ALL ".join(
+    f"SELECT event_type AS code, {g} AS grain, time_bucket(INTERVAL {g} MINUTE, ts) AS ts, {S.r('arg_min(value, row(ts, event_id))')} AS open, {S.r('max(value)')} AS high, {S.r('min(value)')} AS low, "
+    f"{S.r('arg_max(value, row(ts, event_id))')} AS close, count(*) AS volume FROM (SELECT event_type, value, event_id, ts FROM events) GROUP BY 1, 3" for g in src.GRAINS))
+def _(spark, sf_dir):
+    bars = all_grains(src.table(spark, sf_dir, "events"))
+    return bars.select("code", "grain", C("ts").cast("timestamp_ntz").alias("ts"), *(rounded(C(c)).alias(c) for c in PROFILE[:4]), "volume")
+
+
+@query("intraday_scan", "rare AS (SELECT event_type AS code, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, max(value) AS high, count(*) AS volume FROM events GROUP BY 1, 2)",
+       f"SELECT code, ts, {S.r('high')} AS high, volume FROM (SELECT *, count(*) OVER (PARTITION BY code) AS n FROM rare) WHERE n >= 100")
+def _(spark, sf_dir):
+    """Bars of 30 minutes from files of their own, beside files of 60 minutes that are not to be read."""
+    bars = bars_of_events(src.table(spark, sf_dir, "events"), 30).withColumn("date", C("ts"))
+    path = code_folder(spark, bars, "_30m.parquet")
+    src.write_code_files(bars_of_events(src.table(spark, sf_dir, "events"), 60).withColumn("date", C("ts")), path, "_60m.parquet")
+    return src.read_intraday(spark, path, 30).select("code", C("ts").cast("timestamp_ntz").alias("ts"), rounded(C("high")).alias("high"), "volume")
+
+
 @query("intraday_windows", TICKS, f"aimed AS (SELECT *, {S.lag('close', -5)} / close - 1 AS target FROM ticks)",
        f"wins AS (SELECT code, date AS start_ts, lead(date, 29) OVER {S.W} AS end_ts, lead(target, 29) OVER {S.W} AS label, row_number() OVER {S.W} - 1 AS i, count(*) OVER (PARTITION BY code) AS n FROM aimed WHERE target IS NOT NULL)",
        f"SELECT code, start_ts, end_ts, {S.r('label')} AS label FROM wins WHERE i % 5 = 0 AND i < n - 30")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelwright.sources.scratch import file_system
+
 BAR_COLUMNS = ("open", "high", "low", "close", "volume")
 FUNDAMENTALS = ("roe", "rev_growth", "profit_growth", "debt_ratio", "pe_ttm", "pb")
 GRAINS = (1, 5, 15, 30, 60)
@@ -17,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_bars(spark: SparkSession, path: str, suffix: str = ".parquet") -> DataFrame:
-    """All files of a folder with one file a code, the code taken from the file name. Unreadable files are skipped."""
-    bars = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", f"*{suffix}").parquet(path)
+def narrowed(df: DataFrame) -> DataFrame:
+    """DOUBLE columns as FLOAT."""
+    return df.withColumns({c: F.col(f"`{c}`").cast("float") for c, kind in df.dtypes if kind == "double"})
+
+
+def read_bars(spark: SparkSession, path: str, suffix: str = ".parquet", narrow: bool = False) -> DataFrame:
+    """All files of a folder with one file a code, the code taken from the file name. Files may differ in their columns; unreadable ones are skipped; ``narrow`` makes DOUBLE FLOAT."""
+    bars = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").option("pathGlobFilter", f"*{suffix}").parquet(path)
+    bars = narrowed(bars) if narrow else bars
     code = F.regexp_replace(F.col("_metadata.file_name"), F.lit(suffix.replace(".", r"\.") + "$"), F.lit(""))
     return bars.withColumn("code", code)
 
@@ -35,18 +44,47 @@ def read_intraday(spark: SparkSession, path: str, grain: int, min_rows: int = 10
     return min_history(read_bars(spark, path, f"_{grain}m.parquet"), min_rows - 1)
 
 
-def write_bars(bars: DataFrame, name: str, buckets: int = 64) -> None:
-    """Save as a table bucketed and sorted by code, so that windows on the code need no exchange."""
-    bars.write.bucketBy(buckets, "code").sortBy("code", "date").mode("overwrite").saveAsTable(name)
+def write_code_files(bars: DataFrame, path: str, suffix: str = ".parquet") -> None:
+    """Save as a folder with one file a code, ``{code}{suffix}``, as ``read_bars`` takes it. The driver renames the files."""
+    draft = f"{path}/_{uuid.uuid4().hex}"
+    bars.withColumn("_code", F.col("code")).repartition("code").sortWithinPartitions("code", "date").drop("code").write.partitionBy("_code").parquet(draft)
+    files, folder = file_system(bars.sparkSession, draft)
+    for part in files.listStatus(folder):
+        code = part.getPath().getName()
+        if code.startswith("_code="):
+            (one,) = (f.getPath() for f in files.listStatus(part.getPath()) if f.getPath().getName().startswith("part-"))
+            files.rename(one, file_system(bars.sparkSession, f"{path}/{code.removeprefix('_code=')}{suffix}")[1])
+    files.delete(folder, True)
+
+
+def code_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> DataFrame:
+    """(code, length, modified) of the files ``{code}{suffix}`` in a folder, from their listing; no file is opened, empty ones are left out."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
+    code = F.regexp_replace(F.element_at(F.split("path", "/"), -1), F.lit(suffix.replace(".", r"\.") + "$"), F.lit(""))
+    return listed.select(code.alias("code"), "length", F.col("modificationTime").alias("modified"))
+
+
+def unfinished_codes(universe: DataFrame, files: DataFrame, more_than: int = 1024) -> DataFrame:
+    """(code) of the universe without a file of more than so many bytes in ``files`` (as from ``code_files``)."""
+    return universe.select("code").distinct().join(files.where(F.col("length") > more_than), "code", "left_anti")
+
+
+def write_bars(bars: DataFrame, name: str, buckets: int = 64, path: str | None = None) -> None:
+    """Save as a table bucketed and sorted by code, so that windows on the code need no exchange; in the warehouse, or in ``path``."""
+    writer = bars.write.bucketBy(buckets, "code").sortBy("code", "date").mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def materialise_panel(panel: DataFrame, path: str, as_of: str, mode: str, refresh: bool = False) -> DataFrame:
     """The panel stored for ``as_of`` and ``mode``; computed and written if absent or with ``refresh``."""
     spark, target = panel.sparkSession, f"{path}/as_of={as_of}/mode={mode}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if refresh or not there:
-        panel.write.mode("overwrite").parquet(target)
+    files, done = file_system(spark, f"{target}/_SUCCESS")
+    if refresh or not files.exists(done):
+        draft = f"{path}/_{uuid.uuid4().hex}"  # so that a failed write leaves the old panel, and a panel may be derived from what it replaces
+        panel.write.parquet(draft)
+        files.delete(done.getParent(), True)
+        files.mkdirs(done.getParent().getParent())
+        files.rename(file_system(spark, draft)[1], done.getParent())
     return spark.read.parquet(target)
 
 
@@ -88,6 +126,21 @@ def profile(df: DataFrame, columns: Sequence[str], date: str = "date") -> DataFr
     return one.select("first_date", "last_date", F.explode(rows).alias("r")).select("r.*", "first_date", "last_date")
 
 
+def describe(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """A row a column: count, mean, sd (sample), min, q25, q50, q75, max of its values; NULL and NaN are none.
+
+    One pass over all columns. Quartiles are values of the column whose rank is off by 1 / ``accuracy`` of the rows at most, from
+    sketches that Spark merges and whose size grows with ``accuracy``, not with the rows.
+    """
+    parts = []
+    for i, c in enumerate(columns):
+        x = F.col(f"`{c}`").cast("double")
+        x = F.when(~F.isnan(x), x)
+        parts += [F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias("q"), F.max(x).alias("max")).alias(f"_{i}")]
+    rows = df.agg(*parts).select(F.explode(F.array(*(F.col(f"_{i}") for i in range(len(columns))))).alias("r"))
+    return rows.select("r.column", "r.n", "r.mean", "r.sd", "r.min", *(F.get("r.q", F.lit(k)).alias(q) for k, q in enumerate(("q25", "q50", "q75"))), "r.max")
+
+
 def head(df: DataFrame, n: int = 5, order: Sequence[str] = ("code", "date")) -> DataFrame:
     """The first n rows in an order."""
     return df.orderBy(*order).limit(n)
@@ -100,7 +153,7 @@ def tail(df: DataFrame, n: int = 5, order: Sequence[str] = ("code", "date")) ->
 
 def sample_code(bars: DataFrame, seed: int) -> DataFrame:
     """All bars of one code picked at random."""
-    one = bars.select("code").distinct().orderBy(F.xxhash64("code", F.lit(seed))).limit(1)
+    one = bars.select("code").distinct().orderBy(F.md5(F.concat("code", F.lit(f"-{seed}"))), "code").limit(1)
     return bars.join(one, "code", "left_semi")
 
 

@@ -24,20 +24,33 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables in the shared folder."""
+    return f"{shared_dir(spark)}/panelwright-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A path in the session's folder that nothing else has."""
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+    """Write ``df`` once to the session's folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation. The tables are named
-    ``panelwright-*``; ``clean`` deletes them.
+    Cuts the lineage: a lost executor costs a re-read, not a recomputation. ``clean`` deletes these tables.
     """
-    path = f"{shared_dir(df.sparkSession)}/panelwright-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> int:
-    """Delete the tables of ``materialise`` in the shared folder, once the results that read them are written; returns their number."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/panelwright-*")
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [status.getPath() for status in files.globStatus(hadoop) or ()]
-    return sum(files.delete(path, True) for path in found)
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def clean(spark: SparkSession) -> bool:
+    """Delete what this application has left in the shared folder, once the results that read it are written; others' tables stay."""
+    files, folder = file_system(spark, session_dir(spark))
+    return files.delete(folder, True)

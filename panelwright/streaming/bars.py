@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from panelwright.sources.bars import GRAINS
+
 
 def intraday_bars(events: DataFrame, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
     """(code, ts, open, high, low, close, volume) from events (event_type, ts, event_id, value).
@@ -18,19 +23,42 @@ def intraday_bars(events: DataFrame, minutes: int = 5, late: str = "10 minutes")
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
         events = events.withWatermark("ts", late)
-    return (
-        events.groupBy(F.col("event_type").alias("code"), F.window("ts", f"{minutes} minutes").alias("w"))
-        .agg(
-            F.min_by("value", at).alias("open"),
-            F.max("value").alias("high"),
-            F.min("value").alias("low"),
-            F.max_by("value", at).alias("close"),
-            F.count("*").alias("volume"),
-        )
-        .select("code", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+    bars = _spanned(events, "event_type", "ts", minutes, at, F.count("*"), "value", "value", "value", "value")
+    return bars.select("code", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+def coarser(bars: DataFrame, minutes: int) -> DataFrame:
+    """Bars of a longer span from those of a shorter one that divides it, with their window ``w``."""
+    at = F.window_time("w") if bars.isStreaming else F.col("w.start")
+    return _spanned(bars.withColumn("at", at), "code", "at", minutes, "at", F.sum("volume"), "open", "high", "low", "close")
+
+
+def _spanned(rows: DataFrame, code: str, ts: str, minutes: int, order, volume, opens: str, highs: str, lows: str, closes: str) -> DataFrame:
+    return rows.groupBy(F.col(code).alias("code"), F.window(ts, f"{minutes} minutes").alias("w")).agg(
+        F.min_by(opens, order).alias("open"), F.max(highs).alias("high"), F.min(lows).alias("low"), F.max_by(closes, order).alias("close"), volume.alias("volume")
     )
 
 
+def all_grains(events: DataFrame, grains: Sequence[int] = GRAINS, late: str = "10 minutes") -> DataFrame:
+    """(code, grain, ts, open, high, low, close, volume): the bars of every grain (minutes) in one plan, batch or stream.
+
+    The bars of a grain are made of those of the longest grain before that divides it, in a chain of event-time windows; the
+    events themselves are only looked at for the first. On a stream each bar comes out once the watermark has passed its end.
+    """
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        events = events.withWatermark("ts", late)
+    made: dict[int, DataFrame] = {}
+    for g in sorted(set(grains)):
+        base = max((b for b in made if g % b == 0), default=None)
+        if base is None:
+            made[g] = _spanned(events, "event_type", "ts", g, F.struct("ts", "event_id"), F.count("*"), "value", "value", "value", "value")
+        else:
+            made[g] = coarser(made[base], g)
+    parts = [bars.select("code", F.lit(g).alias("grain"), F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume") for g, bars in made.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 class LateEvents(StreamingQueryListener):
     """Counts the events that the watermark has dropped, by query id, from every progress report since it was added.
 

@@ -13,7 +13,7 @@ from panelwright.operators.normalize import RANKED, RELATIVE, normalize
 from panelwright.operators.panel import asof_fundamentals, fill_fundamentals, look_back_prune, universe_filter
 from panelwright.plans.panel_chain import build_panel, code_stage
 from panelwright.sources import bars as src
-from panelwright.sources.scratch import clean, materialise
+from panelwright.sources.scratch import clean, materialise, shared_dir
 
 DAY = dt.date(2020, 1, 1)
 BAR = "code string, date date, open double, high double, low double, close double, volume double"
@@ -115,8 +115,10 @@ def test_fundamental_files_and_bucketed_bars(spark, tmp_path):
 
 
 def test_scratch_tables_are_deleted(spark):
-    kept = materialise(spark.range(5))
-    assert kept.count() == 5 and clean(spark) >= 1 and clean(spark) == 0
+    kept, other = materialise(spark.range(5)), f"{shared_dir(spark)}/panelwright-another/table"
+    spark.range(3).write.parquet(other)
+    assert kept.count() == 5 and clean(spark) and not clean(spark)
+    assert spark.read.parquet(other).count() == 3 and materialise(spark.range(2)).count() == 2
 
 
 def test_chain_against_pandas(spark):
@@ -151,7 +153,13 @@ def test_panel_cache(spark, tmp_path):
     first = spark.range(3).toDF("x")
     assert src.materialise_panel(first, str(tmp_path), "2024-01-01", "train").count() == 3
     assert src.materialise_panel(spark.range(9).toDF("x"), str(tmp_path), "2024-01-01", "train").count() == 3
-    assert src.materialise_panel(spark.range(9).toDF("x"), str(tmp_path), "2024-01-01", "train", refresh=True).count() == 9
+    stored = src.materialise_panel(spark.range(9).toDF("x"), str(tmp_path), "2024-01-01", "train", refresh=True)
+    assert stored.count() == 9
+    assert src.materialise_panel(stored.where("x > 3"), str(tmp_path), "2024-01-01", "train", refresh=True).count() == 5  # made of what it replaces
+    broken = spark.range(9).selectExpr("raise_error('no') AS x")
+    with pytest.raises(Exception, match="no"):
+        src.materialise_panel(broken, str(tmp_path), "2024-01-01", "train", refresh=True)
+    assert src.materialise_panel(broken, str(tmp_path), "2024-01-01", "train").count() == 5
 
 
 def test_random_code(spark):
