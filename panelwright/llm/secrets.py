@@ -3,7 +3,9 @@
 A worklist holds layers of text. Each layer is scanned, then unwrapped: percent and backslash escapes
 in place, base64 runs alone and joined over line breaks, gzip, zlib and raw deflate data and UTF-16 text inside those. What
 comes out is a new layer unless the same text was seen at the same place before, so the list runs dry. Every character of a
-layer knows its span in the document, and so do the secrets found in it.
+layer knows its span in the document, and so do the secrets found in it. Bytes that hold nothing to find or to unwrap
+make no layer, and a layer leaves memory once its last inner layer is out, so that time and memory follow the
+size of what is unwrapped, however deep it lies.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ import codecs
 import hashlib
 import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from itertools import chain
 from urllib.parse import unquote_to_bytes
 
@@ -40,37 +42,55 @@ ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A run that goes on in whole lines, as MIME wraps it.
 WRAPPED = re.compile(r"""[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t>]*[A-Za-z0-9+/_-]+(?=[ \t]*(?:[\r\n="'`<>(){}\[\],;.:|&\\]|\Z)))*(?:(?:\r?\n[ \t>]*)?=){0,2}""")
-#: What compressed data begin with, and characters that are in no secret and no encoded run.
+#: What compressed data begin with, as they are and written for a URL, and characters that are in no secret and no encoded run.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+PACKED_URL = re.compile(r"%1[Ff]%8[Bb]%08|(?:x|%78)%(?:01|5[Ee]|9[Cc]|[Dd][Aa])")
 CUT = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\\s>-]""")
-#: Bytes that are decompressed at once.
-PIECE = 1 << 16
+#: Bytes that are decompressed at once, and streams of compressed data that may lie in each other before they are read into memory.
+PIECE, STREAMS = 1 << 16, 32
+#: What a secret or an encoding in bytes has, as words in lower case and as patterns behind a byte that is quickly missed; control characters that no text has.
+WORDS = ("pass", "secret", "token", "api")
+LONG_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16}")
+MARKED = {b"%": re.compile(rb"%[0-9A-Fa-f]{2}"), b"\\": re.compile(rb"\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})")}
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 #: Texts without any of these cannot hold a secret in any layer.
 HINT = r"(?i)pass|secret|token|api|%[0-9a-f][0-9a-f]|\\[ux][0-9a-f]"
 RUN = np.zeros(256, bool)
 RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
 
-Layer = tuple[str, list[int] | int, list[int] | int, str]
+#: Text, start and end of each character's span in the document (one number where all share it), and the layers around it.
+Layer = tuple[str, Sequence[int] | int, Sequence[int] | int, str]
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the secrets that stand in ``text`` as they are."""
+    low = text.lower()
+    there = {"assign": any(w in low for w in WORDS), "access": "AKIA" in text, "hex": True}
     return [
         (kind, m.start(), m.end())
         for kind, (pattern, group, least) in KINDS.items()
+        if there[kind]
         for m in pattern.finditer(text)
         if m.end(group) - m.start(group) >= least
     ]
 
 
-def _place(starts: list[int] | int, ends: list[int] | int, a: int, b: int) -> tuple[int, int]:
+def _live(data: bytes) -> bool:
+    """Whether bytes can hold a secret or an encoding."""
+    low = data.lower()
+    if any(w.encode() in low for w in WORDS) or LONG_RUN.search(data):
+        return True
+    return any(mark in data and pattern.search(data) for mark, pattern in MARKED.items())
+
+
+def _place(starts: Sequence[int] | int, ends: Sequence[int] | int, a: int, b: int) -> tuple[int, int]:
     return (starts, ends) if isinstance(starts, int) else (starts[a], ends[b - 1])
 
 
 def _in_place(layer: Layer, pattern: re.Pattern, name: str, decode) -> Layer | None:
     """The layer with each match of ``pattern`` decoded; None if there is none."""
     text, starts, ends, path = layer
-    out, froms, tos, at = [], [], [], 0
+    out, froms, tos, at = [], array("q"), array("q"), 0
     fixed = isinstance(starts, int)
     for m in pattern.finditer(text):
         piece = decode(m[0])
@@ -78,8 +98,8 @@ def _in_place(layer: Layer, pattern: re.Pattern, name: str, decode) -> Layer | N
         even = step * len(piece) == m.end() - m.start()
         out += [text[at : m.start()], piece]
         if not fixed:
-            froms += starts[at : m.start()]
-            tos += ends[at : m.start()]
+            froms.extend(starts[at : m.start()])
+            tos.extend(ends[at : m.start()])
             for k in range(len(piece)):
                 a, b = (m.start() + k * step, m.start() + (k + 1) * step) if even else (m.start(), m.end())
                 froms.append(starts[a])
@@ -88,8 +108,8 @@ def _in_place(layer: Layer, pattern: re.Pattern, name: str, decode) -> Layer | N
     if not out:
         return None
     if not fixed:
-        froms += starts[at:]
-        tos += ends[at:]
+        froms.extend(starts[at:])
+        tos.extend(ends[at:])
     return "".join([*out, text[at:]]), starts if fixed else froms, ends if fixed else tos, f"{path}{name}."
 
 
@@ -104,7 +124,7 @@ def _escape(run: str) -> str:
 def _inflated(parts: Iterator[bytes], taken: set[int]) -> tuple[bool, Iterator[bytes]]:
     """(whether ``parts`` are gzip or zlib data, the data inside or the parts as they are); all members, in pieces.
 
-    ``taken`` gets the places in ``parts`` where further members begin.
+    ``taken`` gets the places in ``parts`` where members end.
     """
     first = next(parts, b"")
     if not (first[:3] == b"\x1f\x8b\x08" or (first[:1] == b"\x78" and len(first) > 2 and int.from_bytes(first[:2], "big") % 31 == 0)):
@@ -155,11 +175,31 @@ def _pieces(data: bytes, start: int) -> Iterator[bytes]:
     return (data[k : k + PIECE] for k in range(start, len(data), PIECE))
 
 
+def _opens(data: bytes, at: int) -> bool:
+    """Whether compressed data may begin at ``at``: their first bytes are sound."""
+    try:
+        zlib.decompressobj(47).decompress(data[at : at + 64], 64)
+    except zlib.error:
+        return False
+    return True
+
+
+def _held(parts: Iterator[bytes], limit: int) -> Iterator[bytes]:
+    """``parts``, read into memory where they are no more than ``limit`` bytes."""
+    taken, size = [], 0
+    for part in parts:
+        taken.append(part)
+        size += len(part)
+        if size > limit:
+            return chain(taken, parts)
+    return _pieces(b"".join(taken), 0)
+
+
 def _packed(data: bytes, limit: int) -> Iterator[tuple[str, str]]:
     """(names of the layers, text) of the compressed data at any place of ``data``."""
-    done: set[int] = set()
+    reached = 0
     for m in PACKED.finditer(data):
-        if m.start() in done:
+        if m.start() < reached or not _opens(data, m.start()):  # what lies in whole streams is read when these are unpacked
             continue
         taken: set[int] = set()
         heads, name = {data[m.start() : m.start() + PIECE]}, ""
@@ -173,10 +213,12 @@ def _packed(data: bytes, limit: int) -> Iterator[tuple[str, str]]:
             if head[:PIECE] in heads:
                 break
             heads.add(head[:PIECE])
+            if name.count(".") % STREAMS == 0:  # streams inside streams are calls inside calls
+                parts = _held(parts, limit)
             is_packed, parts = _inflated(parts, set())
         if name:
             yield from ((name, text) for text in _texts(parts, limit))
-        done |= {m.start() + k for k in taken}
+        reached = m.start() + max(taken, default=0)
 
 
 def _deflated(data: bytes, limit: int) -> Iterator[str]:
@@ -207,15 +249,52 @@ def _utf16(data: bytes) -> str | None:
     return None
 
 
-def _base64(layer: Layer) -> Iterator[tuple[bytes, int, int]]:
-    """(data, start, end) of the base64 runs, alone and joined over line breaks, from each of their first four characters."""
-    text = layer[0]
-    joined = (m for m in WRAPPED.finditer(text) if "\n" in m[0])
+def _base64(text: str) -> Iterator[tuple[str, int, int]]:
+    """(characters of base64, start, end) of the runs, alone and joined over line breaks."""
+    joined = (m for m in WRAPPED.finditer(text) if "\n" in m[0]) if "\n" in text else ()
     for m in chain(BASE64.finditer(text), joined):
-        run = re.sub(r"[\s>=]", "", m[0]).replace("-", "+").replace("_", "/")
-        for k in range(4):
+        yield re.sub(r"[\s>=]", "", m[0]).replace("-", "+").replace("_", "/"), m.start(), m.end()
+
+
+def _decoded(data: bytes, limit: int) -> Iterator[tuple[str, str]]:
+    """(names of the layers, text) of what decoded bytes may be; nothing where they can hold neither secret nor encoding."""
+    if wide := _utf16(data):
+        yield "utf16.", wide
+    yield from (("deflate.", part) for part in _deflated(data, limit))
+    yield from _packed(data, limit)
+    if _live(data):
+        yield "", data.decode("utf-8", "replace")
+
+
+def _is_text(data: bytes) -> bool:
+    try:
+        return not CONTROL.search(data.decode())
+    except UnicodeDecodeError:
+        return False
+
+
+def _inner(layer: Layer, limit: int) -> Iterator[Layer]:
+    """The layers right inside a layer."""
+    text, starts, ends, path = layer
+    reached = 0
+    for m in PACKED_URL.finditer(text) if "%" in text else ():
+        if m.start() >= reached and (run := URL_DATA.match(text, m.start())):
+            reached = run.end()
+            for name, part in _packed(unquote_to_bytes(run[0]), limit):
+                yield part, *_place(starts, ends, m.start(), reached), f"{path}url.{name}"
+    for run, a, b in _base64(text):
+        for k in range(4):  # other characters may stand before the first one; once the bytes make sense they do not
             piece = run[k : len(run) - ((len(run) - k) % 4 == 1)]
-            yield base64.b64decode(piece + "=" * (-len(piece) % 4)), m.start() + k, m.end()
+            data = base64.b64decode(piece + "=" * (-len(piece) % 4))
+            sound = False
+            for name, part in _decoded(data, limit):
+                sound |= name != "" and "\ufffd" not in part and not CONTROL.search(part)
+                yield part, *_place(starts, ends, a + k, b), f"{path}base64.{name}"
+            if sound or _is_text(data):
+                break
+    for mark, pattern, name, decode in (("%", PERCENT, "url", _percent), ("\\", ESCAPE, "unicode", _escape)):  # last, as what else is in the layer is in these too
+        if mark in text and (inner := _in_place(layer, pattern, name, decode)):
+            yield inner
 
 
 def unwrap(text: str, limit: int = 1 << 24) -> list[tuple[str, int, int, str, str]]:
@@ -224,40 +303,27 @@ def unwrap(text: str, limit: int = 1 << 24) -> list[tuple[str, int, int, str, st
     A compressed layer is read whole, in parts of about ``limit`` characters, so that a small document
     does not fill memory, unless it holds no character to cut at.
     """
-    places = list(range(len(text) + 1))
     seen: set[tuple] = set()
     found: dict[tuple, tuple] = {}
-
-    def visit(top: Layer) -> None:
-        work: deque[Layer] = deque([top])
-        while work:
-            layer = work.popleft()
-            inner, starts, ends, path = layer
-            if not inner:
-                continue
-            mark = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *_place(starts, ends, 0, len(inner)))
-            if mark in seen:
-                continue
-            seen.add(mark)
-            for kind, a, b in scan(inner):
-                key = (kind, *_place(starts, ends, a, b), inner[a:b])
-                if key not in found or path.count(".") < found[key][3].count("."):
-                    found[key] = (*key[:3], path, inner[a:b])
-            work.extend(x for x in (_in_place(layer, PERCENT, "url", _percent), _in_place(layer, ESCAPE, "unicode", _escape)) if x)
-            for m in URL_DATA.finditer(inner) if "%" in inner else ():
-                for name, part in _packed(unquote_to_bytes(m[0]), limit):
-                    visit((part, *_place(starts, ends, m.start(), m.end()), f"{path}url.{name}"))
-            for data, a, b in _base64(layer):
-                place = _place(starts, ends, a, b)
-                work.append((data.decode("utf-8", "replace"), *place, f"{path}base64."))
-                if wide := _utf16(data):
-                    work.append((wide, *place, f"{path}base64.utf16."))
-                for part in _deflated(data, limit):
-                    visit((part, *place, f"{path}base64.deflate."))
-                for name, part in _packed(data, limit):
-                    visit((part, *place, f"{path}base64.{name}"))
-
-    visit((text, places[:-1], places[1:], ""))
+    work: list[tuple[Layer, Iterator[Layer]]] = [((text, range(len(text)), range(1, len(text) + 1), ""), iter(()))]
+    while work:
+        layer, others = work.pop()
+        if (other := next(others, None)) is not None:
+            work.append((other, others))
+        inner, starts, ends, path = layer
+        if not inner:
+            continue
+        mark = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *_place(starts, ends, 0, len(inner)))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        for kind, a, b in scan(inner):
+            key = (kind, *_place(starts, ends, a, b), inner[a:b])
+            if key not in found or path.count(".") < found[key][3].count("."):
+                found[key] = (*key[:3], path, inner[a:b])
+        inside = _inner(layer, limit)
+        if (first := next(inside, None)) is not None:
+            work.append((first, inside))
     return sorted(found.values(), key=lambda s: (s[1], s[3] != "", ORDER.index(s[0]), s[2], s[3], s[4]))
 
 

@@ -1,8 +1,12 @@
 import base64
 import gzip
 import hashlib
+import inspect
 import random
 import re
+import sys
+import time
+import tracemalloc
 import zlib
 from urllib.parse import quote
 
@@ -110,6 +114,48 @@ def test_compressed_layers_are_read_whole():
     assert SECRET in secrets(members) and SECRET in secrets(twice, limit=1000)
 
 
+def took(text, want=frozenset()):
+    began = time.perf_counter()
+    assert want <= secrets(text)
+    return time.perf_counter() - began
+
+
+def test_random_base64_takes_linear_time():
+    data = random.Random(2).randbytes(3_000_000)
+    small, large = (took(base64.b64encode(data[:n] + b" " + SECRET.encode()).decode(), {SECRET}) for n in (750_000, 3_000_000))
+    assert large < 8 and large < 8 * small + 0.5
+    assert took("%" * 300_000 + "x%9C" * 20_000) < 8
+
+
+def nest(n, pack):
+    data = SECRET.encode()
+    for _ in range(n):
+        data = pack(data)
+    return data
+
+
+def test_thousands_of_layers():
+    """Nests are no calls in calls: they pass with few frames to spare."""
+    zipped = base64.b64encode(nest(2000, lambda d: gzip.compress(d, 0, mtime=0))).decode()
+    mixed = nest(150, lambda d: base64.b64encode(gzip.compress(d, mtime=0))).decode()  # each layer is 1 % longer: this is 20 KB
+    limit = sys.getrecursionlimit()
+    depth = len(inspect.stack(0))
+    sys.setrecursionlimit(depth + 120)
+    try:
+        assert SECRET in secrets(zipped) and SECRET in secrets(mixed) and SECRET in secrets(nest(30, base64.b64encode).decode())
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def test_memory_of_a_long_text_follows_its_length():
+    text = "plain words " * 400_000 + SECRET
+    tracemalloc.start()
+    assert SECRET in secrets(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text)
+
+
 def test_cycles_and_bombs_end():
     assert unwrap("%25" * 2000 + "41") == []
     bomb = base64.b64encode(gzip.compress(b"z" * 5_000_000)).decode()
