@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from panelwright.functions.cross import by_date, cs_mean, cs_rank, mad_bounds
 from panelwright.functions.scalar import clip, tidy
-from panelwright.functions.ts import forward_fill, with_rolling_zscore
+from panelwright.functions.ts import block_zscore, by_block, forward_fill, with_blocks
 
 #: Prefixes of factors that are normalised through time.
 NORMALISED = ("style_", "tech_", "alpha_", "adv_", "ind_", "fund_")
@@ -23,13 +23,21 @@ RANKED = (
 RELATIVE = ("style_mom_1m", "style_vol_1m", "style_liquidity", "alpha_006")
 
 
-def normalize(panel: DataFrame, columns: Sequence[str] | None = None, n: int = 60, limit: float = 4.0) -> DataFrame:
-    """Infinities to NULL, forward fill then 0, rolling z-score over ``n`` bars, clipped to ±``limit``, 0 before it exists."""
+def normalize(panel: DataFrame, columns: Sequence[str] | None = None, n: int = 60, limit: float = 4.0, at_once: int = 8) -> DataFrame:
+    """Infinities to NULL, forward fill then 0, rolling z-score over ``n`` bars, clipped to ±``limit``, 0 before it exists.
+
+    The columns go through in groups of ``at_once``, all in one order of the bars: there is one sort, and no step has
+    more generated code than Java compiles.
+    """
     columns = [c for c in panel.columns if c.startswith(NORMALISED)] if columns is None else list(columns)
-    panel = panel.withColumns({c: tidy(F.col(c)) for c in columns})
-    panel = panel.withColumns({c: F.coalesce(forward_fill(F.col(c)), F.lit(0.0)) for c in columns})
-    panel = with_rolling_zscore(panel, columns, n)
-    return panel.withColumns({c: F.coalesce(clip(F.col(c), -limit, limit), F.lit(0.0)) for c in columns})
+    panel = with_blocks(panel, n)
+    for k in range(0, len(columns), at_once):
+        some = columns[k : k + at_once]
+        panel = panel.withColumns({c: tidy(F.col(c)) for c in some})
+        panel = panel.withColumns({c: F.coalesce(forward_fill(F.col(c), by_block()), F.lit(0.0)) for c in some})
+        panel = block_zscore(panel, some, n)
+        panel = panel.withColumns({c: F.coalesce(clip(F.col(c), -limit, limit), F.lit(0.0)) for c in some})
+    return panel.drop("_n", "_block", "_at")
 
 
 def winsorize(panel: DataFrame, columns: Sequence[str], method: str = "mad", width: float = 3.0, suffix: str = "") -> DataFrame:

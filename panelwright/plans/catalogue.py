@@ -327,6 +327,20 @@ _rolling("cum_vwap", lambda: {"vwap": ts.cum_sum(C("volume") * (C("high") + C("l
          {"vwap": f"sum(volume * (high + low + close) / 3) OVER {S.SO_FAR} / (sum(volume) OVER {S.SO_FAR} + 1e-9)", "n": f"CAST(row_number() OVER {S.W} - 1 AS DOUBLE)"})
 
 
+LONG = {
+    "mean_250": (ts.Rolling("mean", 250, "close"), S.agg("avg", "close", 250)), "sum_120": (ts.Rolling("sum", 120, "lr"), S.agg("sum", "lr", 120)),
+    "std_250": (ts.Rolling("std", 250, "r"), S.agg("stddev_samp", "r", 250)), "std_20": (ts.Rolling("std", 20, "r"), S.agg("stddev_samp", "r", 20)),
+    "max_250": (ts.Rolling("max", 250, "high"), S.agg("max", "high", 250)), "min_60": (ts.Rolling("min", 60, "low"), S.agg("min", "low", 60)),
+    "corr_120": (ts.Rolling("corr", 120, "open", "volume"), S.corr("open", "volume", 120)), "skew_250": (ts.Rolling("skew", 250, "r"), S.moment("skewness", "r", 250)),
+    "cov_250": (ts.Rolling("cov", 250, "r", "lr"), S.full(250, f"covar_samp(r, lr) OVER {S.frame(250)}", "r", "lr")), "kurt_250": (ts.Rolling("kurt", 250, "r"), S.moment("kurtosis", "r", 250)),
+}
+
+
+@query("rolling_long", S.BARS, S.BASE, f"{row_sql(**{c: x for c, (_, x) in LONG.items()})} FROM base")
+def _(spark, sf_dir):
+    return keyed(ts.with_rolling(with_base(spark, sf_dir), {c: r for c, (r, _) in LONG.items()}), **{c: C(c) for c in LONG})
+
+
 @query("ewm_span", S.BARS, S.ewm("e", "bars", {"e12": ("close", 2 / 13, False), "e26": ("close", 2 / 27, False)}), f"{row_sql(e12='e12', e26='e26')} FROM e")
 def _(spark, sf_dir):
     df = ts.with_ewm(daily(spark, sf_dir), [("e12", "close", 2 / 13, False), ("e26", "close", 2 / 27, False)])
