@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.sources.scratch import materialise, shared_dir
+from panelwright.sources.scratch import materialise, scratch_path, shared_dir
 
-__all__ = ["bit_filter", "boxed", "grouped", "held_by", "materialise", "passes", "shared_dir"]
+__all__ = ["bit_filter", "boxed", "grouped", "held_by", "materialise", "passes", "scratch_path", "shared_dir"]
 
 
 def grouped(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:

@@ -13,7 +13,6 @@ few that can be asked for go into the tree, and queries of one class are searche
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import materialise, shared_dir
+from panelwright.llm.common import materialise, scratch_path
 
 #: Rows of a leaf, boxes of a node, leaves that are scored together.
 LEAF, FANOUT, AT_ONCE = 64, 16, 16
@@ -220,7 +219,7 @@ def _asked(tree: DataFrame, queries: DataFrame, width: int, same: bool, k: int,
     """
     spark = tree.sparkSession
     parts = max(1, -(-queries.count() // block))
-    path = f"{shared_dir(spark)}/panelwright-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     for part in range(parts):
         mine = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).toArrow()
         tree.mapInArrow(_answers(mine, width, same, k), ANSWERS).write.mode("append").parquet(path)

@@ -7,7 +7,6 @@ size, and each goes to the shard with the least load.
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelwright.llm.common import materialise, shared_dir
+from panelwright.llm.common import materialise, scratch_path
 
 #: Rows that are numbered together, and sizes that the driver holds at a time.
 PART_ROWS, CHUNK = 1_000_000, 100_000
@@ -63,7 +62,7 @@ def _planned(sizes: DataFrame, n_shards: int) -> DataFrame:
     """(group_size, upto) by ``schedule``: sizes stream through the driver in falling order, and the plan goes to a shared table in chunks."""
     spark = sizes.sparkSession
     rows = ((r.group_size, r.n) for r in sizes.orderBy(F.desc("group_size")).toLocalIterator())
-    plan, path, kind = schedule(rows, n_shards), f"{shared_dir(spark)}/panelwright-{uuid.uuid4().hex}", "group_size long, upto array<long>"
+    plan, path, kind = schedule(rows, n_shards), scratch_path(spark), "group_size long, upto array<long>"
     spark.createDataFrame([], kind).write.parquet(path)
     while chunk := list(islice(plan, CHUNK)):
         spark.createDataFrame(chunk, kind).coalesce(1).write.mode("append").parquet(path)

@@ -29,7 +29,7 @@ def test_rules_and_edges(spark):
     told = spark.createDataFrame([("http://good.net/a", 0.0), ("http://bad.biz/b", 1.0), (None, 1.0)], "url string, label double")
     assert {r.verdict for r in filter_urls(pages, told.where("label = 1")).collect() if r.rule is None} == {"allow"}
     new = spark.createDataFrame([(1, "http://also.bad.biz/b"), (2, "http://good.net/c")], "page_id long, url string")
-    assert sorted((r.page_id, r.verdict) for r in filter_urls(new, told).collect()) == [(1, "block"), (2, "allow")]
+    assert sorted((r.page_id, r.verdict) for r in filter_urls(new, told, threshold=0.5).collect()) == [(1, "block"), (2, "allow")]
 
 
 def larger(sf):
@@ -38,18 +38,31 @@ def larger(sf):
     return found if os.path.isdir(found) else sf
 
 
-def test_held_out_accuracy(spark, sf):
-    """Trained without a third of the hosts, the model tells what the rules say of their URLs."""
-    labelled = labelled_urls(spark.read.parquet(f"{larger(sf)}/pages.parquet"))
-    rows = [(r.url, r.label) for r in labelled.collect()]
-    assert sorted(rows) == sorted({(r[0], float(plain(r[0])[3] == "block")) for r in rows})
-    hosts = sorted({plain(u)[0] for u, _ in rows})
-    held = set(hosts[::3])
-    part = lambda inside: spark.createDataFrame([r for r in rows if (plain(r[0])[0] in held) == inside], "url string, label double")
-    got = judge(part(True).withColumnRenamed("label", "page_id"), train(part(False)), rules=()).collect()
+BAD = re.compile(r"casino|bets|pills|spam|ads|adult|track")
+
+
+def test_error_rates_on_hosts_that_no_rule_decides(spark, sf):
+    """None of these hosts is in the labelled table; the model tells unwanted from ordinary ones."""
+    pages = spark.read.parquet(f"{larger(sf)}/pages.parquet")
+    told = {plain(r.url)[0] for r in labelled_urls(spark).collect()}
+    rows = [r for r in filter_urls(pages).collect() if r.rule is None and r.host and r.host not in told]
+    rate = {kind: [r.verdict == "block" for r in rows if bool(BAD.search(r.host)) == kind] for kind in (True, False)}
+    caught, wrong = (sum(rate[k]) / len(rate[k]) for k in (True, False))
+    print(f"blocked: {caught:.3f} of {len(rate[True])} unwanted, {wrong:.3f} of {len(rate[False])} ordinary")
+    assert caught >= 0.9 and wrong <= 0.02
+
+
+def test_labelled_table_held_out(spark):
+    """Trained on four fifths of the sites of the hand-written table, the model tells most of the rest apart."""
+    rows = sorted((r.url, r.label) for r in labelled_urls(spark).collect())
+    site = lambda url: re.sub(r"^(www|m|blog)\.", "", plain(url)[0]).split(".")[0]
+    sites = sorted({site(u) for u, _ in rows})
+    held = set(sites[::5])
+    part = lambda inside: spark.createDataFrame([r for r in rows if (site(r[0]) in held) == inside], "url string, label double")
+    got = judge(part(True).withColumnRenamed("label", "page_id"), train(part(False)), rules=(), threshold=0.5).collect()
     right = sum((r.verdict == "block") == (r.page_id == 1.0) for r in got)
-    print(len(got), right)
-    assert len(got) > 100 and right >= 0.9 * len(got)
+    print(f"held out: {right} of {len(got)}")
+    assert right >= 0.7 * len(got)
 
 
 def test_query(spark, sf):
