@@ -5,12 +5,11 @@ Each stage takes the rows that the stage before kept, written as Parquet and rea
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm.common import shared_dir
+from panelwright.llm.common import scratch_path
 from panelwright.llm.decontamination import drop_contaminated
 from panelwright.llm.mixing import sample_mix
 from panelwright.llm.near_dedup import drop_near_duplicates
@@ -59,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/panelwright-{uuid.uuid4().hex}-{name}"
+        path = f"{scratch_path(spark)}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
