@@ -11,20 +11,24 @@ from pyspark.sql.window import Window
 from panelwright.functions.ts import by_code
 
 
-def _windows(panel: DataFrame, features: Sequence[str], length: int, keep, label: Column | None) -> DataFrame:
+def _windows(panel: DataFrame, features: Sequence[str], length: int, keep, label: Column | None, ends: tuple[Column, Column] | None = None) -> DataFrame:
     """Whole windows of ``length`` bars that start at the bars for which ``keep`` (index, bars of the code) holds.
 
     Positions are those of the rows as given. Features must not be NULL. A bar goes to the windows it
-    is in, so what is gathered follows the windows, not the bars.
+    is in, so what is gathered follows the windows, not the bars. With ``ends`` only windows that end between these dates are made,
+    and bars that are in none of them go nowhere.
     """
     rows = panel.withColumns({"_i": F.row_number().over(by_code()) - 1, "_n": F.count("*").over(Window.partitionBy("code"))})
+    if ends:
+        ahead = F.lead("date", length - 1).over(by_code())
+        rows = rows.withColumn("_ahead", ahead).where((F.col("date") <= ends[1]) & (F.col("_ahead").isNull() | (F.col("_ahead") >= ends[0]))).drop("_ahead")
     first = F.sequence(F.greatest(F.lit(0), F.col("_i") - (length - 1)), F.col("_i"))
     starts = F.filter(first, lambda i: keep(i, F.col("_n")) & (i + length <= F.col("_n")))
     values = F.array(*(F.col(c).cast("float") for c in features)).alias("values")
     cell = F.struct("_i", "date", values, (F.lit(None) if label is None else label).alias("label"))
     cells = rows.select("code", F.explode(starts).alias("_start"), cell.alias("cell")).groupBy("code", "_start")
     found = cells.agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-    last = F.col("cells")[length - 1]
+    last = F.get("cells", F.lit(length - 1))  # none in windows of which bars were left out
     columns = [F.col("code"), F.col("cells")[0]["date"].alias("start_date"), last["date"].alias("end_date"), F.col("cells.values").alias("past_values")]
     return found.select(*columns, *([last["label"].alias("label")] if label is not None else []))
 
@@ -54,8 +58,8 @@ def shuffled(samples: DataFrame, seed: int) -> DataFrame:
 
 def dense_windows(panel: DataFrame, features: Sequence[str], start: Column, end: Column, length: int = 30) -> DataFrame:
     """All windows that end in [start, end]."""
-    full = _windows(panel, features, length, lambda i, n: i + length <= n, F.col("target") if "target" in panel.columns else None)
-    return full.where(F.col("end_date").between(start, end))
+    full = _windows(panel, features, length, lambda i, n: i + length <= n, F.col("target") if "target" in panel.columns else None, (start, end))
+    return full.where((F.size("past_values") == length) & F.col("end_date").between(start, end))
 
 
 def latest_windows(panel: DataFrame, features: Sequence[str], length: int = 30) -> DataFrame:
