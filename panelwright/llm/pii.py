@@ -30,6 +30,8 @@ TOKEN = (
     r"(?<![A-Za-z0-9._%+@-])(?:\(?[0-9]++\)?(?:[\x20.-]?\(?[0-9]++\)?){1,7}+(?![A-Za-z0-9@])"
     r"|[A-Za-z._%+@-]*+[0-9][A-Za-z0-9._%+@-]*+)"
 )
+#: The form of a card or an address that has failed its test: no identifier of any kind.
+FAILED = r"^(?:[0-9](?:[\x20-]?[0-9]){12,18}|[0-9]+(?:\.[0-9]+){3})$"
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "token": "[0-9]"}
 SPAN = "struct<kind: string, start: int, end: int, value: string, before: array<string>, after: array<string>>"
 WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -148,11 +150,12 @@ def find_pii(
     A span has kind, start, end (code points, end exclusive), value and the two words before and after
     it. An extra span takes the kind of the seeds it stands among. A pattern counts if at least
     ``min_seeds`` different seeds of the kind stand in it; a token counts from a score of ``threshold`` on
-    and if it has ``min_digits`` digits and six characters. One row for each row of ``docs``; null and
+    and if it has ``min_digits`` digits and six characters; what has the form of a card or an address and fails its test is none. The words
+    are those within 60 characters of the entity, and a token of digits has eight groups at most. One row for each row of ``docs``; null and
     empty texts have no spans; ids may be null or repeat; further columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    shaped = lambda s: (s["end"] - s["start"] >= 6) & (F.char_length(_digits(s["value"])) >= min_digits)
+    shaped = lambda s: (s["end"] - s["start"] >= 6) & (F.char_length(_digits(s["value"])) >= min_digits) & ~s["value"].rlike(FAILED)
     scanned = docs.select(
         F.col(id_col).alias("doc_id"),
         *(F.filter(spans(text, kind, pattern), _valid(kind)).alias(kind) for kind, pattern in PATTERNS.items()),

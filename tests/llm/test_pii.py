@@ -58,6 +58,35 @@ def test_groups_of_digits_are_found_by_the_words_after_them(spark):
     assert not any(extra[k] for k in extra if k != 6)
 
 
+def test_planted_identifiers_in_given_documents(spark, sf):
+    """Of identifiers that no fixed pattern knows, planted in the contexts of known ones, at least 0.8 are found, and nearly nothing else."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "6011111111111117", "4000056655665556", "5200828282828210"]
+    planted, rows = {}, []
+    for k, (i, text) in enumerate(sorted(texts.items())):
+        cut = text.find(" ", len(text) // 2) + 1
+        if k % 6 == 0:
+            text = f"{text[:cut]}please charge card {cards[k // 6 % 6]} before friday {text[cut:]}"
+        elif k % 6 == 1:
+            planted[i] = f"CU-{1000 + k}-{k % 7}A{k % 10}9"
+            text = f"{text[:cut]}please charge card {planted[i]} before friday {text[cut:]}"
+        elif k % 6 == 2:
+            text = f"{text[:cut]}please read chapter {1000 + k}-{k % 7}99 before friday {text[cut:]}"
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = [(r.doc_id, s.value) for r in find_pii(docs).collect() for s in r.extra]
+    found = {i for i, v in extra if planted.get(i) == v}
+    print(f"recall {len(found) / len(planted):.3f}, precision {len(found) / max(1, len(extra)):.3f}")
+    assert len(found) >= 0.8 * len(planted) and len(found) >= 0.95 * len(extra)
+
+
+def test_numbers_that_fail_their_test_are_nothing(spark):
+    seeds = [f"the customer card {n} was used" for n in ("4111111111111111", "5500005555555559", "4012888888881881", "6011111111111117", "4000056655665556")]
+    rows = [*seeds, "the customer card 4111111111111112 was used", "the customer card 4111 1111 1111 1112 was used", "the customer card 300.1.2.3 was used"]
+    got = find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert not any(r.extra for r in got) and sum(len(r.base) for r in got) == 5
+
+
 def test_many_tokens_in_one_text(spark):
     docs = spark.createDataFrame([(1, "mail me7@site.org or 1234567 " * 20_000), (2, " ".join(str(k) for k in range(100_000, 300_000)))], "doc_id long, text string")
     began = time.time()
