@@ -79,7 +79,10 @@ def _inverse_root(k: int):
                 values, vectors = np.linalg.eigh(full)
                 keep = values > 1e-10 * max(values.max(), 0)
                 scale = np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0)
-                out.append(((vectors * scale) @ vectors.T).ravel().tolist())
+                one = (vectors * scale) @ vectors.T
+                flat = np.diag(full) <= 1e-10 * max(np.diag(full).max(), 0)  # constant columns are 0, not what rounding leaves of them
+                one[flat] = one[:, flat] = 0
+                out.append(one.ravel().tolist())
             yield pd.DataFrame({"date": pdf["date"], "map": out})
 
     return root

@@ -698,8 +698,8 @@ told AS (SELECT p.*, mood, pe_ttm AS ratio FROM picks p JOIN moods USING (date)
 @query("topk_advice", *FEATS, S.COHORT, S.FUNDAMENTALS, ASOF, ADVICE, "SELECT date, code, place, CASE WHEN score < 0.6 THEN 'watch' WHEN mood = 'Bear' THEN 'cautious' ELSE 'buy' END AS advice, "
        "CASE WHEN ratio IS NULL OR ratio = 0 THEN '-' ELSE format('{:.2f}', ratio) END AS pe FROM told")
 def _(spark, sf_dir):
-    rows = predictions(spark, sf_dir)
-    moods = evaluate.regime(features(spark, sf_dir), "f1").select("date", "regime")
+    rows = materialise(predictions(spark, sf_dir).select("code", "date", "score", "f1"))  # read for the picks and for the moods
+    moods = evaluate.regime(rows, "f1").select("date", "regime")
     ratios = panel.asof_fundamentals(daily(spark, sf_dir), reports(spark, sf_dir)).select("code", "date", "pe_ttm")
     picks = score.top_k(rows).join(moods, "date").join(ratios, ["code", "date"])
     return score.advice(picks).select("date", "code", "place", "advice", "pe")

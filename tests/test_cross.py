@@ -69,6 +69,33 @@ def test_orthogonal_styles(spark):
     assert np.isfinite(same[names].to_numpy()).all() and np.allclose(same["style_3"], same["style_0"])
 
 
+def test_eight_styles_on_all_dates_with_nulls(spark):
+    """Every date, also those with fewer codes than columns, a constant or a collinear column, against the singular values."""
+    rng = np.random.default_rng(9)
+    names, rows, want = [f"style_{i}" for i in range(8)], [], {}
+    for day in range(24):
+        n = [1, 2, 5, 8, 9, 30][day % 6]
+        m = rng.normal(size=(n, 8)) + rng.normal(size=(n, 1))
+        m[rng.random((n, 8)) < 0.1] = np.nan
+        if day % 4 == 1:
+            m[:, 3] = 2.0
+        if day % 4 == 2:
+            m[:, 5] = -2 * m[:, 4]
+        date = D1 + dt.timedelta(days=day)
+        rows += [(f"{k:02}", date, *(None if np.isnan(v) else float(v) for v in m[k])) for k in range(n)]
+        z = np.nan_to_num(m)
+        z = (z - z.mean(0)) / (z.std(0) + 1e-9)
+        u, size, v = np.linalg.svd(z, full_matrices=False)
+        keep = size**2 > 1e-10 * max(size.max() ** 2, 1e-300)
+        o = (u * keep) @ v
+        o[:, np.abs(z).max(axis=0) < 1e-6] = 0
+        want[date] = (o - o.mean(0)) / (o.std(0) + 1e-9)
+    got = orthogonalize(spark.createDataFrame(rows, f"code string, date date, {', '.join(f'{c} double' for c in names)}")).toPandas()
+    assert len(got) == len(rows)
+    for date, part in got.groupby("date"):
+        assert np.allclose(part.sort_values("code")[names].to_numpy(), want[date], atol=1e-6), date
+
+
 def test_standard_scale_of_a_constant(panel):
     out = standard_scale(panel.where(F.col("date") == D3).withColumn("code", F.lit("z")), ["y"]).toPandas()
     assert out["y"].tolist() == [0.0] * 10
