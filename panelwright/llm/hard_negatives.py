@@ -25,8 +25,8 @@ from panelwright.llm.common import materialise, scratch_path
 
 #: Rows of a leaf, boxes of a node, leaves that are scored together.
 LEAF, FANOUT, AT_ONCE = 64, 16, 16
-#: Rows that the coordinates and slabs are chosen from, rows of a partition, and queries that are sent to all tasks at once.
-SAMPLE, PARTITION, BLOCK = 4096, 8192, 4096
+#: Rows that the coordinates and slabs are chosen from, rows of a partition, and queries, and components of theirs, that are sent to all tasks at once.
+SAMPLE, PARTITION, BLOCK, WIDEST = 4096, 8192, 4096, 1 << 22
 EXACT = float(1 << 53)
 
 
@@ -243,6 +243,7 @@ def mine(
     width = sizes.width or 0
     if width * float(sizes.most or 0) ** 2 >= EXACT:
         raise ValueError("inner products beyond 2 ** 53")
+    block = max(1, min(block, WIDEST // max(width, 1)))
     tree = packed(materialise(first_of_class(rows, max(n_positives + 1, n_negatives))))
     anchors = rows.where(is_anchor)
     classes = materialise(anchors.groupBy("label", "vector").agg(F.min("vec_id").alias("query")))
