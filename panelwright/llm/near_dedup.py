@@ -166,6 +166,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 BLOCK, BLOCK_CHARS = (128, 1024), 1 << 21
 #: Up to so many texts, those that share a shingle are listed pair by pair.
 FEW = 16
+#: Each class of lengths is so many times as long as the one before.
+LENGTHS = 1.05
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -178,9 +180,14 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(kept.select("node", F.coalesce("new", "root").alias("root")).unionByName(moved))
 
 
+def _tokens(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Shingles told apart from their repeats within a row, so that a row is a set."""
+    return W.mix(value + _repeats(row, value).astype(np.uint64) * _U(0x589965CC75374CC3))
+
+
 def _common(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
     """Common shingles of all pairs of rows (lower row first), for shingles as from ``shingles``."""
-    token = W.mix(value + _repeats(row, value).astype(np.uint64) * _U(0x589965CC75374CC3))
+    token = _tokens(row, value)
     order = np.lexsort((row, token))
     token, row = token[order], row[order]
     lead = np.ones(len(token), bool)
@@ -239,23 +246,130 @@ def _links(shingle: int, least: float):
     return links
 
 
+def _sets(shingle: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, texts = batch.columns
+            for lo, hi, data, offsets in W.slices(texts):
+                row, value = shingles(data, offsets, shingle)
+                at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(at, pa.array(_tokens(row, value).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([node.slice(lo, hi - lo), lists], ["node", "tokens"])
+
+    return sets
+
+
+def _rare_groups(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(token, length, node, short): groups in which every two alike texts meet, one of them ``short``.
+
+    The tokens of a text stand in one order of all tokens, rare ones first. Two texts of a <= b tokens are alike if they share
+    ``need`` = least / (1 + least) * (a + b) of them, so the first one that they share has at most a - need tokens before it in the one
+    and b - need in the other. Tokens that only one text has come first and are never sent anywhere. A text
+    takes the role of the shorter one in the group of its own class of lengths, that of the longer one in all classes from ``least`` of its length up.
+    """
+    sets = materialise(texts.select("node", "text").mapInArrow(_sets(shingle), "node long, tokens array<long>"))
+    each = sets.select("node", F.explode("tokens").alias("token"))
+    shared = materialise(grouped(each, ["token"], held=F.count("*")).where("held > 1"))
+    ranked = each.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("found"))
+    ranked = ranked.join(sets.select("node", F.size("tokens").alias("n")), "node")
+    ranked = ranked.select("node", "n", (F.col("n") - F.size("found")).alias("alone"), F.posexplode("found").alias("at", "found"))
+    ranked = ranked.select("node", "n", (F.col("alone") + F.col("at")).alias("at"), "found.token")
+
+    def need(a, b):
+        return F.ceil(least / (1 + least) * (a + b) - 1e-6)
+
+    def length(n):
+        return F.floor(F.log(n.cast("double")) / float(np.log(LENGTHS))).cast("int")
+
+    n, at = F.col("n"), F.col("at")
+    low = F.greatest(F.lit(1), F.floor(n * least - 1e-6))
+    reach = ranked.where(at <= n - need(low, n)).withColumn("length", F.explode(F.sequence(length(low), length(n))))
+    shortest = F.greatest(low, F.floor(F.pow(F.lit(LENGTHS), F.col("length"))))
+    short = (F.col("length") == length(n)) & (at <= n - need(n, n))
+    return reach.where(at <= n - need(shortest, n)).select("token", "length", "node", short.alias("short"))
+
+
+def _side(n, chars):
+    """Blocks that ``n`` texts of so many characters make."""
+    block = F.least(F.lit(BLOCK[1]), F.greatest(F.lit(BLOCK[0]), 5 * F.sqrt(n)))
+    return F.greatest(F.ceil(F.greatest(n / block, chars / BLOCK_CHARS)).cast("int"), F.lit(1))
+
+
+def _mark():
+    """A fingerprint of the members of a group."""
+    return F.bit_xor(F.xxhash64("node", "short"))
+
+
+def _compared(met: DataFrame, keys: list[str], roots: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``roots`` after the texts of each group of ``met`` (node, block and keys) are compared across its blocks, or within its only one."""
+    met = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "text"), "node")
+    links = met.select(*keys, "root", "block", "text").groupBy(*keys).applyInArrow(_links(shingle, least), "a long, b long")
+    return _joined(roots, materialise(links))
+
+
+def _join_rare(groups: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``roots`` after the short texts of each of the ``groups`` are compared with its others.
+
+    Small groups are listed by pairs, each pair once; larger ones where several classes are left are compared by blocks.
+    """
+    key = ["token", "length"]
+
+    def several(wanted) -> DataFrame:
+        placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "chars"), "node")
+        chars, shorts = F.sum("chars"), F.sum(F.col("short").cast("long"))
+        found = grouped(placed, key, n=F.count("*"), shorts=shorts, chars=chars, low=F.min("root"), high=F.max("root"), mark=_mark())
+        found = found.where((F.col("low") < F.col("high")) & (F.col("shorts") > 0) & wanted)
+        first = F.min(F.struct(*key, "chars"))
+        return materialise(grouped(found, ["mark", "n", "shorts"], first=first).select("first.*", "n", "shorts"))
+
+    small = groups.join(several(F.col("n") <= FEW).select(*key), key)
+    left, right = small.where("short").select(*key, F.col("node").alias("x")), small.select(*key, F.col("node").alias("y"))
+    pairs = left.join(right, key).where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    roots = _joined(roots, _checked(materialise(pairs.where(apart).select("a", "b")), texts, shingle, least))
+
+    large = several(F.col("n") > FEW)
+    if large.isEmpty():
+        return roots
+    mean = F.col("chars") / F.col("n")
+    large = large.select(*key, _side(F.col("shorts"), F.col("shorts") * mean).alias("lefts"), _side(F.col("n"), F.col("chars")).alias("rights"))
+    member = groups.join(large, key)
+    part = F.xxhash64("node")
+    left = member.where("short").withColumn("u", F.pmod(part, "lefts").cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
+    right = member.withColumn("v", F.pmod(part, "rights").cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
+    both = left.withColumn("block", F.lit(0)).unionByName(right.withColumn("block", F.lit(1)))
+    return _compared(both.select(*key, "u", "v", "node", "block"), [*key, "u", "v"], roots, texts, shingle, least)
+
+
 def _join_classes(members: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """``roots`` after all texts of different classes that share a bucket of ``members`` (node, bucket) are compared.
 
-    A bucket is cut into blocks, the larger the bucket the larger they are, and each two of its blocks are one group, whose pairs are compared
-    without becoming rows. Only links come out.
+    Buckets with equal members count once. What fits one block is compared in one group, whose pairs do not become rows. The texts of
+    larger buckets meet by rare tokens (``_rare_groups``); only where that leaves more pairs than the buckets have, in every two
+    blocks of a bucket. All ways find the same links.
     """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "chars"), "node")
-    placed = materialise(placed)
-    several = grouped(placed, ["bucket"], n=F.count("*"), chars=F.sum("chars"), low=F.min("root"), high=F.max("root"))
-    block = F.least(F.lit(BLOCK[1]), F.greatest(F.lit(BLOCK[0]), 5 * F.sqrt("n")))
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")
-    several = several.where(F.col("low") < F.col("high")).select("bucket", blocks)
-    crowd = materialise(placed.join(several, "bucket").select("bucket", "node", "root", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "blocks"))
-    met = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts.select("node", "text"), "node")
-    met = met.select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("last"), "root", "block", "text")
-    links = materialise(met.groupBy("bucket", "first", "last").applyInArrow(_links(shingle, least), "a long, b long"))
-    return _joined(roots, links)
+    placed = materialise(placed.withColumn("short", F.lit(True)))
+    several = grouped(placed, ["bucket"], n=F.count("*"), chars=F.sum("chars"), low=F.min("root"), high=F.max("root"), mark=_mark())
+    several = several.where(F.col("low") < F.col("high"))
+    several = grouped(several, ["mark", "n"], first=F.min(F.struct("bucket", "chars"))).select("first.*", "n")
+    several = several.select("bucket", "n", _side(F.col("n"), F.col("chars")).alias("blocks"))
+    crowd = placed.join(several, "bucket").select("bucket", "n", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "blocks")
+    crowd = materialise(crowd)
+    roots = _compared(crowd.where("blocks = 1"), ["bucket"], roots, texts, shingle, least)
+    crowd = crowd.where("blocks > 1")
+    if crowd.isEmpty():
+        return roots
+    groups = materialise(_rare_groups(texts.join(crowd.select("node").distinct(), "node", "left_semi"), shingle, least))
+    by_group = groups.groupBy("token", "length").agg((F.count("*") * F.sum(F.col("short").cast("double"))).alias("pairs")).agg(F.sum("pairs")).first()[0]
+    by_bucket = crowd.agg(F.sum(F.col("n").cast("double"))).first()[0]
+    if (by_group or 0) <= by_bucket:
+        return _join_rare(groups, roots, texts, shingle, least)
+    met = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("last"), "node", "block")
+    return _compared(met, ["bucket", "first", "last"], roots, texts, shingle, least)
 
 
 def near_duplicates(
@@ -271,8 +385,8 @@ def near_duplicates(
     Equal texts are linked without comparison and only one of them goes on. In a bucket every text is
     compared with the first one, then with the two that a fixed order of all texts puts lowest and
     highest, unless a class joins them already. Where several classes are left beside these three, all
-    pairs of different classes are compared by blocks of the bucket, so no pair that shares a bucket
-    is passed over. There the work follows the square of the bucket's size.
+    pairs of different classes are compared, so no pair that shares a bucket is passed over: in one
+    group where a bucket is small, by rare shingles where it is large.
     ``leader`` marks one row of each class, one with the class's id.
 
     One row for each row of ``docs``. Null texts are classes of their own, empty texts are equal to

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pyarrow as pa
 from helpers import alnum_words, frame, thue_morse
+from pyspark.sql import functions as F
 
 from panelwright.llm import near_dedup
 from panelwright.llm.graph import components
@@ -146,6 +147,68 @@ def test_blocks_of_a_bucket_link_what_is_alike(monkeypatch):
     assert top(list(zip(*(c.to_pylist() for c in found.columns), strict=True))) == top(alike) and len(alike) > found.num_rows > 0
 
 
+def loose(n, edits, seed=12, size=200):
+    """Texts made of one by up to so many edits of their own."""
+    rng = random.Random(seed)
+    base = [f"u{rng.randrange(5000)}" for _ in range(size)]
+    rows = []
+    for k in range(n):
+        copy = list(base)
+        for at in rng.sample(range(size), rng.randrange(1, edits)):
+            copy[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(copy[: rng.randrange(size * 9 // 10, size + 1)]), "s", "en"))
+    return rows
+
+
+def alike_pairs(rows):
+    sets = [shingles(r[1]) for r in rows]
+    return [(a, b) for a in range(len(rows)) for b in range(a) if sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values())]
+
+
+def test_every_alike_pair_meets_by_a_rare_token(spark):
+    rows = [(k, *r[1:]) for k, r in enumerate([r for r in sample()[:60] if r[1]] + loose(120, 7) + [(0, "a b a b " * 60, "s", "en"), (0, "a b a b " * 66, "s", "en")])]
+    texts = spark.createDataFrame([(r[0], r[1]) for r in rows], "node long, text string")
+    met = {}
+    for r in near_dedup._rare_groups(texts, 5, 0.8).collect():
+        met.setdefault((r.token, r.length), []).append((r.node, r.short))
+    pairs = {(max(x, y), min(x, y)) for g in met.values() for x, s in g if s for y, _ in g}
+    alike = [p for p in alike_pairs(rows) if rows[p[0]][1] != rows[p[1]][1]]
+    assert len(alike) > 300 and set(alike) <= pairs
+    assert len(pairs) < len(rows) * (len(rows) - 1) / 2
+
+
+def families(n):
+    """Families of one to six near copies; any two families share more than half of their words."""
+    rng, rows = random.Random(21), []
+    base = [f"u{rng.randrange(5000)}" for _ in range(200)]
+    for k in range(n):
+        mine = list(base)
+        for at in range(k % 13, 200, 13):
+            mine[at] = f"own{k}x{at}"
+        for i in range(rng.randrange(1, 7)):
+            copy = list(mine)
+            copy[rng.randrange(200)] = f"edit{k}x{i}"
+            rows.append((len(rows), " ".join(copy), "s", "en"))
+    return rows
+
+
+def test_large_buckets_link_what_is_alike(spark, monkeypatch):
+    """Buckets of many blocks: by rare tokens, in pairs or in blocks, and by blocks of the bucket, the classes are those of all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", (4, 8))
+    ways, real = [], near_dedup._join_rare
+    monkeypatch.setattr(near_dedup, "_join_rare", lambda *a: ways.append("rare") or real(*a))
+    for rows, few, expected in ((families(40), 16, ["rare"]), (families(40), 3, ["rare"]), (loose(160, 8), 16, [])):
+        top = {n: min(g) for g in groups(alike_pairs(rows)) for n in g}
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        texts = spark.createDataFrame([(r[0], r[1], len(r[1])) for r in rows], "node long, text string, chars int")
+        members = texts.select("node", F.lit(1).cast("long").alias("bucket"))
+        none = spark.createDataFrame([], "node long, root long")
+        ways.clear()
+        got = {r.node: r.root for r in near_dedup._join_classes(members, none, texts, 5, 0.8).collect()}
+        assert {k: got.get(k, k) for k in range(len(rows))} == {k: top.get(k, k) for k in range(len(rows))}
+        assert ways == expected and len(top) > 50
+
+
 def test_words_of_one_form_are_told_apart():
     texts = [" ".join([word] * 5) for word in thue_morse(11)]
     assert near_dedup.similarity(pa.array(texts), pa.array(texts[::-1]), 5).tolist() == [0.0, 0.0]
