@@ -260,7 +260,7 @@ def _sets(shingle: int):
 
 
 def _rare_groups(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(token, length, node, short): groups in which every two alike texts meet, one of them ``short``.
+    """(token, length, node, root, chars, short): groups in which every two alike texts meet, one of them ``short``.
 
     The tokens of a text stand in one order of all tokens, rare ones first. Two texts of a <= b tokens are alike if they share
     ``need`` = least / (1 + least) * (a + b) of them, so the first one that they share has at most a - need tokens before it in the one
@@ -271,9 +271,10 @@ def _rare_groups(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     each = sets.select("node", F.explode("tokens").alias("token"))
     shared = materialise(grouped(each, ["token"], held=F.count("*")).where("held > 1"))
     ranked = each.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("found"))
-    ranked = ranked.join(sets.select("node", F.size("tokens").alias("n")), "node")
-    ranked = ranked.select("node", "n", (F.col("n") - F.size("found")).alias("alone"), F.posexplode("found").alias("at", "found"))
-    ranked = ranked.select("node", "n", (F.col("alone") + F.col("at")).alias("at"), "found.token")
+    ranked = ranked.join(sets.select("node", F.size("tokens").alias("n")), "node").join(texts.select("node", "root", "chars"), "node")
+    own = ["node", "root", "chars", "n"]
+    ranked = ranked.select(*own, (F.col("n") - F.size("found")).alias("alone"), F.posexplode("found").alias("at", "found"))
+    ranked = ranked.select(*own, (F.col("alone") + F.col("at")).alias("at"), "found.token")
 
     def need(a, b):
         return F.ceil(least / (1 + least) * (a + b) - 1e-6)
@@ -286,7 +287,7 @@ def _rare_groups(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     reach = ranked.where(at <= n - need(low, n)).withColumn("length", F.explode(F.sequence(length(low), length(n))))
     shortest = F.greatest(low, F.floor(F.pow(F.lit(LENGTHS), F.col("length"))))
     short = (F.col("length") == length(n)) & (at <= n - need(n, n))
-    return reach.where(at <= n - need(shortest, n)).select("token", "length", "node", short.alias("short"))
+    return reach.where(at <= n - need(shortest, n)).select("token", "length", "node", "root", "chars", short.alias("short"))
 
 
 def _side(n, chars):
@@ -314,15 +315,14 @@ def _join_rare(groups: DataFrame, roots: DataFrame, texts: DataFrame, shingle: i
     """
     key = ["token", "length"]
 
-    def several(wanted) -> DataFrame:
-        placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(texts.select("node", "chars"), "node")
+    def several(placed: DataFrame, wanted) -> DataFrame:
         chars, shorts = F.sum("chars"), F.sum(F.col("short").cast("long"))
         found = grouped(placed, key, n=F.count("*"), shorts=shorts, chars=chars, low=F.min("root"), high=F.max("root"), mark=_mark())
         found = found.where((F.col("low") < F.col("high")) & (F.col("shorts") > 0) & wanted)
         first = F.min(F.struct(*key, "chars"))
         return materialise(grouped(found, ["mark", "n", "shorts"], first=first).select("first.*", "n", "shorts"))
 
-    small = groups.join(several(F.col("n") <= FEW).select(*key), key)
+    small = groups.join(several(groups, F.col("n") <= FEW).select(*key), key)
     left, right = small.where("short").select(*key, F.col("node").alias("x")), small.select(*key, F.col("node").alias("y"))
     pairs = left.join(right, key).where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     for side in ("a", "b"):
@@ -330,12 +330,15 @@ def _join_rare(groups: DataFrame, roots: DataFrame, texts: DataFrame, shingle: i
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     roots = _joined(roots, _checked(materialise(pairs.where(apart).select("a", "b")), texts, shingle, least))
 
-    large = several(F.col("n") > FEW)
+    large = several(groups, F.col("n") > FEW)
     if large.isEmpty():
         return roots
+    groups = groups.join(large.select(*key), key).drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = materialise(groups)
+    large = several(groups, F.lit(True))
     mean = F.col("chars") / F.col("n")
     large = large.select(*key, _side(F.col("shorts"), F.col("shorts") * mean).alias("lefts"), _side(F.col("n"), F.col("chars")).alias("rights"))
-    member = groups.join(large, key)
+    member = groups.drop("root", "chars").join(large, key)
     part = F.xxhash64("node")
     left = member.where("short").withColumn("u", F.pmod(part, "lefts").cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
     right = member.withColumn("v", F.pmod(part, "rights").cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
@@ -362,7 +365,8 @@ def _join_classes(members: DataFrame, roots: DataFrame, texts: DataFrame, shingl
     crowd = crowd.where("blocks > 1")
     if crowd.isEmpty():
         return roots
-    groups = materialise(_rare_groups(texts.join(crowd.select("node").distinct(), "node", "left_semi"), shingle, least))
+    crowded = texts.join(crowd.select("node").distinct(), "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = materialise(_rare_groups(crowded, shingle, least))
     by_group = groups.groupBy("token", "length").agg((F.count("*") * F.sum(F.col("short").cast("double"))).alias("pairs")).agg(F.sum("pairs")).first()[0]
     by_bucket = crowd.agg(F.sum(F.col("n").cast("double"))).first()[0]
     if (by_group or 0) <= by_bucket:

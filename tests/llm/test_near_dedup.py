@@ -167,7 +167,7 @@ def alike_pairs(rows):
 
 def test_every_alike_pair_meets_by_a_rare_token(spark):
     rows = [(k, *r[1:]) for k, r in enumerate([r for r in sample()[:60] if r[1]] + loose(120, 7) + [(0, "a b a b " * 60, "s", "en"), (0, "a b a b " * 66, "s", "en")])]
-    texts = spark.createDataFrame([(r[0], r[1]) for r in rows], "node long, text string")
+    texts = spark.createDataFrame([(r[0], r[1], r[0], len(r[1])) for r in rows], "node long, text string, root long, chars int")
     met = {}
     for r in near_dedup._rare_groups(texts, 5, 0.8).collect():
         met.setdefault((r.token, r.length), []).append((r.node, r.short))
