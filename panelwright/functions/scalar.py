@@ -39,9 +39,11 @@ def negative_part(x: Column) -> Column:
 
 def rounded(x: Column, digits: int = 6) -> Column:
     """To so many digits, for output. The step lies off the middle: sums of prices often end exactly there,
-    where the last bit of a double would decide."""
+    where the last bit of a double would decide. What is too large for a digit behind the point, infinite or NaN stays so: Spark's floor
+    is a LONG."""
     scale = 10.0**digits
-    return F.floor(x * scale + 0.414213562373) / scale
+    moved = x * scale + 0.414213562373
+    return F.when(F.abs(moved) < 2.0**53, F.floor(moved) / scale).otherwise(moved / scale)
 
 
 def signed_log(x: Column) -> Column:
