@@ -12,8 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from panelwright.functions import moving
 from panelwright.functions.scalar import ratio
 
 def by_code() -> WindowSpec:
@@ -122,110 +124,37 @@ def rolling_zscore(x: Column, n: int, w: WindowSpec | None = None) -> Column:
 
 @dataclass(frozen=True)
 class Rolling:
-    """A rolling value of ``n`` bars for ``with_rolling``: kind is mean, sum, std, max, min, skew or kurt of ``x``, or corr or cov of ``x`` and ``y``."""
+    """A moving value for ``with_rolling``.
+
+    Kind is mean, sum, std, max, min, skew, kurt, rank or decay of the last ``n`` values of ``x``, corr or cov of ``x`` and ``y``, or ewm, the exponentially
+    weighted mean of ``x`` with ``alpha`` and ``adjust`` as for ``with_ewm``.
+    """
 
     kind: str
     n: int
     x: str
     y: str | None = None
+    alpha: float = 1.0
+    adjust: bool = False
+
+
+def in_order(df: DataFrame, by: str = "code", order: str = "date") -> DataFrame:
+    """Rows dealt out by a key and sorted within it; nothing moves where they are already."""
+    return df.repartition(by).sortWithinPartitions(by, order)
+
+
+def with_rolling(df: DataFrame, columns: Mapping[str, Rolling], by: str = "code", order: str = "date", ordered: bool = False) -> DataFrame:
+    """Add moving values of any window length, each NULL where the window is not full or holds a NULL (or NaN), as the functions above give them.
 
+    A moving frame is added up anew for every bar. Here Spark deals out and sorts the bars, and tasks go over Arrow batches of them, with
+    the last bars before a batch kept. The state of the last 1, 2, 4, ... bars is merged from two states of half
+    the length, and a window of n bars from those its binary digits name. So the cost of a bar grows with the logarithm of n, all values
+    share one sort, and sums of powers are about means, so no digits are lost. A column may be made of an earlier one of ``columns``.
 
-_FIELDS = {"mean": "m", "sum": "m", "std": "m2", "skew": "m3", "kurt": "m4", "max": "hi", "min": "lo", "corr": "c", "cov": "c"}
-_NEEDS = {"m": ("m",), "m2": ("m", "m2"), "m3": ("m", "m2", "m3"), "m4": ("m", "m2", "m3", "m4"), "hi": ("hi",), "lo": ("lo",), "c": ("m", "m2", "my", "m2y", "c")}
-
-
-def _merged(old: Column, a: int, new: Column, b: int, fields: set[str]) -> Column:
-    """The state of ``a`` older and ``b`` newer bars: means, sums of powers about them, extremes. NULL in either is NULL."""
-    n, of = a + b, lambda name: (old[name], new[name])
-    out = {}
-    if "m" in fields:
-        d = new["m"] - old["m"]
-        out["m"] = old["m"] + d * (b / n)
-    if "m2" in fields:
-        (p, q) = of("m2")
-        out["m2"] = p + q + d * d * (a * b / n)
-    if "m3" in fields:
-        out["m3"] = old["m3"] + new["m3"] + d * d * d * (a * b * (a - b) / n**2) + d * (q * a - p * b) * (3 / n)
-    if "m4" in fields:
-        out["m4"] = old["m4"] + new["m4"] + d * d * d * d * (a * b * (a * a - a * b + b * b) / n**3) + d * d * (q * a**2 + p * b**2) * (6 / n**2) + d * (new["m3"] * a - old["m3"] * b) * (4 / n)
-    if "c" in fields:
-        e = new["my"] - old["my"]
-        out |= {"my": old["my"] + e * (b / n), "m2y": old["m2y"] + new["m2y"] + e * e * (a * b / n), "c": old["c"] + new["c"] + d * e * (a * b / n)}
-    for name, pick in (("hi", F.greatest), ("lo", F.least)):
-        if name in fields:
-            out[name] = F.when(old[name].isNotNull() & new[name].isNotNull(), pick(old[name], new[name]))
-    return F.struct(*(v.alias(k) for k, v in out.items()))
-
-
-def _result(state: Column, r: Rolling) -> Column:
-    n, m2 = r.n, state["m2"] if r.kind in ("std", "skew", "kurt", "corr", "cov") else None
-    if r.kind in ("max", "min"):
-        return state[_FIELDS[r.kind]]
-    if r.kind in ("mean", "sum"):
-        return state["m"] * (n if r.kind == "sum" else 1)
-    if r.kind == "std":
-        return F.sqrt(m2 / (n - 1))
-    if r.kind == "cov":
-        return state["c"] / (n - 1)
-    if r.kind == "corr":
-        return F.when((m2 > 0) & (state["m2y"] > 0), state["c"] / F.sqrt(m2) / F.sqrt(state["m2y"]))
-    if r.kind == "skew":
-        return F.when(m2 > 0, state["m3"] / (m2 * F.sqrt(m2)) * (n * math.sqrt(n - 1) / (n - 2)))
-    return F.when(m2 > 0, ((state["m4"] / (m2 * m2) * n - 3) * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3))))
-
-
-def with_rolling(df: DataFrame, columns: Mapping[str, Rolling], w: WindowSpec | None = None) -> DataFrame:
-    """Add rolling values of any window length, each NULL where the window is not full or holds a NULL, as the functions above give them.
-
-    A moving frame is added up anew for every bar. Here the state of the last 1, 2, 4, ... bars is merged from two states of half
-    the length, one of them fetched by a fixed lag, and a window of n bars from those its binary digits name. So the cost
-    of a bar grows with the logarithm of n, all values share one sort, and sums are about means, so no digits are lost.
+    ``ordered`` says that ``df`` comes from ``in_order``, or this function, with nothing but row-wise steps since.
     """
-    w = w or by_code()
-    series: dict[tuple[str, str | None], set[str]] = {}
-    for r in columns.values():
-        series.setdefault((r.x, r.y), set()).update(_NEEDS[_FIELDS[r.kind]])
-    keys = list(series)
-    zero = {"m2": 0.0, "m3": 0.0, "m4": 0.0, "m2y": 0.0, "c": 0.0}
-
-    def single(x: str, y: str | None, fields: set[str]) -> Column:
-        x_, y_ = F.col(x).cast("double"), F.col(y).cast("double") if y else F.lit(None).cast("double")
-        there = x_.isNotNull() & y_.isNotNull() if y else x_.isNotNull()
-        values = {"m": x_, "my": y_, "hi": x_, "lo": x_} | {k: F.lit(v) for k, v in zero.items()}
-        return F.struct(*(F.when(there, values[f]).alias(f) for f in ("m", "m2", "m3", "m4", "my", "m2y", "c", "hi", "lo") if f in fields))
-
-    longest = {k: max(r.n for r in columns.values() if (r.x, r.y) == k) for k in keys}
-    digits = {k: {b for r in columns.values() if (r.x, r.y) == k for b in range(r.n.bit_length()) if r.n >> b & 1} for k in keys}
-    name = lambda k, b: f"_s{keys.index(k)}_{b}"
-    df = df.withColumns({name(k, 0): single(*k, series[k]) for k in keys})
-    for b in range(max(longest.values()).bit_length() - 1):
-        grow = [k for k in keys if longest[k].bit_length() - 1 > b]
-        df = df.withColumns({f"{name(k, b)}_old": F.lag(name(k, b), 1 << b).over(w) for k in grow})
-        df = df.withColumns({name(k, b + 1): _merged(F.col(f"{name(k, b)}_old"), 1 << b, F.col(name(k, b)), 1 << b, series[k]) for k in grow})
-        df = df.drop(*(f"{name(k, b)}_old" for k in grow), *(name(k, b) for k in grow if b not in digits[k]))
-    parts: dict[tuple, Column] = {}
-    for r in columns.values():
-        k, back = (r.x, r.y), 0
-        for b in reversed([b for b in range(r.n.bit_length()) if r.n >> b & 1]):
-            if back:
-                parts[k, b, back] = F.lag(name(k, b), back).over(w)
-            back += 1 << b
-    lagged = {p: f"_l{i}" for i, p in enumerate(parts)}
-    df = df.withColumns({lagged[p]: c for p, c in parts.items()}) if parts else df
-
-    backs: dict[str, int] = {}
-    for step in range(max(r.n.bit_count() for r in columns.values())):  # one merge a step: a state that is used twice is a column
-        now = {}
-        for c, r in columns.items():
-            bits = [b for b in reversed(range(r.n.bit_length())) if r.n >> b & 1]
-            if step < len(bits):
-                k, b, back = (r.x, r.y), bits[step], backs.get(c, 0)
-                part = F.col(lagged[k, b, back] if back else name(k, b))
-                now[c] = _merged(part, 1 << b, F.col(f"_w_{c}"), back, series[k]) if back else part
-                backs[c] = back + (1 << b)
-        df = df.withColumns({f"_w_{c}": state for c, state in now.items()})
-    df = df.withColumns({c: _result(F.col(f"_w_{c}"), r) for c, r in columns.items()})
-    return df.drop(*(name(k, b) for k in keys for b in digits[k] | {0}), *lagged.values(), *(f"_w_{c}" for c in columns))
+    rows = df if ordered else in_order(df, by, order)
+    return rows.mapInArrow(moving.rolling(columns, by), StructType([*df.schema.fields, *(StructField(c, DoubleType()) for c in columns)]))
 
 
 def with_blocks(df: DataFrame, n: int) -> DataFrame:
