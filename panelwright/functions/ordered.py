@@ -19,6 +19,7 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "_at") -> Dat
     Rows are dealt out by ranges of the order and numbered within each range; a range starts at the sum of
     the ranges before it. Only these sums, one row a range, meet in one task.
     """
+    df = materialise(df)  # Spark reads it twice: for a sample of the order, and to deal it out
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
     own = F.monotonically_increasing_id()  # the number of the partition in the upper bits, that of the row in the lower 33
     dealt = materialise(dealt.select("*", F.shiftright(own, 33).alias("_range"), own.bitwiseAND((1 << 33) - 1).alias("_in")))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelwright.functions.cross import average_rank
-from panelwright.functions.ordered import BLOCK, halo_window, with_halo, with_position
+from panelwright.functions.ordered import BLOCK, with_halo, with_position
 from panelwright.functions.scalar import ratio
-from panelwright.functions.ts import cum_max, cum_prod, ts_corr
+from panelwright.functions.ts import Rolling, cum_max, cum_prod, with_rolling
+from panelwright.sources.scratch import materialise
 
 YEAR, RISK_FREE = 252, 0.03
 
@@ -46,7 +47,7 @@ def global_rank(df: DataFrame, x: str, name: str, cuts: Sequence[float]) -> Data
     A range knows from the totals of the others how many rows lie below it, so no task sees all rows,
     and the ranks are exact wherever the cuts fall.
     """
-    counts = df.groupBy(F.col(x).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = materialise(df.groupBy(F.col(x).alias("_v")).agg(F.count("*").alias("_n")))  # read for the ranges' totals and for the ranks
     below_cut = F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
     ranged = counts.withColumn("_part", below_cut)
     within = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -60,7 +61,7 @@ def global_rank(df: DataFrame, x: str, name: str, cuts: Sequence[float]) -> Data
 
 def pooled_ic(predictions: DataFrame, score: str = "score", label: str = "label", ranges: int = 64) -> DataFrame:
     """(ic): one Spearman correlation over all rows. The driver fetches ``ranges`` approximate quantiles of each side once."""
-    pairs = predictions.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(score, label)
+    pairs = materialise(predictions.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(score, label))  # read for the quantiles and for each side's ranks
     shares = [k / ranges for k in range(1, ranges)]
     cuts = pairs.agg(*(F.percentile_approx(c, shares, 1000).alias(a) for c, a in ((score, "a"), (label, "b")))).first()
     ranked = global_rank(global_rank(pairs, score, "_a", cuts.a or []), label, "_b", cuts.b or [])
@@ -107,11 +108,13 @@ def factor_screen(
     By code; or, with ``order``, over the whole frame in that order, so that windows also run from one code into the next. The frame
     is cut into blocks of ``block`` rows, and each borrows the ``n`` - 1 rows before it.
     """
-    w = None
-    if order is not None:
-        panel = with_halo(with_position(panel.select(*dict.fromkeys((*order, *factors, target))), order), n, block=block)
-        w = halo_window()
-    wide = panel.withColumns({f"_c_{f}": ts_corr(F.col(f), F.col(target), n, w) for f in factors})
+    by, at = "code", "date"
+    if order is None:
+        panel = panel.select(*dict.fromkeys((by, at, *factors, target)))
+    else:
+        by, at = "_block", "_at"
+        panel = with_halo(with_position(panel.select(*dict.fromkeys((*order, *factors, target))), order), n, block=block).select(by, at, "_own", *dict.fromkeys((*factors, target)))
+    wide = with_rolling(panel, {f"_c_{f}": Rolling("corr", n, f, target) for f in factors}, by, at)
     wide = wide if order is None else wide.where("_own")
     pairs = ", ".join(f"'{f}', `_c_{f}`" for f in factors)
     long = wide.select(F.expr(f"stack({len(factors)}, {pairs}) as (factor, c)"))
