@@ -1,7 +1,7 @@
 """The factor catalogue: named column expressions over the bars of one code.
 
-Window functions cannot be nested, so the catalogue has stages; each adds its columns in one
-projection, and all stages share one exchange and one sort by (code, date).
+Window functions cannot be nested, so the catalogue has stages: series by lags, moving values in one pass over the
+bars in order, row expressions over these. All stages share one exchange and one sort by (code, date).
 """
 
 from __future__ import annotations
@@ -24,12 +24,8 @@ BASE: dict[str, Expr] = {
     "_lr": lambda: ts.log_return(C("close")),
     "_dc": lambda: ts.delta(C("close"), 1),
     "_prev": lambda: ts.delay(C("close"), 1),
-    "_ma20": lambda: ts.ts_mean(C("close"), 20),
-    "_sd20": lambda: ts.ts_std(C("close"), 20),
-    "_low9": lambda: ts.ts_min(C("low"), 9),
-    "_high9": lambda: ts.ts_max(C("high"), 9),
-    "_rank_c": lambda: ts.ts_rank(C("close"), 5),
-    "_rank_v": lambda: ts.ts_rank(C("volume"), 5),
+    "_dc10": lambda: ts.delta(C("close"), 10),
+    "_dv": lambda: ts.delta(C("volume"), 1),
     "_clv": lambda: ((C("close") - C("low")) - (C("high") - C("close"))) / (C("high") - C("low") + EPS) * C("volume"),
     "_range": lambda: ratio(C("high") - C("low"), C("close")),
     "_log_hl": lambda: F.ln(ratio(C("high"), C("low"))),
@@ -45,25 +41,54 @@ DERIVED: dict[str, Expr] = {
     "_rises": lambda: F.when(C("_r") > 0, 1.0).otherwise(0.0),
     "_loss": lambda: F.when(C("_r") > 0, 0.0).otherwise(C("_r")),
     "_abs_dc": lambda: F.abs(C("_dc")),
-    "_sd5": lambda: ts.ts_std(C("_r"), 5),
     "_log_oc": lambda: F.ln(ratio(C("open"), C("_prev"))),
-    "_rsv": lambda: (C("close") - C("_low9")) / (C("_high9") - C("_low9") + EPS) * 100,
+}
+#: Moving values, by family; a later one may be made of an earlier one.
+R = ts.Rolling
+MOVING: dict[str, dict[str, ts.Rolling]] = {
+    "style": {
+        "style_mom_1m": R("sum", 20, "_lr"), "style_mom_3m": R("sum", 60, "_lr"), "style_mom_6m": R("sum", 120, "_lr"), "style_vol_1m": R("std", 20, "_r"),
+        "style_vol_3m": R("std", 60, "_r"), "_v20": R("sum", 20, "volume"), "style_beta_proxy": R("corr", 20, "_r", "_r1"),
+    },
+    "tech": {
+        "_e12": R("ewm", 1, "close", alpha=2 / 13), "_e26": R("ewm", 1, "close", alpha=2 / 27), "_up14": R("mean", 14, "_up"), "_down14": R("mean", 14, "_down"),
+        "_ma20": R("mean", 20, "close"), "_sd20": R("std", 20, "close"), "_rises12": R("sum", 12, "_rises"), "_low9": R("min", 9, "low"), "_high9": R("max", 9, "high"),
+    },
+    "alpha": {
+        "_c10": R("corr", 10, "open", "volume"), "alpha_trend_strength": R("mean", 14, "_range"), "_rank_c": R("rank", 5, "close"), "_rank_v": R("rank", 5, "volume"),
+        "alpha_pv_corr": R("corr", 5, "_rank_c", "_rank_v"), "alpha_money_flow": R("decay", 20, "_clv"),
+    },
+    "adv": {
+        "adv_skew_20": R("skew", 20, "_r"), "adv_kurt_20": R("kurt", 20, "_r"), "adv_downside_vol": R("std", 20, "_loss"), "_abs10": R("sum", 10, "_abs_dc"),
+        "adv_spread_proxy": R("mean", 5, "_log_hl"), "_sd5": R("std", 5, "_r"), "adv_vol_of_vol": R("std", 20, "_sd5"),
+    },
+    "ind": {
+        "_sd_oc": R("std", 20, "_log_oc"), "_sd_co": R("std", 20, "_log_co"), "_rs20": R("mean", 20, "_rs"), "_cov": R("cov", 20, "_dc", "_dc1"),
+        "ind_max_ret": R("max", 20, "_r"), "_sdv": R("std", 20, "volume"), "_mav": R("mean", 20, "volume"),
+    },
+}
+#: Moving values of what row expressions make of those above.
+SECOND: dict[str, tuple[dict[str, Expr], dict[str, ts.Rolling]]] = {
+    "tech": (
+        {"_dif": lambda: C("_e12") - C("_e26"), "_rsv": lambda: (C("close") - C("_low9")) / (C("_high9") - C("_low9") + EPS) * 100},
+        {"_dea": R("ewm", 1, "_dif", alpha=2 / 10), "_k": R("ewm", 1, "_rsv", alpha=1 / 3, adjust=True), "_d": R("ewm", 1, "_k", alpha=1 / 3, adjust=True)},
+    ),
 }
 STYLE: dict[str, Expr] = {
-    "style_mom_1m": lambda: ts.ts_sum(C("_lr"), 20),
-    "style_mom_3m": lambda: ts.ts_sum(C("_lr"), 60),
-    "style_mom_6m": lambda: ts.ts_sum(C("_lr"), 120),
-    "style_vol_1m": lambda: ts.ts_std(C("_r"), 20),
-    "style_vol_3m": lambda: ts.ts_std(C("_r"), 60),
-    "style_liquidity": lambda: F.ln(ts.ts_sum(C("volume"), 20) + 1),
+    "style_mom_1m": lambda: C("style_mom_1m"),
+    "style_mom_3m": lambda: C("style_mom_3m"),
+    "style_mom_6m": lambda: C("style_mom_6m"),
+    "style_vol_1m": lambda: C("style_vol_1m"),
+    "style_vol_3m": lambda: C("style_vol_3m"),
+    "style_liquidity": lambda: F.ln(C("_v20") + 1),
     "style_size_proxy": lambda: F.ln(C("close") * C("volume") + 1),
-    "style_beta_proxy": lambda: ts.ts_corr(C("_r"), C("_r1"), 20),
+    "style_beta_proxy": lambda: C("style_beta_proxy"),
 }
 TECH: dict[str, Expr] = {
     "tech_macd_hist": lambda: 2 * (C("_dif") - C("_dea")),
-    "tech_rsi_14": lambda: 100 - 100 / (1 + ts.ts_mean(C("_up"), 14) / (ts.ts_mean(C("_down"), 14) + EPS)),
+    "tech_rsi_14": lambda: 100 - 100 / (1 + C("_up14") / (C("_down14") + EPS)),
     "tech_bias_20": lambda: ratio(C("close") - C("_ma20"), C("_ma20")),
-    "tech_psy_12": lambda: ts.ts_sum(C("_rises"), 12) / 12,
+    "tech_psy_12": lambda: C("_rises12") / 12,
     "tech_kdj_k": lambda: C("_k"),
     "tech_kdj_d": lambda: C("_d"),
     "tech_kdj_j": lambda: 3 * C("_k") - 2 * C("_d"),
@@ -78,28 +103,26 @@ FUND: dict[str, tuple[str, Expr]] = {
     "fund_safety": ("debt_ratio", lambda: -C("debt_ratio")),
 }
 ALPHA: dict[str, Expr] = {
-    "alpha_006": lambda: -ts.ts_corr(C("open"), C("volume"), 10),
-    "alpha_012": lambda: F.signum(ts.delta(C("volume"), 1)) * -C("_dc"),
-    "alpha_trend_strength": lambda: ts.ts_mean(C("_range"), 14),
-    "alpha_pv_corr": lambda: ts.ts_corr(C("_rank_c"), C("_rank_v"), 5),
-    "alpha_money_flow": lambda: ts.decay_linear(C("_clv"), 20),
+    "alpha_006": lambda: -C("_c10"),
+    "alpha_012": lambda: F.signum(C("_dv")) * -C("_dc"),
+    "alpha_trend_strength": lambda: C("alpha_trend_strength"),
+    "alpha_pv_corr": lambda: C("alpha_pv_corr"),
+    "alpha_money_flow": lambda: C("alpha_money_flow"),
 }
 ADV: dict[str, Expr] = {
-    "adv_skew_20": lambda: ts.ts_skew(C("_r"), 20),
-    "adv_kurt_20": lambda: ts.ts_kurt(C("_r"), 20),
-    "adv_downside_vol": lambda: ts.ts_std(C("_loss"), 20),
-    "adv_ker_10": lambda: F.abs(ts.delta(C("close"), 10)) / (ts.ts_sum(C("_abs_dc"), 10) + EPS),
+    "adv_skew_20": lambda: C("adv_skew_20"),
+    "adv_kurt_20": lambda: C("adv_kurt_20"),
+    "adv_downside_vol": lambda: C("adv_downside_vol"),
+    "adv_ker_10": lambda: F.abs(C("_dc10")) / (C("_abs10") + EPS),
     "adv_amihud": lambda: F.abs(C("_r")) / (C("close") * C("volume") + EPS),
-    "adv_spread_proxy": lambda: ts.ts_mean(C("_log_hl"), 5),
-    "adv_vol_of_vol": lambda: ts.ts_std(C("_sd5"), 20),
+    "adv_spread_proxy": lambda: C("adv_spread_proxy"),
+    "adv_vol_of_vol": lambda: C("adv_vol_of_vol"),
 }
 IND: dict[str, Expr] = {
-    "ind_yang_zhang_vol": lambda: tidy(
-        F.sqrt(F.pow(ts.ts_std(C("_log_oc"), 20), 2) + 0.34 * F.pow(ts.ts_std(C("_log_co"), 20), 2) + 0.66 * ts.ts_mean(C("_rs"), 20))
-    ),
+    "ind_yang_zhang_vol": lambda: tidy(F.sqrt(F.pow(C("_sd_oc"), 2) + 0.34 * F.pow(C("_sd_co"), 2) + 0.66 * C("_rs20"))),
     "ind_roll_spread": lambda: 2 * F.sqrt(F.when(C("_cov") > 0, 0.0).otherwise(-C("_cov")) + EPS),
-    "ind_max_ret": lambda: ts.ts_max(C("_r"), 20),
-    "ind_vol_cv": lambda: ts.ts_std(C("volume"), 20) / (ts.ts_mean(C("volume"), 20) + EPS),
+    "ind_max_ret": lambda: C("ind_max_ret"),
+    "ind_vol_cv": lambda: C("_sdv") / (C("_mav") + EPS),
     "ind_smart_money": lambda: F.abs(C("close") - C("open")) / (C("high") - C("low") + EPS) * F.ln(C("volume") + 1),
 }
 CALENDAR: dict[str, Expr] = {
@@ -110,28 +133,24 @@ CALENDAR: dict[str, Expr] = {
 FAMILIES = {"style": STYLE, "tech": TECH, "alpha": ALPHA, "adv": ADV, "ind": IND, "time": CALENDAR}
 
 
-def add_macd(df: DataFrame) -> DataFrame:
-    """DIF = EWM12 - EWM26 of the close, DEA = EWM9 of DIF."""
-    df = ts.with_ewm(df, [("_e12", "close", 2 / 13, False), ("_e26", "close", 2 / 27, False)])
-    return ts.with_ewm(df.withColumn("_dif", C("_e12") - C("_e26")), [("_dea", "_dif", 2 / 10, False)])
-
-
-def add_kdj(df: DataFrame) -> DataFrame:
-    """K = EWM (com 2) of RSV, D = EWM (com 2) of K, normalised weights."""
-    return ts.with_ewm(ts.with_ewm(df, [("_k", "_rsv", 1 / 3, True)]), [("_d", "_k", 1 / 3, True)])
+#: Series that the row expressions of a family use beside its moving values.
+USED = {"style": (), "tech": (), "alpha": ("_dc", "_dv"), "adv": ("_dc10", "_r"), "ind": (), "time": (), "fund": ()}
 
 
 def with_factors(bars: DataFrame, families: tuple[str, ...] = ("style", "tech", "fund", "alpha", "adv", "ind", "time")) -> DataFrame:
-    """``bars`` and the factors of these families; fundamentals where their columns exist."""
+    """``bars`` and the factors of these families; fundamentals where their columns exist. Rows come out dealt by code and sorted, as from ``ts.in_order``."""
+    moving = {k: r for family in families for k, r in MOVING.get(family, {}).items()}
+    used = {c for r in moving.values() for c in (r.x, r.y)} | {c for family in families for c in USED[family]}
     df = bars.withColumns({k: e() for k, e in BASE.items()})
     df = df.withColumns({k: e() for k, e in DERIVED.items()})
-    if "tech" in families:
-        df = add_kdj(add_macd(df))
-    if "ind" in families:
-        df = df.withColumn("_cov", ts.ts_cov(C("_dc"), C("_dc1"), 20))
+    df = df.select(*bars.columns, *(c for c in (*BASE, *DERIVED) if c in used))
+    if moving:
+        df = ts.with_rolling(df, moving)
+    for family in families:
+        if family in SECOND:
+            between, second = SECOND[family]
+            df = ts.with_rolling(df.withColumns({k: e() for k, e in between.items()}), second, ordered=True)
+    made = {}
     for family in families:
-        if family == "fund":
-            df = df.withColumns({k: e() for k, (needs, e) in FUND.items() if needs in bars.columns})
-        else:
-            df = df.withColumns({k: e() for k, e in FAMILIES[family].items()})
-    return df.drop(*(c for c in df.columns if c.startswith("_")))
+        made |= {k: e() for k, (needs, e) in FUND.items() if needs in bars.columns} if family == "fund" else {k: e() for k, e in FAMILIES[family].items()}
+    return df.select(*bars.columns, *(x.alias(k) for k, x in made.items()))
