@@ -6,13 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from panelwright.functions.cross import by_date, cs_mean, cs_rank, mad_bounds
-from panelwright.functions.scalar import clip, tidy
-from panelwright.functions.ts import block_zscore, by_block, forward_fill, with_blocks
+from panelwright.functions import moving
+from panelwright.functions.cross import by_date, cs_mean, mad_bounds
+from panelwright.functions.ts import in_order
 
 #: Prefixes of factors that are normalised through time.
 NORMALISED = ("style_", "tech_", "alpha_", "adv_", "ind_", "fund_")
@@ -23,21 +25,14 @@ RANKED = (
 RELATIVE = ("style_mom_1m", "style_vol_1m", "style_liquidity", "alpha_006")
 
 
-def normalize(panel: DataFrame, columns: Sequence[str] | None = None, n: int = 60, limit: float = 4.0, at_once: int = 8) -> DataFrame:
+def normalize(panel: DataFrame, columns: Sequence[str] | None = None, n: int = 60, limit: float = 4.0, ordered: bool = False) -> DataFrame:
     """Infinities to NULL, forward fill then 0, rolling z-score over ``n`` bars, clipped to ±``limit``, 0 before it exists.
 
-    The columns go through in groups of ``at_once``, all in one order of the bars: there is one sort, and no step has
-    more generated code than Java compiles.
+    One pass of tasks over the bars in order, all columns at once. ``ordered`` says that the rows are in order already (``ts.in_order``).
     """
     columns = [c for c in panel.columns if c.startswith(NORMALISED)] if columns is None else list(columns)
-    panel = with_blocks(panel, n)
-    for k in range(0, len(columns), at_once):
-        some = columns[k : k + at_once]
-        panel = panel.withColumns({c: tidy(F.col(c)) for c in some})
-        panel = panel.withColumns({c: F.coalesce(forward_fill(F.col(c), by_block()), F.lit(0.0)) for c in some})
-        panel = block_zscore(panel, some, n)
-        panel = panel.withColumns({c: F.coalesce(clip(F.col(c), -limit, limit), F.lit(0.0)) for c in some})
-    return panel.drop("_n", "_block", "_at")
+    panel = panel.withColumns({c: F.col(c).cast("double") for c in columns})
+    return (panel if ordered else in_order(panel)).mapInArrow(moving.normal(columns, "code", n, limit), panel.schema) if columns else panel
 
 
 def winsorize(panel: DataFrame, columns: Sequence[str], method: str = "mad", width: float = 3.0, suffix: str = "") -> DataFrame:
@@ -53,12 +48,37 @@ def winsorize(panel: DataFrame, columns: Sequence[str], method: str = "mad", wid
     return panel.drop(*(f"_{k}_{c}" for c in columns for k in ("med", "mad")))
 
 
+def _ranks(columns: list[str], names: list[str]):
+    def average_rank(x: np.ndarray) -> np.ndarray:
+        """Winsorised average rank over the number of values, NaN for none."""
+        v = x[~np.isnan(x)]
+        if not len(v):
+            return x
+        mid = np.median(v)
+        width = 3 * 1.4826 * np.median(np.abs(v - mid))
+        x = np.where(np.isnan(x), np.nan, np.minimum(np.maximum(x, mid - width), mid + width))
+        order = np.sort(x[~np.isnan(x)])
+        rank = (np.searchsorted(order, x, "left") + np.searchsorted(order, x, "right") + 1) / 2
+        return np.where(np.isnan(x), np.nan, (rank / len(order) - 0.5) * 2)
+
+    def rank(table: pa.Table) -> pa.Table:
+        for c, name in zip(columns, names, strict=True):
+            x = table[c].cast(pa.float64()).to_numpy()
+            table = table.append_column(name, pa.array(average_rank(x), pa.float64(), from_pandas=True))
+        return table
+
+    return rank
+
+
 def cross_ranks(panel: DataFrame, columns: Sequence[str] = RANKED) -> DataFrame:
-    """``cs_rank_*``: winsorised percentile rank of the date, moved to (-1, 1]."""
+    """``cs_rank_*``: winsorised percentile rank of the date, moved to (-1, 1].
+
+    A window would sort the date's rows once for each column; here they meet once, as an Arrow table, and each column is sorted alone.
+    """
     columns = [c for c in columns if c in panel.columns]
-    panel = winsorize(panel, columns, suffix="__w")
-    panel = panel.withColumns({f"cs_rank_{c}": (cs_rank(F.col(f"{c}__w")) - 0.5) * 2 for c in columns})
-    return panel.drop(*(f"{c}__w" for c in columns))
+    names = [f"cs_rank_{c}" for c in columns]
+    schema = StructType([*panel.schema.fields, *(StructField(c, DoubleType()) for c in names)])
+    return panel.groupBy("date").applyInArrow(_ranks(columns, names), schema) if columns else panel
 
 
 def market_relative(panel: DataFrame, columns: Sequence[str] = RELATIVE) -> DataFrame:
