@@ -6,31 +6,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from pyspark.sql.window import Window
 
-from panelwright.functions.ts import by_code
+from panelwright.functions.moving import windows
+from panelwright.functions.ts import by_code, in_order
 
 
 def _windows(panel: DataFrame, features: Sequence[str], length: int, keep, label: Column | None, ends: tuple[Column, Column] | None = None) -> DataFrame:
     """Whole windows of ``length`` bars that start at the bars for which ``keep`` (index, bars of the code) holds.
 
-    Positions are those of the rows as given. Features must not be NULL. A bar goes to the windows it
-    is in, so what is gathered follows the windows, not the bars. With ``ends`` only windows that end between these dates are made,
+    Positions are those of the rows as given. Features must not be NULL. Tasks go over the bars in order and gather a window at its
+    last bar, so no bar becomes several rows. With ``ends`` only windows that end between these dates are made,
     and bars that are in none of them go nowhere.
     """
     rows = panel.withColumns({"_i": F.row_number().over(by_code()) - 1, "_n": F.count("*").over(Window.partitionBy("code"))})
     if ends:
         ahead = F.lead("date", length - 1).over(by_code())
         rows = rows.withColumn("_ahead", ahead).where((F.col("date") <= ends[1]) & (F.col("_ahead").isNull() | (F.col("_ahead") >= ends[0]))).drop("_ahead")
-    first = F.sequence(F.greatest(F.lit(0), F.col("_i") - (length - 1)), F.col("_i"))
-    starts = F.filter(first, lambda i: keep(i, F.col("_n")) & (i + length <= F.col("_n")))
-    values = F.array(*(F.col(c).cast("float") for c in features)).alias("values")
-    cell = F.struct("_i", "date", values, (F.lit(None) if label is None else label).alias("label"))
-    cells = rows.select("code", F.explode(starts).alias("_start"), cell.alias("cell")).groupBy("code", "_start")
-    found = cells.agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-    last = F.get("cells", F.lit(length - 1))  # none in windows of which bars were left out
-    columns = [F.col("code"), F.col("cells")[0]["date"].alias("start_date"), last["date"].alias("end_date"), F.col("cells.values").alias("past_values")]
-    return found.select(*columns, *([last["label"].alias("label")] if label is not None else []))
+    first = F.col("_i") - (length - 1)  # where the window that ends here starts
+    kept = (first >= 0) & keep(first, F.col("_n"))
+    if ends:
+        kept = kept & F.col("date").between(*ends)
+    columns = dict.fromkeys(("code", "date", *features))
+    rows = rows.select(*columns, F.coalesce(kept, F.lit(False)).alias("_keep"), *([label.alias("_label")] if label is not None else []))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    fields = [("code", kinds["code"]), ("start_date", kinds["date"]), ("end_date", kinds["date"]), ("past_values", ArrayType(ArrayType(FloatType())))]
+    schema = StructType([StructField(*f) for f in [*fields, *([("label", kinds["_label"])] if label is not None else [])]])
+    return in_order(rows).mapInArrow(windows(list(features), "code", length, label is not None, schema.names), schema)
 
 
 def training_windows(panel: DataFrame, features: Sequence[str], length: int = 30, stride: int = 5) -> DataFrame:
