@@ -64,14 +64,9 @@ def with_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with three rounded features and the target; rows that have both."""
-    df = with_base(spark, sf_dir).withColumns(
-        {
-            "f1": F.round(ts.ts_sum(C("lr"), 20), 9),
-            "f2": F.round(ts.ts_std(C("r"), 20), 9),
-            "f3": F.round(F.ln(ts.ts_sum(C("volume"), 20) + 1), 9),
-        }
-    )
-    return labels.forward_target(df).where(C("f1").isNotNull() & C("target").isNotNull())
+    df = labels.forward_target(with_base(spark, sf_dir)).drop("high", "low")
+    df = ts.with_rolling(df, {"f1": ts.Rolling("sum", 20, "lr"), "f2": ts.Rolling("std", 20, "r"), "f3": ts.Rolling("sum", 20, "volume")})
+    return df.where(C("f1").isNotNull() & C("target").isNotNull()).withColumns({"f1": F.round("f1", 9), "f2": F.round("f2", 9), "f3": F.round(F.ln(C("f3") + 1), 9)})
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +174,7 @@ def _(spark, sf_dir):
     f"SELECT '{c}' AS \"column\", count({c}) AS n, {S.r(f'avg({c})', 4)} AS mean, {S.r(f'stddev_samp({c})', 4)} AS sd, {S.r(f'min({c})')} AS min, "
     f"{', '.join(f'{S.r(f"quantile_disc({c}, {q / 100})")} AS q{q}' for q in (25, 50, 75))}, {S.r(f'max({c})')} AS max FROM bars" for c in PROFILE))
 def _(spark, sf_dir):
-    found = src.describe(daily(spark, sf_dir), PROFILE, accuracy=1_000_000)
+    found = src.describe(daily(spark, sf_dir), PROFILE)
     return found.withColumns({c: rounded(C(c), 4 if c in ("mean", "sd") else 6) for c in ("mean", "sd", "min", "q25", "q50", "q75", "max")})
 
 
@@ -433,7 +428,7 @@ FILLED = (
 
 def _normed(spark, sf_dir):
     df = factors.with_factors(daily(spark, sf_dir), ("style", "adv")).select("code", "date", *NORMAL)
-    return normalize.normalize(df)
+    return normalize.normalize(df, ordered=True)
 
 
 @query("normalize_factors", S.BARS, S.BASE, *FILLED, f"{row_sql(**{c: c for c in NORMAL})} FROM normed")
@@ -536,7 +531,7 @@ def _(spark, sf_dir):
 
 @query("orthogonalize_8")
 def _(spark, sf_dir):
-    df = materialise(normalize.normalize(factors.with_factors(daily(spark, sf_dir), ("style",))).select("code", "date", *factors.STYLE))
+    df = materialise(normalize.normalize(factors.with_factors(daily(spark, sf_dir), ("style",)).select("code", "date", *factors.STYLE), ordered=True))
     return keyed(normalize.orthogonalize(df), **{c: C(c) for c in factors.STYLE})
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelwright.sources.scratch import file_system
+from panelwright.sources.scratch import file_system, materialise
 
 BAR_COLUMNS = ("open", "high", "low", "close", "volume")
 FUNDAMENTALS = ("roe", "rev_growth", "profit_growth", "debt_ratio", "pe_ttm", "pb")
@@ -44,17 +49,52 @@ def read_intraday(spark: SparkSession, path: str, grain: int, min_rows: int = 10
     return min_history(read_bars(spark, path, f"_{grain}m.parquet"), min_rows - 1)
 
 
+def _file_name(code) -> str:
+    """The code as Spark writes it in a folder's name."""
+    return "__HIVE_DEFAULT_PARTITION__" if code is None or code == "" else re.sub(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", str(code))
+
+
+def _code_writer(path: str, draft: str, suffix: str):
+    """The function for ``mapInArrow`` that saves rows in order of their code, a file a code; a file gets its name when it is whole."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = fs.FileSystem.from_uri(path)
+        out, code, rows, own = None, None, 0, f"{draft}_{uuid.uuid4().hex}{suffix}"
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            files.move(f"{folder}/{own}", f"{folder}/{_file_name(code)}{suffix}")
+            return pa.RecordBatch.from_pydict({"code": [None if code is None else str(code)], "rows": [rows]}, schema=pa.schema([("code", pa.string()), ("rows", pa.int64())]))
+
+        for batch in batches:
+            keys = batch.column("code").dictionary_encode(null_encoding="encode")
+            at = keys.indices.to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for first, last in zip(starts[:-1], starts[1:], strict=True):
+                if first == last:
+                    continue
+                here = batch.column("code")[first].as_py()
+                if out is None or here != code:
+                    if out is not None:
+                        yield close()
+                    out, code, rows = pq.ParquetWriter(f"{folder}/{own}", batch.schema, filesystem=files), here, 0
+                out.write_batch(batch.slice(first, last - first))
+                rows += last - first
+        if out is not None:
+            yield close()
+
+    return write
+
+
 def write_code_files(bars: DataFrame, path: str, suffix: str = ".parquet") -> None:
-    """Save as a folder with one file a code, ``{code}{suffix}``, as ``read_bars`` takes it. The driver renames the files."""
-    draft = f"{path}/_{uuid.uuid4().hex}"
-    bars.withColumn("_code", F.col("code")).repartition("code").sortWithinPartitions("code", "date").drop("code").write.partitionBy("_code").parquet(draft)
-    files, folder = file_system(bars.sparkSession, draft)
-    for part in files.listStatus(folder):
-        code = part.getPath().getName()
-        if code.startswith("_code="):
-            (one,) = (f.getPath() for f in files.listStatus(part.getPath()) if f.getPath().getName().startswith("part-"))
-            files.rename(one, file_system(bars.sparkSession, f"{path}/{code.removeprefix('_code=')}{suffix}")[1])
-    files.delete(folder, True)
+    """Save as a folder with one file a code, ``{code}{suffix}``, as ``read_bars`` takes it; tasks write the files, one code after the other.
+
+    The folder must be one that executors reach by Arrow (mounted, HDFS, S3).
+    """
+    files, folder = file_system(bars.sparkSession, path)
+    files.mkdirs(folder)
+    rows = bars.repartition("code").sortWithinPartitions("code", *(c for c in ("date",) if c in bars.columns))
+    rows.mapInArrow(_code_writer(files.makeQualified(folder).toUri().toString(), f"_{uuid.uuid4().hex}", suffix), "code string, rows long").write.format("noop").mode("overwrite").save()
 
 
 def code_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> DataFrame:
@@ -126,19 +166,30 @@ def profile(df: DataFrame, columns: Sequence[str], date: str = "date") -> DataFr
     return one.select("first_date", "last_date", F.explode(rows).alias("r")).select("r.*", "first_date", "last_date")
 
 
-def describe(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], accuracy: int = 1_000) -> DataFrame:
     """A row a column: count, mean, sd (sample), min, q25, q50, q75, max of its values; NULL and NaN are none.
 
-    One pass over all columns. Quartiles are values of the column whose rank is off by 1 / ``accuracy`` of the rows at most, from
-    sketches that Spark merges and whose size grows with ``accuracy``, not with the rows.
+    Quartiles are exact: the value of rank ceil(q n). A first pass brackets each by sketches, whose size grows with ``accuracy``
+    alone; a second counts the values below a bracket and those in it, about 4 / ``accuracy`` of the rows.
     """
+    quarters = (0.25, 0.5, 0.75)
+    number = lambda c: F.col(f"`{c}`").cast("double")
+    df = materialise(df.select(*(F.when(~F.isnan(number(c)), number(c)).alias(f"_{i}") for i, c in enumerate(columns))))
+    shares = [x for q in quarters for x in (q - 2 / accuracy, q + 2 / accuracy)]
     parts = []
     for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        x = F.when(~F.isnan(x), x)
-        parts += [F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias("q"), F.max(x).alias("max")).alias(f"_{i}")]
-    rows = df.agg(*parts).select(F.explode(F.array(*(F.col(f"_{i}") for i in range(len(columns))))).alias("r"))
-    return rows.select("r.column", "r.n", "r.mean", "r.sd", "r.min", *(F.get("r.q", F.lit(k)).alias(q) for k, q in enumerate(("q25", "q50", "q75"))), "r.max")
+        x = F.col(f"_{i}")
+        parts += [F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.when((F.count(x) > 1) & (F.min(x) == F.max(x)), 0.0).otherwise(F.stddev_samp(x)).alias("sd"), F.min(x).alias("min"), F.percentile_approx(x, shares, accuracy).alias("s"), F.max(x).alias("max")).alias(f"_{i}")]
+    one = materialise(df.agg(*parts).select(F.inline(F.array(*(F.col(f"_{i}") for i in range(len(columns)))))))  # one row a column
+    # the least and the greatest of all rank for certain: a bracket holds its quartile, whatever the sketches are off by
+    edges = one.select("i", "n", F.posexplode(F.array(*(F.struct(F.lit(q).alias("q"), F.col("s")[2 * k].alias("lo"), F.col("s")[2 * k + 1].alias("hi")) for k, q in enumerate(quarters)))).alias("k", "b")).select("i", "k", F.ceil(F.col("n") * F.col("b.q")).alias("rank"), "b.lo", "b.hi")
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_{i}").alias("v")) for i in range(len(columns))))).alias("x")).select("x.*").where(F.col("v").isNotNull())
+    near = values.join(F.broadcast(edges), "i").where(F.col("v") <= F.col("hi"))  # three rows a column
+    counts = near.groupBy("i", "k", "rank", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("i", "k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("upto", so_far).where(F.col("v").isNotNull() & (F.col("upto") >= F.col("rank")))
+    wide = found.groupBy("i").agg(*(F.min(F.when(F.col("k") == k, F.col("v"))).alias(q) for k, q in enumerate(("q25", "q50", "q75"))))
+    return one.join(wide, "i", "left").select("column", "n", "mean", "sd", "min", "q25", "q50", "q75", "max")
 
 
 def head(df: DataFrame, n: int = 5, order: Sequence[str] = ("code", "date")) -> DataFrame:
@@ -161,7 +212,8 @@ def bars_from_trades(lineitem: DataFrame) -> DataFrame:
     """Daily bars of a supplier's sales: the first and last sale of a day give open and close."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
     at = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    return lineitem.groupBy(F.col("l_suppkey").cast("string").alias("code"), F.col("l_shipdate").cast("date").alias("date")).agg(
+    rows = lineitem.withColumns({"code": F.col("l_suppkey").cast("string"), "date": F.col("l_shipdate").cast("date")})
+    return rows.repartition("code").groupBy("code", "date").agg(  # days have few sales: the one exchange and sort serve what runs by code later too
         F.min_by(price * (1 - F.col("l_discount")), at).alias("open"),
         F.max(price * (1 + F.col("l_tax"))).alias("high"),
         F.min(price * (1 - F.col("l_discount") - F.col("l_tax"))).alias("low"),
