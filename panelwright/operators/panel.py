@@ -38,9 +38,9 @@ def fill_fundamentals(panel: DataFrame, null_missing: bool = False) -> DataFrame
     return panel if null_missing else panel.na.fill(0.0, [c for c in FUNDAMENTALS if c in panel.columns])
 
 
-def in_universe(min_price: float = 2.0, min_bars: int = 60) -> Column:
-    """Whether a bar is traded, at or above the price floor, and not among the first ``min_bars`` + 1 such bars of its code."""
-    alive = F.coalesce((F.col("volume") > 0) & (F.col("close") >= min_price), F.lit(False))
+def in_universe(min_price: float = 2.0, min_bars: int = 60, among: Column | None = None) -> Column:
+    """Whether a bar is traded, at or above the price floor, and not among the first ``min_bars`` + 1 such bars of its code; bars for which ``among`` does not hold are as if not there."""
+    alive = F.coalesce((F.col("volume") > 0) & (F.col("close") >= min_price) & (F.lit(True) if among is None else among), F.lit(False))
     age = F.count_if(alive).over(Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - 1
     return alive & (age > min_bars)
 

@@ -1,7 +1,7 @@
 """The fixed chain from bars to a labelled, normalised panel.
 
 The rolling part runs by code, the cross-section by date. The panel is written twice on the way: where
-the one ends and the other begins, and in the orthogonalisation, which reads its input twice.
+the one ends and the other begins, and before the orthogonalisation, which reads its input twice.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelwright.operators.factors import with_factors
 from panelwright.operators.labels import date_labels, forward_target
 from panelwright.operators.normalize import cross_ranks, market_relative, normalize, orthogonalize
-from panelwright.operators.panel import asof_fundamentals, fill_fundamentals, labelled, universe_filter
+from panelwright.operators.panel import asof_fundamentals, fill_fundamentals, in_universe
 from panelwright.sources.scratch import materialise
 
 
@@ -20,18 +20,21 @@ def code_stage(bars: DataFrame, fundamentals: DataFrame | None = None, null_miss
     """As-of fundamentals, factors, normalisation and target of each code, in this order."""
     if fundamentals is not None:
         bars = fill_fundamentals(asof_fundamentals(bars, fundamentals), null_missing)
-    return normalize(forward_target(with_factors(bars)))
+    bars = bars if "target" in bars.columns else forward_target(bars)
+    panel = normalize(with_factors(bars), ordered=True)
+    return panel.select(*(c for c in panel.columns if c != "target"), "target")
 
 
 def date_stage(panel: DataFrame) -> DataFrame:
     """Ranks, market means, orthogonal styles and labels of each date. Ranks and means use the styles before these turn."""
-    return date_labels(orthogonalize(market_relative(cross_ranks(panel))))
+    return date_labels(orthogonalize(materialise(market_relative(cross_ranks(panel)))))
 
 
 def build_panel(bars: DataFrame, fundamentals: DataFrame | None = None, mode: str = "train", min_price: float = 2.0, min_bars: int = 60) -> DataFrame:
     """The whole chain. Mode ``predict`` keeps the unlabelled tail."""
-    panel = code_stage(bars, fundamentals)
-    return date_stage(materialise(universe_filter(labelled(panel, mode), min_price, min_bars)))
+    bars = forward_target(bars)  # what is kept is told by the bars, before the rows are wide
+    bars = bars.withColumn("_in", in_universe(min_price, min_bars, F.col("target").isNotNull() if mode == "train" else None))
+    return date_stage(materialise(code_stage(bars, fundamentals).where("_in").drop("_in")))
 
 
 def flagship(bars: DataFrame, k: int = 5) -> DataFrame:
