@@ -7,7 +7,7 @@ depends on the windows, neither on the rows of a key nor on those of a task.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -239,31 +239,162 @@ def rolling(columns: Mapping, key: str):
     return add
 
 
+class Normal:
+    """Normalised values of k columns, part by part: forward fill, then 0, z-score over n rows, clipped."""
+
+    def __init__(self, k: int, n: int, limit: float):
+        self.n, self.limit, self.filled = n, limit, [np.zeros(0)] * k
+
+    def __call__(self, fresh: Sequence[np.ndarray], place: np.ndarray) -> list[np.ndarray]:
+        """Of new rows, the last of those whose ``place`` is given; the rows before them were handed in before. Column by column: what one needs stays in the cache."""
+        n, new = self.n, len(fresh[0])
+        old = min(len(self.filled[0]), n, len(place) - new)
+        at = np.arange(old + new)
+        begins = at - np.minimum(place[len(place) - len(at) :], at)
+        full = place[len(place) - new :] >= n - 1
+        made = []
+        for i, values in enumerate(fresh):
+            x = np.concatenate([self.filled[i][len(self.filled[i]) - old :], np.where(np.isinf(values), np.nan, values)])
+            there = ~np.isnan(x)
+            if not there.all():
+                last = np.maximum.accumulate(np.where(there, at, -1))
+                x = np.where(last >= begins, x[np.maximum(last, 0)], 0.0)
+            self.filled[i] = x[-n:]
+            s = window(states(single(x, None, {"m", "m2"}), n), n)
+            with np.errstate(invalid="ignore"):
+                z = (x - s["m"]) / (np.sqrt(s["m2"] / (n - 1)) + 1e-9)
+            made.append(np.where(full, np.clip(z[old:], -self.limit, self.limit), 0.0))
+        return made
+
+
 def normal(columns: list[str], key: str, n: int, limit: float):
-    """The function for ``mapInArrow`` that puts the normalised values of ``columns`` in their place: forward fill, then 0, z-score over n rows, clipped."""
+    """The function for ``mapInArrow`` that puts the normalised values of ``columns`` in their place."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = np.zeros((0, len(columns)))
+        values = Normal(len(columns), n, limit)
         for rows, old, place, _ in with_past(batches, key, n):
-            fresh = np.stack([numbers(rows[c].slice(old)) for c in columns], 1)
-            fresh[np.isinf(fresh)] = np.nan
-            x = np.concatenate([filled[len(filled) - old :], fresh])
-            at = np.arange(len(x))
-            last = np.maximum.accumulate(np.where(np.isnan(x), -1, at[:, None]), axis=0)
-            x = np.where(last >= (at - place)[:, None], np.take_along_axis(x, np.maximum(last, 0), 0), 0.0)
-            s = window(states(single(x, None, {"m", "m2"}), n), n)
-            with np.errstate(invalid="ignore"):
-                z = (x - s["m"]) / (np.sqrt(s["m2"] / (n - 1)) + 1e-9)
-            z = np.where((place >= n - 1)[:, None], np.clip(z, -limit, limit), 0.0)[old:]
             new = rows.slice(old)
-            for i, c in enumerate(columns):
-                new = new.set_column(new.column_names.index(c), c, pa.array(z[:, i]))
-            filled = x
+            for c, z in zip(columns, values([numbers(new[c]) for c in columns], place), strict=True):
+                new = new.set_column(new.column_names.index(c), c, pa.array(z))
             yield from new.combine_chunks().to_batches()
 
     return put
 
 
+class Arrays:
+    """Series of sorted rows by name, and the functions of the factor catalogue on them; NaN for NULL."""
+
+    def __init__(self, rows: pa.Table, place: np.ndarray | None = None, starts: np.ndarray | None = None):
+        self.rows, self.place, self.starts, self.made = rows, place, starts, {}
+
+    def __call__(self, name: str) -> np.ndarray:
+        if name not in self.made:
+            self.made[name] = numbers(self.rows[name])
+        return self.made[name]
+
+    def rolled(self, columns: Mapping) -> dict[str, np.ndarray]:
+        return rolled(columns, self, self.place, self.starts)
+
+    def weekday(self, name: str) -> np.ndarray:
+        """0 on Monday."""
+        return numbers(pc.day_of_week(self.rows[name]))
+
+    def dayofmonth(self, name: str) -> np.ndarray:
+        return numbers(pc.day(self.rows[name]))
+
+    def month(self, name: str) -> np.ndarray:
+        return numbers(pc.month(self.rows[name]))
+
+    sqrt, abs, sign, square, where = staticmethod(np.sqrt), staticmethod(np.abs), staticmethod(np.sign), staticmethod(np.square), staticmethod(np.where)
+
+    @staticmethod
+    def ln(x: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, np.log(x), np.nan)
+
+    @staticmethod
+    def ratio(a: np.ndarray | float, b: np.ndarray) -> np.ndarray:
+        return np.where(b == 0, np.nan, a / b)
+
+    @staticmethod
+    def tidy(x: np.ndarray) -> np.ndarray:
+        return np.where(np.isfinite(x), x, np.nan)
+
+    @staticmethod
+    def positive_part(x: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x, 0.0)
+
+    @staticmethod
+    def negative_part(x: np.ndarray) -> np.ndarray:
+        return np.where(x < 0, -x, 0.0)
+
+    def delay(self, x: np.ndarray, k: int) -> np.ndarray:
+        return np.where(self.place >= k, back(x, k), np.nan)
+
+    def delta(self, x: np.ndarray, k: int) -> np.ndarray:
+        return x - self.delay(x, k)
+
+    def returns(self, x: np.ndarray) -> np.ndarray:
+        return self.ratio(x, self.delay(x, 1)) - 1
+
+    def log_return(self, x: np.ndarray) -> np.ndarray:
+        return self.ln(self.ratio(x, self.delay(x, 1)))
+
+
+def ahead(values: np.ndarray, k: int) -> np.ndarray:
+    """The values k rows later; NaN where there are none."""
+    return back(values[::-1].astype(float), k)[::-1]
+
+
+def panel_rows(values: Callable[[Arrays], list[np.ndarray]], names: list[str], scaled: list[str], narrow: list[str], key: str, past: int, n: int, limit: float, horizon: int, kept: Callable[[Arrays, np.ndarray], np.ndarray] | None, seen: int, schema: pa.Schema):
+    """The function for ``mapInArrow`` that makes rows of a panel of bars in order: the bars, ``names`` as ``values`` gives them, ``target``.
+
+    Those of ``scaled`` are normalised; those of ``narrow`` go into one list of floats, ``_narrow``, and stand nowhere else. Of the rows for which
+    ``kept`` holds, which is told the bars and the target, a key's first ``seen`` are left out. A row waits for the ``horizon`` rows after it.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = [names.index(c) for c in scaled]
+        normalised, waiting, count = Normal(len(scaled), n, limit), np.zeros((len(names), 0)), 0
+        rows = bars = starts = None
+
+        def out(found: np.ndarray, target: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            here = slice(first, first + found.shape[1])
+            ok = np.ones(found.shape[1], bool) if kept is None else kept(bars, target)[here]
+            so_far = np.cumsum(ok)
+            alone = np.maximum.accumulate(np.where(starts[here], so_far - ok, -count))  # those before the key's first row here; the key going on brings its own
+            so_far = so_far - alone
+            count = int(so_far[-1])
+            at = np.flatnonzero(ok & (so_far > seen))
+            if not len(at):
+                return
+            taken = rows.take(pa.array(at + first))
+            columns = {c: taken[c].combine_chunks() for c in taken.column_names}
+            columns |= {c: doubles(found[i, at]) for i, c in enumerate(names)} | {"target": doubles(target[here][at])}
+            if narrow:
+                cells = found[[names.index(c) for c in narrow]][:, at].T.astype(np.float32)
+                columns["_narrow"] = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * len(narrow), cells.ravel())
+            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+        for rows, old, place, starts in with_past(batches, key, max(past, n, horizon)):
+            bars = Arrays(rows, place, starts)
+            with np.errstate(all="ignore"):
+                fresh = np.stack([x[old:] for x in values(bars)])
+                if scaled:
+                    fresh[order] = normalised(fresh[order], place)
+                target = np.where(ahead(place, horizon) >= horizon, bars.ratio(ahead(bars("close"), horizon), ahead(bars("open"), 1)) - 1, np.nan)
+            first = old - waiting.shape[1]
+            found = np.concatenate([waiting, fresh], 1)
+            ready = max(0, found.shape[1] - horizon)
+            if ready:
+                yield from out(found[:, :ready], target, first)
+            waiting = found[:, ready:]
+        if waiting.shape[1]:
+            yield from out(waiting, np.full(rows.num_rows, np.nan), rows.num_rows - waiting.shape[1])
+
+    return make
+
+
 def windows(features: list[str], key: str, length: int, label: bool, schema: pa.Schema):
     """The function for ``mapInArrow`` that makes a sample of each row with ``_keep`` and the length - 1 rows before it."""
 

@@ -48,23 +48,27 @@ def winsorize(panel: DataFrame, columns: Sequence[str], method: str = "mad", wid
     return panel.drop(*(f"_{k}_{c}" for c in columns for k in ("med", "mad")))
 
 
-def _ranks(columns: list[str], names: list[str]):
-    def average_rank(x: np.ndarray) -> np.ndarray:
-        """Winsorised average rank over the number of values, NaN for none."""
-        v = x[~np.isnan(x)]
-        if not len(v):
-            return x
-        mid = np.median(v)
-        width = 3 * 1.4826 * np.median(np.abs(v - mid))
-        x = np.where(np.isnan(x), np.nan, np.minimum(np.maximum(x, mid - width), mid + width))
-        order = np.sort(x[~np.isnan(x)])
-        rank = (np.searchsorted(order, x, "left") + np.searchsorted(order, x, "right") + 1) / 2
-        return np.where(np.isnan(x), np.nan, (rank / len(order) - 0.5) * 2)
+def _share(x: np.ndarray) -> np.ndarray:
+    """Average rank over the number of values, NaN for none."""
+    order = np.sort(x[~np.isnan(x)])
+    rank = (np.searchsorted(order, x, "left") + np.searchsorted(order, x, "right") + 1) / 2
+    return np.where(np.isnan(x), np.nan, rank / max(1, len(order)))
+
+
+def _average_rank(x: np.ndarray) -> np.ndarray:
+    """Winsorised average rank over the number of values, moved to (-1, 1], NaN for none."""
+    v = x[~np.isnan(x)]
+    if not len(v):
+        return x
+    mid = np.median(v)
+    width = 3 * 1.4826 * np.median(np.abs(v - mid))
+    return (_share(np.where(np.isnan(x), np.nan, np.minimum(np.maximum(x, mid - width), mid + width))) - 0.5) * 2
 
+
+def _ranks(columns: list[str], names: list[str]):
     def rank(table: pa.Table) -> pa.Table:
         for c, name in zip(columns, names, strict=True):
-            x = table[c].cast(pa.float64()).to_numpy()
-            table = table.append_column(name, pa.array(average_rank(x), pa.float64(), from_pandas=True))
+            table = table.append_column(name, moving.doubles(_average_rank(moving.numbers(table[c]))))
         return table
 
     return rank
@@ -88,6 +92,17 @@ def market_relative(panel: DataFrame, columns: Sequence[str] = RELATIVE) -> Data
     return panel.withColumns({f"rel_{c}": F.col(c) - F.col(f"mkt_mean_{c}") for c in columns})
 
 
+def _root(gram: np.ndarray) -> np.ndarray:
+    """The inverse root of a Gram matrix, 0 in directions that are none."""
+    values, vectors = np.linalg.eigh(gram)
+    keep = values > 1e-10 * max(values.max(), 0)
+    scale = np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0)
+    one = (vectors * scale) @ vectors.T
+    flat = np.diag(gram) <= 1e-10 * max(np.diag(gram).max(), 0)  # constant columns are 0, not what rounding leaves of them
+    one[flat] = one[:, flat] = 0
+    return one
+
+
 def _inverse_root(k: int):
     def root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -95,14 +110,7 @@ def _inverse_root(k: int):
             for gram in pdf["gram"]:
                 full = np.zeros((k, k))
                 full[np.triu_indices(k)] = gram
-                full = full + np.triu(full, 1).T
-                values, vectors = np.linalg.eigh(full)
-                keep = values > 1e-10 * max(values.max(), 0)
-                scale = np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0)
-                one = (vectors * scale) @ vectors.T
-                flat = np.diag(full) <= 1e-10 * max(np.diag(full).max(), 0)  # constant columns are 0, not what rounding leaves of them
-                one[flat] = one[:, flat] = 0
-                out.append(one.ravel().tolist())
+                out.append(_root(full + np.triu(full, 1).T).ravel().tolist())
             yield pd.DataFrame({"date": pdf["date"], "map": out})
 
     return root
@@ -136,6 +144,29 @@ def orthogonalize(panel: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return standard(df, mixed, columns).select(*panel.columns)
 
 
+def cross_section(table: pa.Table) -> dict[str, np.ndarray]:
+    """``cross_ranks``, ``market_relative``, ``orthogonalize`` and ``labels.date_labels``, one after the other, of the rows of one date. Ranks and means use the styles before these turn."""
+    ranked, relative, styles = [c for c in RANKED if c in table.column_names], [c for c in RELATIVE if c in table.column_names], [c for c in table.column_names if c.startswith("style_")]
+    x = {c: moving.numbers(table[c]) for c in {*ranked, *relative, *styles, "target"}}
+
+    def mean(values: np.ndarray) -> float:
+        there = values[~np.isnan(values)]
+        return there.mean() if len(there) else np.nan
+
+    def standard(values: np.ndarray) -> np.ndarray:
+        return (values - values.mean(0)) / (values.std(0) + 1e-9)
+
+    made = {f"cs_rank_{c}": _average_rank(x[c]) for c in ranked}
+    made |= {f"mkt_mean_{c}": np.full(table.num_rows, mean(x[c])) for c in relative}
+    made |= {f"rel_{c}": x[c] - made[f"mkt_mean_{c}"] for c in relative}
+    made |= {"rank_label": _share(x["target"]), "excess_label": x["target"] - mean(x["target"])}
+    if styles:
+        z = standard(np.stack([np.where(np.isnan(x[c]), 0.0, x[c]) for c in styles], 1))
+        turned = standard(z @ _root(z.T @ z))
+        made |= {c: turned[:, i] for i, c in enumerate(styles)}
+    return made
+
+
 def standard_scale(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Standardise over a code's whole history (population deviation, 1 if that is 0). Looks ahead."""
     w = Window.partitionBy("code")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,26 +21,50 @@ def asof_fundamentals(bars: DataFrame, fundamentals: DataFrame, lag_days: int =
     """
     columns = [c for c in columns if c in fundamentals.columns]
     values = [c for c in bars.columns if c not in ("code", "date")]
-    reports = fundamentals.select(
-        "code", F.date_add("date", lag_days).alias("date"), F.lit(0).alias("_side"), F.col("date").alias("_report"), F.struct(*columns).alias("_row")
-    )
-    both = bars.select("code", "date", F.lit(1).alias("_side"), *values).unionByName(reports, allowMissingColumns=True)
-    w = Window.partitionBy("code").orderBy("date", "_side", "_report").rowsBetween(Window.unboundedPreceding, 0)
+    both, w = _stacked(bars, fundamentals, lag_days, columns)
     return (
-        both.withColumn("_row", F.last("_row", ignorenulls=True).over(w))
+        both.withColumn("_row", F.last("_row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .where(F.col("_side") == 1)
         .select("code", "date", *values, *(F.col(f"_row.{c}").alias(c) for c in columns))
     )
 
 
+def _stacked(bars: DataFrame, fundamentals: DataFrame, lag_days: int, columns: Sequence[str]) -> tuple[DataFrame, WindowSpec]:
+    """Bars (``_side`` 1) and, at the day from which they are known, reports (0, with a struct ``_row``), and the order in which a code's rows stand."""
+    reports = fundamentals.select(
+        "code", F.date_add("date", lag_days).alias("date"), F.lit(0).alias("_side"), F.col("date").alias("_report"), F.struct(*columns).alias("_row")
+    )
+    both = bars.select("code", "date", F.lit(1).alias("_side"), *(c for c in bars.columns if c not in ("code", "date"))).unionByName(reports, allowMissingColumns=True)
+    return both, Window.partitionBy("code").orderBy("date", "_side", "_report")
+
+
+def dense_fundamentals(bars: DataFrame, fundamentals: DataFrame, lag_days: int = 60, columns: Sequence[str] = FUNDAMENTALS) -> DataFrame:
+    """``asof_fundamentals(fill_gaps(bars), fundamentals)``, dealt by code and sorted by date, without a join, an exchange or a sort of the many filled rows.
+
+    Bars and reports are stacked; each row lasts until the day before the next one, a code's last bar is its end. Only then days become rows.
+    """
+    columns = [c for c in columns if c in fundamentals.columns]
+    values = [c for c in bars.columns if c not in ("code", "date", "volume")]
+    both, w = _stacked(bars.where(F.col("code").isNotNull() & F.col("date").isNotNull()), fundamentals, lag_days, columns)
+    so_far, bar = w.rowsBetween(Window.unboundedPreceding, 0), F.col("_side") == 1
+    end = F.max(F.when(bar, F.col("date"))).over(Window.partitionBy("code"))
+    both = both.withColumns({"_begun": F.max("_side").over(so_far) == 1, "_next": F.lead("date").over(w), "_end": end, **{c: F.last(c, ignorenulls=True).over(so_far) for c in (*values, "_row")}})
+    upto = F.least(F.date_sub("_next", 1), "_end")
+    days = F.when(upto > F.col("date"), F.sequence("date", upto)).when(bar | (upto == F.col("date")), F.array("date"))  # none of a report on a bar's day, or after the end
+    dense = both.where("_begun").select("code", "date", "_side", F.col("volume").alias("_volume"), *values, "_row", F.explode(days).alias("_day")).where(F.weekday("_day") < 5)
+    volume = F.when((F.col("_side") == 1) & (F.col("_day") == F.col("date")), F.coalesce("_volume", F.lit(0.0))).otherwise(0.0)
+    dense = dense.select("code", F.col("_day").alias("date"), *(volume.alias(c) if c == "volume" else c for c in bars.columns if c not in ("code", "date")), "_row")
+    return dense.na.drop("any", subset=list(bars.columns)).select(*bars.columns, *(F.col(f"_row.{c}").alias(c) for c in columns))
+
+
 def fill_fundamentals(panel: DataFrame, null_missing: bool = False) -> DataFrame:
     """0 for missing fundamentals, as the factors expect by default; ``null_missing`` leaves them NULL."""
     return panel if null_missing else panel.na.fill(0.0, [c for c in FUNDAMENTALS if c in panel.columns])
 
 
-def in_universe(min_price: float = 2.0, min_bars: int = 60, among: Column | None = None) -> Column:
-    """Whether a bar is traded, at or above the price floor, and not among the first ``min_bars`` + 1 such bars of its code; bars for which ``among`` does not hold are as if not there."""
-    alive = F.coalesce((F.col("volume") > 0) & (F.col("close") >= min_price) & (F.lit(True) if among is None else among), F.lit(False))
+def in_universe(min_price: float = 2.0, min_bars: int = 60) -> Column:
+    """Whether a bar is traded, at or above the price floor, and not among the first ``min_bars`` + 1 such bars of its code."""
+    alive = F.coalesce((F.col("volume") > 0) & (F.col("close") >= min_price), F.lit(False))
     age = F.count_if(alive).over(Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - 1
     return alive & (age > min_bars)
 

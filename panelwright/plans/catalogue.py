@@ -547,8 +547,7 @@ def _(spark, sf_dir):
 
 @query("full_panel")
 def _(spark, sf_dir):
-    built = panel_chain.build_panel(fill_gaps(daily(spark, sf_dir)), reports(spark, sf_dir))
-    return panel.feature_table(built)
+    return panel_chain.build_panel(daily(spark, sf_dir), reports(spark, sf_dir), fill=True, narrow=True)  # features as from panel.feature_table
 
 
 # Evaluation
