@@ -61,7 +61,8 @@ def back(values: np.ndarray, k: int) -> np.ndarray:
     """The values k rows before; NaN where there are none."""
     if not k:
         return values
-    out = np.full(values.shape, np.nan)
+    out = np.empty(values.shape)
+    out[:k] = np.nan
     out[k:] = values[:-k]
     return out
 
@@ -99,11 +100,11 @@ def states(one: State, longest: int) -> list[State]:
     return found
 
 
-def window(found: list[State], n: int) -> State:
-    """The state of the last n rows, put together from those its binary digits name."""
+def window(found: list[State], n: int, at: np.ndarray | None = None) -> State:
+    """The state of the last n rows, put together from those its binary digits name; ``at``: of these rows alone."""
     out, past = {}, 0
     for b in reversed([b for b in range(n.bit_length()) if n >> b & 1]):
-        part = {k: back(v, past) for k, v in found[b].items()}
+        part = {k: back(v, past) if at is None else np.where(at >= past, v[at - past], np.nan) for k, v in found[b].items()}
         out, past = merged(part, 1 << b, out, past) if past else part, past + (1 << b)
     return out
 
@@ -245,13 +246,14 @@ class Normal:
     def __init__(self, k: int, n: int, limit: float):
         self.n, self.limit, self.filled = n, limit, [np.zeros(0)] * k
 
-    def __call__(self, fresh: Sequence[np.ndarray], place: np.ndarray) -> list[np.ndarray]:
-        """Of new rows, the last of those whose ``place`` is given; the rows before them were handed in before. Column by column: what one needs stays in the cache."""
+    def __call__(self, fresh: Sequence[np.ndarray], place: np.ndarray, wanted: np.ndarray | None = None) -> list[np.ndarray]:
+        """Of new rows, the last of those whose ``place`` is given; the rows before them were handed in before. Column by column: what one needs stays in the cache. Where ``wanted`` does not hold, 0."""
         n, new = self.n, len(fresh[0])
         old = min(len(self.filled[0]), n, len(place) - new)
         at = np.arange(old + new)
         begins = at - np.minimum(place[len(place) - len(at) :], at)
         full = place[len(place) - new :] >= n - 1
+        asked = old + np.flatnonzero(full if wanted is None else full & wanted)
         made = []
         for i, values in enumerate(fresh):
             x = np.concatenate([self.filled[i][len(self.filled[i]) - old :], np.where(np.isinf(values), np.nan, values)])
@@ -260,10 +262,11 @@ class Normal:
                 last = np.maximum.accumulate(np.where(there, at, -1))
                 x = np.where(last >= begins, x[np.maximum(last, 0)], 0.0)
             self.filled[i] = x[-n:]
-            s = window(states(single(x, None, {"m", "m2"}), n), n)
+            s = window(states(single(x, None, {"m", "m2"}), n), n, asked)
+            z = np.zeros(new)
             with np.errstate(invalid="ignore"):
-                z = (x - s["m"]) / (np.sqrt(s["m2"] / (n - 1)) + 1e-9)
-            made.append(np.where(full, np.clip(z[old:], -self.limit, self.limit), 0.0))
+                z[asked - old] = np.clip((x[asked] - s["m"]) / (np.sqrt(s["m2"] / (n - 1)) + 1e-9), -self.limit, self.limit)
+            made.append(z)
         return made
 
 
@@ -345,6 +348,33 @@ def ahead(values: np.ndarray, k: int) -> np.ndarray:
     return back(values[::-1].astype(float), k)[::-1]
 
 
+def each_day(columns: list[str], most: int = 14_000):
+    """The function for ``mapInArrow`` that makes of each row, which lasts ``_days`` days from its ``date`` on, a row for each of these from Monday to Friday, with volume 0 after the first day.
+
+    About ``most`` days at once, however long rows last.
+    """
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, low = np.cumsum(batch.column("_days").to_numpy()), 0
+            while low < len(ends):
+                begun = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, begun + most, "right")))
+                lasts = np.diff(ends[low:high], prepend=begun)
+                of = np.repeat(np.arange(len(lasts)), lasts)
+                after = np.arange(len(of)) - (ends[low:high] - lasts - begun)[of]
+                rows = batch.slice(low, high - low)
+                day = rows.column("date").cast(pa.int32()).to_numpy()[of] + after.astype(np.int32)
+                work = (day + 3) % 7 < 5  # day 0 was a Thursday
+                new = rows.select(columns).take(pa.array(of[work]))
+                new = new.set_column(columns.index("date"), new.schema.field("date"), pa.array(day[work], pa.int32()).cast(pa.date32()))
+                volume = pc.if_else(pa.array(after[work] == 0), new.column("volume"), pa.scalar(0, new.column("volume").type))
+                yield new.set_column(columns.index("volume"), new.schema.field("volume"), volume)
+                low = high
+
+    return fill
+
+
 def panel_rows(values: Callable[[Arrays], list[np.ndarray]], names: list[str], scaled: list[str], narrow: list[str], key: str, past: int, n: int, limit: float, horizon: int, kept: Callable[[Arrays, np.ndarray], np.ndarray] | None, seen: int, schema: pa.Schema):
     """The function for ``mapInArrow`` that makes rows of a panel of bars in order: the bars, ``names`` as ``values`` gives them, ``target``.
 
@@ -381,7 +411,7 @@ def panel_rows(values: Callable[[Arrays], list[np.ndarray]], names: list[str], s
             with np.errstate(all="ignore"):
                 fresh = np.stack([x[old:] for x in values(bars)])
                 if scaled:
-                    fresh[order] = normalised(fresh[order], place)
+                    fresh[order] = normalised(fresh[order], place, None if kept is None else kept(bars, np.zeros(rows.num_rows))[old:])
                 target = np.where(ahead(place, horizon) >= horizon, bars.ratio(ahead(bars("close"), horizon), ahead(bars("open"), 1)) - 1, np.nan)
             first = old - waiting.shape[1]
             found = np.concatenate([waiting, fresh], 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelwright.functions import moving
 from panelwright.sources.bars import FUNDAMENTALS
 
 PREFIXES = ("style_", "tech_", "alpha_", "adv_", "ind_", "fund_", "cs_rank_", "mkt_", "rel_")
@@ -38,10 +39,10 @@ def _stacked(bars: DataFrame, fundamentals: DataFrame, lag_days: int, columns: S
     return both, Window.partitionBy("code").orderBy("date", "_side", "_report")
 
 
-def dense_fundamentals(bars: DataFrame, fundamentals: DataFrame, lag_days: int = 60, columns: Sequence[str] = FUNDAMENTALS) -> DataFrame:
-    """``asof_fundamentals(fill_gaps(bars), fundamentals)``, dealt by code and sorted by date, without a join, an exchange or a sort of the many filled rows.
+def lasting_fundamentals(bars: DataFrame, fundamentals: DataFrame, lag_days: int = 60, columns: Sequence[str] = FUNDAMENTALS) -> DataFrame:
+    """What ``dense_fundamentals`` makes its rows of, dealt by code and sorted by date: each row holds for ``_days`` days.
 
-    Bars and reports are stacked; each row lasts until the day before the next one, a code's last bar is its end. Only then days become rows.
+    Bars and reports are stacked; each lasts until the day before the next one, a code's last bar is its end.
     """
     columns = [c for c in columns if c in fundamentals.columns]
     values = [c for c in bars.columns if c not in ("code", "date", "volume")]
@@ -49,12 +50,16 @@ def dense_fundamentals(bars: DataFrame, fundamentals: DataFrame, lag_days: int =
     so_far, bar = w.rowsBetween(Window.unboundedPreceding, 0), F.col("_side") == 1
     end = F.max(F.when(bar, F.col("date"))).over(Window.partitionBy("code"))
     both = both.withColumns({"_begun": F.max("_side").over(so_far) == 1, "_next": F.lead("date").over(w), "_end": end, **{c: F.last(c, ignorenulls=True).over(so_far) for c in (*values, "_row")}})
-    upto = F.least(F.date_sub("_next", 1), "_end")
-    days = F.when(upto > F.col("date"), F.sequence("date", upto)).when(bar | (upto == F.col("date")), F.array("date"))  # none of a report on a bar's day, or after the end
-    dense = both.where("_begun").select("code", "date", "_side", F.col("volume").alias("_volume"), *values, "_row", F.explode(days).alias("_day")).where(F.weekday("_day") < 5)
-    volume = F.when((F.col("_side") == 1) & (F.col("_day") == F.col("date")), F.coalesce("_volume", F.lit(0.0))).otherwise(0.0)
-    dense = dense.select("code", F.col("_day").alias("date"), *(volume.alias(c) if c == "volume" else c for c in bars.columns if c not in ("code", "date")), "_row")
-    return dense.na.drop("any", subset=list(bars.columns)).select(*bars.columns, *(F.col(f"_row.{c}").alias(c) for c in columns))
+    days = F.datediff(F.least(F.date_sub("_next", 1), "_end"), "date") + 1  # none of a report on a bar's day, or after the end
+    both = both.withColumns({"_days": F.when(bar, F.greatest(days, F.lit(1))).otherwise(days), "volume": F.coalesce("volume", F.lit(0.0))}).where(F.col("_begun") & (F.col("_days") > 0))
+    return both.na.drop("any", subset=values).select(*bars.columns, *(F.col(f"_row.{c}").alias(c) for c in columns), "_days")
+
+
+def dense_fundamentals(bars: DataFrame, fundamentals: DataFrame, lag_days: int = 60, columns: Sequence[str] = FUNDAMENTALS) -> DataFrame:
+    """``asof_fundamentals(fill_gaps(bars), fundamentals)``, dealt by code and sorted by date, without a join, an exchange or a sort of the many filled rows."""
+    rows = lasting_fundamentals(bars, fundamentals, lag_days, columns)
+    dense = rows.drop("_days")
+    return rows.mapInArrow(moving.each_day(dense.columns), dense.schema)
 
 
 def fill_fundamentals(panel: DataFrame, null_missing: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ from panelwright.functions.ts import in_order
 from panelwright.operators import factors
 from panelwright.operators.calendar import fill_gaps
 from panelwright.operators.normalize import NORMALISED, RANKED, RELATIVE, cross_section
-from panelwright.operators.panel import PREFIXES, asof_fundamentals, dense_fundamentals, fill_fundamentals
+from panelwright.operators.panel import PREFIXES, asof_fundamentals, fill_fundamentals, lasting_fundamentals
 
 FAMILIES = tuple(f for f in factors.ALL if f != "time")  # dates' own numbers are made where they are wanted
 
@@ -31,14 +31,16 @@ def _in_universe(min_price: float, train: bool) -> Callable[[moving.Arrays, np.n
 
 
 def _rows(bars: DataFrame, narrow: bool = False, kept: Callable | None = None, seen: int = 0) -> DataFrame:
-    """Sorted bars with factors, normalised, and the target. ``narrow``: factors that have no part in the cross-section come in one list of floats, ``_narrow``."""
-    columns = bars.columns
+    """Sorted bars (or what they are made of, as from ``lasting_fundamentals``) with factors, normalised, and the target. ``narrow``: factors that have no part in the cross-section come in one list of floats, ``_narrow``."""
+    columns = [c for c in bars.columns if c != "_days"]
     names = list(factors.expressions(FAMILIES, columns))
     small = [c for c in names if narrow and not c.startswith("style_") and c not in (*RANKED, *RELATIVE)]
-    wide = StructType([*bars.schema.fields, *(StructField(c, DoubleType()) for c in (*names, "target") if c not in small), *[StructField("_narrow", ArrayType(FloatType(), False))] * bool(small)])
+    wide = StructType([*(bars.schema[c] for c in columns), *(StructField(c, DoubleType()) for c in (*names, "target") if c not in small), *[StructField("_narrow", ArrayType(FloatType(), False))] * bool(small)])
     values = lambda x: factors.factor_values(FAMILIES, columns, x)
     scaled = [c for c in names if c.startswith(NORMALISED)]
-    return bars.mapInArrow(moving.panel_rows(values, names, scaled, small, "code", factors.past_bars(FAMILIES), 60, 4.0, 5, kept, seen, to_arrow_schema(wide)), wide)
+    made = moving.panel_rows(values, names, scaled, small, "code", factors.past_bars(FAMILIES), 60, 4.0, 5, kept, seen, to_arrow_schema(wide))
+    daily = moving.each_day(columns)
+    return bars.mapInArrow((lambda batches: made(daily(batches))) if "_days" in bars.columns else made, wide)
 
 
 def code_stage(bars: DataFrame, fundamentals: DataFrame | None = None, null_missing: bool = False) -> DataFrame:
@@ -81,11 +83,11 @@ def build_panel(bars: DataFrame, fundamentals: DataFrame | None = None, mode: st
     ``narrow``: features come as ``feature_table`` makes them. Those without a part in the cross-section are so from the start, which makes the rows that are dealt out smaller.
     """
     if fill and fundamentals is not None:
-        bars = fill_fundamentals(dense_fundamentals(bars, fundamentals))  # in order already
+        bars = fill_fundamentals(lasting_fundamentals(bars, fundamentals))  # in order already; days become rows in the pass over them
     else:
         bars = fill_gaps(bars) if fill else bars
         bars = in_order(bars if fundamentals is None else fill_fundamentals(asof_fundamentals(bars, fundamentals)))
-    return date_stage(_rows(bars, narrow, _in_universe(min_price, mode == "train"), min_bars + 1), bars.columns)
+    return date_stage(_rows(bars, narrow, _in_universe(min_price, mode == "train"), min_bars + 1), [c for c in bars.columns if c != "_days"])
 
 
 def flagship(bars: DataFrame, k: int = 5) -> DataFrame:
